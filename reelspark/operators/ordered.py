@@ -228,13 +228,14 @@ def with_halo(
     index: str,
     before: int,
     after: int,
-    columns: Callable[[object], Mapping[str, Column]],
+    *columns: Callable[[object], Mapping[str, Column]],
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Add moving-window columns over a dense integer index.
 
-    `columns` receives the window (partitioned by key and slice, ordered by index) and returns the
-    columns to add; none may look further than `before` rows back or `after` rows ahead.
+    Each of `columns` receives the window (partitioned by key and slice, ordered by index) and returns
+    columns to add; later ones may use earlier ones. Together they may look no further than `before`
+    rows back and `after` rows ahead.
     """
     size = F.lit(rows_per_slice)
     own = F.floor(F.col(index) / size).cast("bigint")
@@ -248,7 +249,9 @@ def with_halo(
     rows = df.withColumn("_home", own).withColumn("_slice", F.explode(copies))
     rows = rows.repartition(*[F.col(c) for c in (*keys, "_slice")])
     window = Window.partitionBy(*keys, "_slice").orderBy(index)
-    return rows.withColumns(dict(columns(window))).where(F.col("_slice") == F.col("_home")).drop("_slice", "_home")
+    for step in columns:
+        rows = rows.withColumns(dict(step(window)))
+    return rows.where(F.col("_slice") == F.col("_home")).drop("_slice", "_home")
 
 
 def order_statistics(

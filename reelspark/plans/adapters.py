@@ -84,7 +84,7 @@ def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
         "track_id",
         kind.alias("kind"),
         F.col("sec").alias("start_sec"),
-        F.round(F.col("sec") + F.lit(0.05) + F.col("energy") * 0.5, 4).alias("end_sec"),
+        F.round(F.col("sec") + F.lit(0.05) + F.col("energy") * 0.5, 6).alias("end_sec"),
         "energy",
     ).distinct()
 

@@ -27,7 +27,7 @@ VIEWS: dict[str, str] = {
         SELECT DISTINCT track_id, sec, kind, energy FROM v_track_events WHERE kind IN ('impact', 'silence_hit')""",
     "v_intervals": """
         SELECT DISTINCT track_id, ['silence','break','riser'][event_id % 3 + 1] AS kind, sec AS start_sec,
-               round(sec + 0.05::DOUBLE + energy * 0.5::DOUBLE, 4) AS end_sec, energy
+               round(sec + 0.05::DOUBLE + energy * 0.5::DOUBLE, 6) AS end_sec, energy
         FROM v_track_events WHERE kind = 'silence_hit'""",
     "v_audio_frames": """
         SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY sec, event_id) - 1 AS i, sec,
@@ -150,6 +150,6 @@ def with_views(query: str, extra: dict[str, str] | None = None, recursive: bool
     if not head:
         return query
     joined = query.strip()
-    if joined[:5].upper() == "WITH ":
-        return f"WITH {'RECURSIVE ' if recursive else ''}{head},\n{joined[5:]}"
+    if re.match(r"WITH\s", joined):
+        return f"WITH {'RECURSIVE ' if recursive else ''}{head},\n{joined[4:]}"
     return f"WITH {'RECURSIVE ' if recursive else ''}{head}\n{joined}"
