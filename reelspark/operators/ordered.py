@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from reelspark.session import checkpoint
+from reelspark.session import materialise
 
 ROWS_PER_SLICE = 2_000_000
 
@@ -74,11 +74,22 @@ def key_total(expr: Column) -> Ask:
     return Ask("total", expr)
 
 
+# Outcome of earlier counts by plan. A stale entry costs speed only: both ways give equal rows.
+_COUNTED: dict[tuple, bool] = {}
+
+
+def _any_hot(df: DataFrame, hot: DataFrame, keys: Sequence[str], rows_per_slice: int) -> bool:
+    seen = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(keys), rows_per_slice)
+    if seen not in _COUNTED:
+        _COUNTED[seen] = not hot.isEmpty()
+    return _COUNTED[seen]
+
+
 class Sliced:
     """Rows of `df` ready for ordered columns and per-key lookups, sliced only when some key is hot.
 
     Building one runs a count per key. Without a hot key the plan stays a plain window over the key.
-    With one, the sliced rows are checkpointed, so the window pass and the carry pass read one copy.
+    With one, the sliced rows are written once, so the window pass and the carry pass read one copy.
     """
 
     def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_slice: int = ROWS_PER_SLICE):
@@ -94,9 +105,9 @@ class Sliced:
         self.hot = None
         self.parts = self.keys
         self.rows = df
-        if hot.isEmpty():
+        if not _any_hot(df, hot, self.keys, rows_per_slice):
             return
-        self.hot = checkpoint(hot)
+        self.hot = materialise(hot)
         self.parts = [*self.keys, "_slice"]
         where = F.floor((axis - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.col("_pieces")).cast("bigint")
         cut = F.when(F.col("_hi") > F.col("_lo"), F.least(F.col("_pieces") - 1, where))
@@ -105,7 +116,7 @@ class Sliced:
         rows = joined.withColumn("_slice", F.coalesce(cut, F.lit(0).cast("bigint"))).drop("_lo", "_hi")
         # A stated shuffle: an input already hashed by the key alone would satisfy the windows
         # below and leave a hot key in one task.
-        self.rows = checkpoint(rows).repartition(*[F.col(c) for c in self.parts])
+        self.rows = materialise(rows).repartition(*[F.col(c) for c in self.parts])
 
     def attach(self, per_key: DataFrame, how: str = "left") -> "Sliced":
         """Join one row per key onto every slice of that key."""

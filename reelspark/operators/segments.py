@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from reelspark.functions import maths
 from reelspark.operators import joins, ordered
-from reelspark.session import checkpoint
+from reelspark.session import materialise
 
 KEY = ["track_id"]
 MAX_OVERLAP = 0.65
@@ -34,7 +34,7 @@ def score_windows(
     starts = ordered.attach(anchor_points(downbeats, bars, beats), fits, KEY, "sec", "inner")
     starts = starts.where((F.col("sec") >= 0) & (F.col("sec") <= F.col("duration_sec") - d)).select(*KEY, "sec")
     starts = starts.union(fits.select(*KEY, F.lit(0.0))).distinct()
-    windows = checkpoint(starts.select(*KEY, F.col("sec").alias("start_sec"), (F.col("sec") + d).alias("end_sec")))
+    windows = materialise(starts.select(*KEY, F.col("sec").alias("start_sec"), (F.col("sec") + d).alias("end_sec")))
 
     gaps = ordered.annotate(beats.select(*KEY, "sec"), KEY, ["sec"], {"_prior": ordered.lag(F.col("sec"))})
     inside = joins.within_windows(windows, gaps, KEY, float(duration_sec))
@@ -102,7 +102,7 @@ def suppressed_top(
     """
     if not 1 <= limit <= 20:
         raise ValueError("limit must be within 1..20")
-    base = checkpoint(rows.select(*keys, score, start).withColumn("_salt", F.pmod(F.xxhash64(start), F.lit(spread))))
+    base = materialise(rows.select(*keys, score, start).withColumn("_salt", F.pmod(F.xxhash64(start), F.lit(spread))))
     pick = F.struct((-F.col(score)).alias("minus_score"), F.col(start).alias("start"))
     picks = None
     for _ in range(limit):

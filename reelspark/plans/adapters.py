@@ -6,9 +6,13 @@ durations are rounded to four places so that later arithmetic has no half-way di
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from reelspark.operators import ordered
+from reelspark.session import materialise
 
 # The instant taken as second zero, and the length of one timeline second.
 EPOCH_MICROS = 1_704_067_200_000_000
@@ -22,6 +26,23 @@ REQUEST_CYCLE = (
 )
 
 
+_STAGED: dict[tuple, DataFrame] = {}
+
+
+def staged(fn: Callable[[SparkSession, str], DataFrame], name: str | None = None) -> Callable[[SparkSession, str], DataFrame]:
+    """Write a view once per session and data folder, as a job does between its stages."""
+    label = name or fn.__name__
+
+    @functools.wraps(fn)
+    def read(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir, label)
+        if key not in _STAGED:
+            _STAGED[key] = materialise(fn(spark, sf_dir), label)
+        return _STAGED[key]
+
+    return read
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -89,6 +110,7 @@ def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).distinct()
 
 
+@staged
 def audio_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-frame audio measurements: a track's events in time order with a dense frame index."""
     rows = track_events(spark, sf_dir)
@@ -105,6 +127,7 @@ def audio_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@staged
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """embeddings as video frames at 24 fps: signals, descriptor arrays and motion to the next frame."""
     rows = table(spark, sf_dir, "embeddings").select(
@@ -156,6 +179,7 @@ def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@staged
 def event_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as measured shots of a video: mean flow vector per shot, in time order."""
     rows = ordered.annotate(
@@ -190,6 +214,7 @@ def _order_window() -> Window:
     return Window.partitionBy("l_orderkey").orderBy("l_linenumber")
 
 
+@staged
 def shots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as shots laid end to end on their asset."""
     rows = order_lines(spark, sf_dir).withColumn("_d", F.round(F.col("quantity") * 0.05, 4))
@@ -228,6 +253,7 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@staged
 def media_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths that exist: sources of open orders, proxies and archives by order priority."""
     source = assets(spark, sf_dir).where("source_present").select("path")
@@ -251,6 +277,7 @@ def catalog_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@staged
 def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as the timeline slots of a project; the pool is the customer's shots."""
     rows = order_lines(spark, sf_dir).withColumn("_d", F.round(F.lit(0.02) + F.col("discount") * 12, 4))
@@ -281,11 +308,13 @@ def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(pool, "project_id")
 
 
+@staged
 def pool_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shots with the pool they may be drawn from and their series."""
     return shots(spark, sf_dir).join(assets(spark, sf_dir).select("asset_id", "pool_id", "series"), "asset_id")
 
 
+@staged
 def state_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as workflow requests: error events report a failure, the rest walk a request cycle."""
     rows = track_events(spark, sf_dir).withColumn(
@@ -307,6 +336,7 @@ def state_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@staged
 def media_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as detector log lines of one render per user."""
     rows = ordered.annotate(

@@ -129,26 +129,37 @@ def pairs(spark, sf_dir):
     return frames.pair_table(A.frames(spark, sf_dir))
 
 
+video_shots_t = A.staged(video_shots)
+pairs_t = A.staged(pairs)
+
+
 def observed_shots(spark, sf_dir):
-    return frames.observe_shots(video_shots(spark, sf_dir), A.frames(spark, sf_dir), pairs(spark, sf_dir))
+    return frames.observe_shots(video_shots_t(spark, sf_dir), A.frames(spark, sf_dir), pairs_t(spark, sf_dir))
 
 
 def observed_cuts(spark, sf_dir):
-    return frames.observe_cuts(A.cut_candidates(spark, sf_dir), pairs(spark, sf_dir))
+    return frames.observe_cuts(A.cut_candidates(spark, sf_dir), pairs_t(spark, sf_dir))
+
+
+observed_shots_t = A.staged(observed_shots)
+observed_cuts_t = A.staged(observed_cuts)
 
 
 def transition_pairs(spark, sf_dir):
-    return frames.transition_pairs(observed_cuts(spark, sf_dir))
+    return frames.transition_pairs(observed_cuts_t(spark, sf_dir))
 
 
 def style(spark, sf_dir):
     """Style of each video; the music grid is a beat every half second."""
     at = F.round("sec", 4)
-    cuts = observed_cuts(spark, sf_dir).select(
+    cuts = observed_cuts_t(spark, sf_dir).select(
         "video_id", "relation", F.col("outgoing.confidence").alias("outgoing_confidence"),
         (at - F.round(at * 2) / 2).alias("music_offset_sec"),
     )
-    return frames.style_summary(A.videos(spark, sf_dir), observed_shots(spark, sf_dir), cuts)
+    return frames.style_summary(A.videos(spark, sf_dir), observed_shots_t(spark, sf_dir), cuts)
+
+
+style_t = A.staged(style)
 
 
 @query("cut_signals", _sql("""SELECT video_id, frame_idx, round(h, 6) AS hist_distance, round(e, 6) AS edge_distance,
@@ -264,7 +275,7 @@ def dominant_palette(spark, sf_dir):
     LEFT JOIN m a ON a.video_id = s.video_id AND a.frame_a = round_even(start_sec * 24, 0)::BIGINT
     LEFT JOIN m b ON b.video_id = s.video_id AND b.frame_a = round_even(greatest(start_sec, end_sec - 5 / 24.0::DOUBLE) * 24, 0)::BIGINT"""))
 def shot_edge_motion(spark, sf_dir):
-    return frames.edge_motion(video_shots(spark, sf_dir), pairs(spark, sf_dir)).select("video_id", "index", "entry_motion", "exit_motion")
+    return frames.edge_motion(video_shots_t(spark, sf_dir), pairs_t(spark, sf_dir)).select("video_id", "index", "entry_motion", "exit_motion")
 
 
 @query("sampled_shot_flow", _sql("""
@@ -278,4 +289,4 @@ def shot_edge_motion(spark, sf_dir):
 def sampled_shot_flow(spark, sf_dir):
     measured = A.frames(spark, sf_dir).select(
         "video_id", "frame_idx", F.col("tx").alias("vx"), F.col("ty").alias("vy"), F.hypot("tx", "ty").alias("magnitude"))
-    return flow.sample_shot_flow(video_shots(spark, sf_dir), measured).select("video_id", "index", *_r("vx", "vy", "magnitude"))
+    return flow.sample_shot_flow(video_shots_t(spark, sf_dir), measured).select("video_id", "index", *_r("vx", "vy", "magnitude"))

@@ -101,8 +101,12 @@ def section_spans(spark, sf_dir):
     return music.intervals_between(boundaries(spark, sf_dir))
 
 
+audio_t = A.staged(audio)
+section_spans_t = A.staged(section_spans)
+
+
 def sections(spark, sf_dir):
-    return music.label_sections(section_spans(spark, sf_dir), audio(spark, sf_dir))
+    return music.label_sections(section_spans_t(spark, sf_dir), audio_t(spark, sf_dir))
 
 
 def impacts(spark, sf_dir):
@@ -110,8 +114,15 @@ def impacts(spark, sf_dir):
     return music.impact_points(onsets)
 
 
+sections_t = A.staged(sections)
+impacts_t = A.staged(impacts)
+
+
 def accents(spark, sf_dir):
-    return music.accents(A.beats(spark, sf_dir), downbeats(spark, sf_dir), impacts(spark, sf_dir), section_spans(spark, sf_dir), A.intervals(spark, sf_dir))
+    return music.accents(A.beats(spark, sf_dir), downbeats(spark, sf_dir), impacts_t(spark, sf_dir), section_spans_t(spark, sf_dir), A.intervals(spark, sf_dir))
+
+
+accents_t = A.staged(accents)
 
 
 @query("energy_normalise", _sql("SELECT track_id, i, round(energy, 6) AS energy FROM v_audio"))
@@ -128,7 +139,7 @@ def track_percentiles(spark, sf_dir):
 
 @query("riser_ranges", _sql(f"SELECT track_id, start_sec, end_sec FROM ({_ranges_sql('v_slope_bar', 'slope > bar', 0.25)})"))
 def riser_ranges(spark, sf_dir):
-    return music.risers(audio(spark, sf_dir))
+    return music.risers(audio_t(spark, sf_dir))
 
 
 @query("silence_ranges", _sql(f"SELECT track_id, start_sec, end_sec FROM ({_ranges_sql('(SELECT a.*, bar FROM v_audio_frames a JOIN v_silence_bar USING (track_id))', 'rms <= bar', 0.07)})"))
@@ -138,12 +149,12 @@ def silence_ranges(spark, sf_dir):
 
 @query("break_ranges", _sql(f"SELECT track_id, start_sec, end_sec FROM ({_ranges_sql('v_audio', 'energy <= 0.18', 0.35)})"))
 def break_ranges(spark, sf_dir):
-    return music.breaks(audio(spark, sf_dir))
+    return music.breaks(audio_t(spark, sf_dir))
 
 
 @query("energy_slope", _sql("SELECT track_id, i, round(slope, 6) AS slope FROM v_slope"))
 def energy_slope(spark, sf_dir):
-    return music.smoothed_slope(audio(spark, sf_dir)).select("track_id", "i", *_r("slope"))
+    return music.smoothed_slope(audio_t(spark, sf_dir)).select("track_id", "i", *_r("slope"))
 
 
 @query("section_boundaries", _sql("SELECT track_id, sec FROM v_boundaries"))
@@ -164,7 +175,7 @@ def impact_points(spark, sf_dir):
 @query("beat_energy_lookup", _sql("""SELECT b.track_id, b.i AS beat_frame, round(a.energy, 6) AS energy FROM v_audio b
        JOIN (SELECT track_id, max(i) AS last FROM v_audio GROUP BY track_id) n USING (track_id) JOIN v_audio a ON a.track_id = b.track_id AND a.i = least(b.i + 2, n.last) WHERE b.is_beat"""))
 def beat_energy_lookup(spark, sf_dir):
-    frames = audio(spark, sf_dir)
+    frames = audio_t(spark, sf_dir)
     beats = frames.where("is_beat").select("track_id", "sec", F.col("i").alias("beat_frame"), (F.col("i") + 2).alias("frame"))
     return music.beat_energy(beats, frames).select("track_id", "beat_frame", *_r("energy"))
 
@@ -206,7 +217,7 @@ def accent_curation(spark, sf_dir):
 @query("accent_order", _sql("""SELECT track_id, sec, kind, row_number() OVER (PARTITION BY track_id ORDER BY sec, merge_rank, kind) - 1 AS position FROM v_accents"""))
 def accent_order(spark, sf_dir):
     """Accents by time; equal instants follow the order in which the kinds are merged."""
-    return music.order_accents(accents(spark, sf_dir)).select("track_id", "sec", "kind", "position")
+    return music.order_accents(accents_t(spark, sf_dir)).select("track_id", "sec", "kind", "position")
 
 
 @query("motion_accents", _sql("""SELECT track_id, sec, kind, round(strength, 6) AS strength, round(anticipation_sec, 6) AS anticipation_sec,
@@ -221,6 +232,8 @@ def candidate_accents(spark, sf_dir):
     return music.motion_accents(A.tracks(spark, sf_dir), A.beats(spark, sf_dir).drop("is_downbeat"), hits, downbeats(spark, sf_dir))
 
 
+candidate_accents_t = A.staged(candidate_accents)
+
 _MERGE = """
     n AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY sec) AS rn FROM v_motion_accents),
     walk AS (SELECT track_id, rn, sec AS k_sec, rank AS k_rank, strength AS k_strength, kind AS k_kind, true AS fresh FROM n WHERE rn = 1
@@ -237,7 +250,7 @@ _MERGE = """
     SELECT track_id, k_sec AS sec, k_kind AS kind, round(k_strength, 6) AS strength FROM (SELECT *, lead(fresh) OVER (PARTITION BY track_id ORDER BY rn) AS next_fresh FROM walk)
     WHERE coalesce(next_fresh, true)""", MUSIC_VIEWS, recursive=True))
 def merged_accents(spark, sf_dir):
-    return music.merge_accents(candidate_accents(spark, sf_dir)).select("track_id", "sec", "kind", *_r("strength"))
+    return music.merge_accents(candidate_accents_t(spark, sf_dir)).select("track_id", "sec", "kind", *_r("strength"))
 
 
 @query("nearest_accent_within", _sql("""
@@ -247,7 +260,7 @@ def merged_accents(spark, sf_dir):
 def nearest_accent_within(spark, sf_dir):
     """Nearest motion accent within .3 s of each silence hit, in micro-second steps."""
     points = A.points(spark, sf_dir).where(F.col("kind") == "silence_hit").select("track_id", "sec").distinct()
-    hit = joins.nearest(points, candidate_accents(spark, sf_dir).select("track_id", "sec", "kind"), ["track_id"], carry=["kind"])
+    hit = joins.nearest(points, candidate_accents_t(spark, sf_dir).select("track_id", "sec", "kind"), ["track_id"], carry=["kind"])
     ok = F.abs(F.round("offset_sec", 6)) <= 0.3
     return hit.select("track_id", "sec", F.when(ok, F.col("nearest_sec")).alias("nearest_sec"), F.when(ok, F.col("nearest_kind")).alias("nearest_kind"))
 
@@ -257,7 +270,7 @@ def nearest_accent_within(spark, sf_dir):
     UNION ALL SELECT track_id, kind, start_sec, end_sec, NULL, NULL FROM v_intervals
     UNION ALL SELECT track_id, 'spectral_novelty', sec, NULL, NULL, 1.0 FROM v_impacts"""))
 def timeline_document(spark, sf_dir):
-    return music.timeline_document(A.tracks(spark, sf_dir), sections(spark, sf_dir), A.intervals(spark, sf_dir), impacts(spark, sf_dir))
+    return music.timeline_document(A.tracks(spark, sf_dir), sections_t(spark, sf_dir), A.intervals(spark, sf_dir), impacts_t(spark, sf_dir))
 
 
 @query("interval_overlaps", _sql("""
@@ -313,15 +326,17 @@ def scored_segments(spark, sf_dir):
     quiet = A.intervals(spark, sf_dir).where(F.col("kind") == "silence")
     no_bars = beats.select("track_id", "sec").limit(0)
     return segments.score_windows(
-        A.tracks(spark, sf_dir), beats, downbeats(spark, sf_dir), no_bars, onsets, impacts(spark, sf_dir).select("track_id", "sec"), sections(spark, sf_dir), quiet, WINDOW_SEC)
+        A.tracks(spark, sf_dir), beats, downbeats(spark, sf_dir), no_bars, onsets, impacts_t(spark, sf_dir).select("track_id", "sec"), sections_t(spark, sf_dir), quiet, WINDOW_SEC)
+
 
+scored_segments_t = A.staged(scored_segments)
 
 _TERMS = ("local_bpm", "beat_clarity", "phrase_clarity", "onset_variety", "energy", "dynamic_arc", "silence_penalty", "score")
 
 
-@query("segment_scores", with_views("SELECT track_id, start_sec, beat_count, impact_count, " + ", ".join(f"round({t}, 6) AS {t}" for t in _TERMS) + " FROM v_segments", SEGMENT_VIEWS))
+@query("segment_scores", with_views("SELECT track_id, start_sec, beat_count, impact_count, " + ", ".join(f"round({t}, 9) AS {t}" for t in _TERMS) + " FROM v_segments", SEGMENT_VIEWS))
 def segment_scores(spark, sf_dir):
-    return scored_segments(spark, sf_dir).select("track_id", "start_sec", "beat_count", "impact_count", *_r(*_TERMS))
+    return scored_segments(spark, sf_dir).select("track_id", "start_sec", "beat_count", "impact_count", *_r(*_TERMS, places=9))
 
 
 @query("segment_ranking", with_views("""WITH n AS (SELECT track_id, start_sec, row_number() OVER (PARTITION BY track_id ORDER BY round(score, 9) DESC, start_sec) AS rk FROM v_segments),
@@ -330,5 +345,5 @@ def segment_scores(spark, sf_dir):
                               THEN list_append(kept, n.start_sec) ELSE kept END FROM walk w JOIN n ON n.track_id = w.track_id AND n.rk = w.rk + 1)
     SELECT track_id, unnest(kept) AS start_sec, unnest(range(1, len(kept) + 1))::INT AS rank FROM walk QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY rk DESC) = 1""", SEGMENT_VIEWS, recursive=True))
 def segment_ranking(spark, sf_dir):
-    scored = scored_segments(spark, sf_dir).withColumn("score", F.round("score", 9))
+    scored = scored_segments_t(spark, sf_dir).withColumn("score", F.round("score", 9))
     return segments.rank_segments(scored, WINDOW_SEC, 3).select("track_id", "start_sec", "rank")

@@ -1,9 +1,10 @@
-"""Session settings and lineage cuts shared by jobs and tests."""
+"""Session settings, and tables written between the stages of a job."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,19 +26,27 @@ def build_session(app: str = "reelspark", master: str | None = None, shuffle_par
     )
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder all executors share: the one `spark.checkpoint.dir` names.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local session
-    without that setting gets a temporary folder of its own.
+    Only a local session without that setting gets a temporary folder of its own.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-            folder = tempfile.mkdtemp(prefix="reelspark-checkpoint-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+        folder = tempfile.mkdtemp(prefix="reelspark-")
         context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return folder.rstrip("/")
+
+
+def materialise(df: DataFrame, name: str = "step") -> DataFrame:
+    """Cut lineage: write `df` as a table in the shared folder and read it back.
+
+    The copy survives lost executors, and later readers still prune columns and push filters down.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
