@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from reelspark.functions import maths
 from reelspark.operators import folds, joins, ordered
+from reelspark.session import materialise
 
 KEY = ["track_id"]
 
@@ -58,7 +59,8 @@ def gradient(value: Column, window) -> Column:
 
 def risers(audio: DataFrame) -> DataFrame:
     """Ranges where the smoothed slope exceeds its 78th percentile for a quarter second."""
-    rows = smoothed_slope(audio)
+    # Read twice: for the percentile and for the ranges.
+    rows = materialise(smoothed_slope(audio).select(*KEY, "i", "sec", "slope"), "slope")
     bar = ordered.order_statistics(rows, KEY, "slope", {"_bar": 0.78})
     return active_ranges(ordered.attach(rows, bar, KEY, "i"), F.col("slope") > F.col("_bar"), 0.25)
 
@@ -146,6 +148,8 @@ def spectral_peaks(audio: DataFrame, wait: int = 5) -> DataFrame:
         return {"delta": F.coalesce(F.abs(gradient(F.col("_c"), w)), F.lit(0.0))}
 
     rows = ordered.with_halo(rows, KEY, "i", 1, 1, change)
+    # Read twice: for the percentile and for the peaks.
+    rows = materialise(rows.select(*KEY, "i", "sec", "delta"), "spectral-delta")
     bar = ordered.order_statistics(rows, KEY, "delta", {"_bar": 0.96})
 
     def peak(w):
@@ -153,7 +157,7 @@ def spectral_peaks(audio: DataFrame, wait: int = 5) -> DataFrame:
 
     rows = ordered.with_halo(ordered.attach(rows, bar, KEY, "i"), KEY, "i", 6, 5, peak)
     found = rows.where((F.col("delta") == F.col("_max")) & (F.col("delta") >= F.col("_mean") + F.col("_bar")))
-    found = found.select(*KEY, "i", "sec", "delta")
+    found = materialise(found.select(*KEY, "i", "sec", "delta"), "spectral-peaks")
     runs = folds.split_runs(found, KEY, ["i"], F.col("i") - F.col("_prior") > wait, F.col("i"))
     return folds.keep_by_fold(runs, KEY, ["i"], folds.spaced_stepper("i", wait))
 

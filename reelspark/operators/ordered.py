@@ -49,6 +49,11 @@ def sum_before(expr: Column) -> Ask:
     return Ask("sum_before", expr)
 
 
+def max_before(expr: Column) -> Ask:
+    """Largest value over the rows strictly before this one (null for the first)."""
+    return Ask("max_before", expr)
+
+
 def previous(expr: Column) -> Ask:
     """Last non-null value strictly before this row."""
     return Ask("previous", expr)
@@ -158,6 +163,9 @@ class Sliced:
             elif ask.kind == "sum_before":
                 local[name] = F.coalesce(F.sum(src).over(before), F.lit(0))
                 summary[name] = F.sum(src)
+            elif ask.kind == "max_before":
+                local[name] = F.max(src).over(before)
+                summary[name] = F.max(src)
             elif ask.kind == "total":
                 local[name] = F.sum(src).over(part)
                 summary[name] = F.sum(src)
@@ -185,6 +193,8 @@ class Sliced:
                 value = F.col(name)
             elif ask.kind in ("position", "sum_to", "sum_before"):
                 value = F.col(name) + F.coalesce(carry, F.lit(0))
+            elif ask.kind == "max_before":
+                value = F.greatest(F.col(name), carry)
             elif ask.kind == "total":
                 value = F.coalesce(carry, F.col(name))
             else:
@@ -206,6 +216,8 @@ class Sliced:
             src = F.col(f"_s_{name}")
             if ask.kind in ("position", "sum_to", "sum_before"):
                 value = F.sum(src).over(earlier)
+            elif ask.kind == "max_before":
+                value = F.max(src).over(earlier)
             elif ask.kind == "total":
                 value = F.sum(src).over(key)
             elif ask.kind in ("previous", "lag"):
