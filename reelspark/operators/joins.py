@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reelspark.functions.maths import overlap
 from reelspark.operators import ordered
+from reelspark.session import materialise
 
 
 def nearest(
@@ -118,30 +119,45 @@ def within_windows(
     return pairs.drop("_b").withColumnRenamed("_sec", f"point_{sec}")
 
 
-def count_in_windows(
-    windows: DataFrame, points: DataFrame, keys: Sequence[str], name: str, start: str = "start_sec", end: str = "end_sec",
-    sec: str = "sec", value: Column | None = None, closed: bool = False,
+def window_totals(
+    windows: DataFrame, series: Mapping[str, DataFrame], keys: Sequence[str], start: str = "start_sec", end: str = "end_sec", sec: str = "sec"
 ) -> DataFrame:
-    """Add to each window the number of points (or the sum of `value`) with start <= sec < end.
+    """Running point counts of several series at both ends of every window.
 
-    `closed` also counts points at the window's end. Running totals are read at both ends of the
-    window, so dense keys cost one sort instead of one pair per point and window.
+    For each series the columns <name>_before_start, <name>_upto_start, <name>_before_end and
+    <name>_upto_end count the points before, or up to and including, that instant. All series and
+    ends go through one ordered pass, so dense keys cost a sort and no pair of point and window.
     """
     keys = list(keys)
-    amount = F.lit(1) if value is None else value
-    # At an instant: starts read first (0), then points add (1), then ends read; an open end reads at 0.
-    marks = points.groupBy(*keys, F.col(sec).alias("_at")).agg(F.sum(amount).alias("_amount")).withColumn("_turn", F.lit(1))
-    asked = windows.select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e")).distinct()
-    edges = asked.select(*keys, F.col("_s").alias("_at"), F.lit(0).alias("_turn")).union(
-        asked.select(*keys, F.col("_e"), F.lit(2 if closed else 0))
-    ).distinct()
-    rows = marks.unionByName(edges, allowMissingColumns=True)
-    rows = ordered.annotate(rows, keys, ["_at", "_turn"], {"_sum": ordered.sum_before(F.coalesce(F.col("_amount"), F.lit(0)))})
-    rows = rows.where(F.col("_turn") != 1).select(*keys, "_at", "_turn", "_sum")
-    lo = rows.where(F.col("_turn") == 0).select(*keys, F.col("_at").alias(start), F.col("_sum").alias("_lo"))
-    hi = rows.where(F.col("_turn") == (2 if closed else 0)).select(*keys, F.col("_at").alias(end), F.col("_sum").alias("_hi"))
-    out = windows.join(lo, [*keys, start], "left").join(hi, [*keys, end], "left")
-    return out.withColumn(name, F.col("_hi") - F.col("_lo")).select(*windows.columns, name)
+    # At an instant "before" is read (0), then points add (1), then "up to" is read (2).
+    rows = windows.select(*keys, F.explode(F.array(start, end)).alias("_at")).distinct()
+    rows = rows.withColumn("_turn", F.explode(F.array(F.lit(0), F.lit(2))))
+    for name, points in series.items():
+        marks = points.groupBy(*keys, F.col(sec).alias("_at")).agg(F.count(F.lit(1)).alias(f"_n_{name}"))
+        rows = rows.unionByName(marks.withColumn("_turn", F.lit(1)), allowMissingColumns=True)
+    sums = {f"_t_{n}": ordered.sum_before(F.coalesce(F.col(f"_n_{n}"), F.lit(0))) for n in series}
+    rows = ordered.annotate(rows, keys, ["_at", "_turn"], sums).where(F.col("_turn") != 1)
+    reads = {"before": 0, "upto": 2}
+    read = rows.groupBy(*keys, "_at").agg(
+        *[F.max(F.when(F.col("_turn") == t, F.col(f"_t_{n}"))).alias(f"{n}_{word}") for n in series for word, t in reads.items()]
+    )
+    read = materialise(read, "window-totals")
+    out = windows
+    for column, suffix in ((start, "start"), (end, "end")):
+        names = {f"{n}_{word}": f"{n}_{word}_{suffix}" for n in series for word in reads}
+        out = out.join(read.withColumnsRenamed({"_at": column, **names}), [*keys, column], "left")
+    return out
+
+
+def count_in_windows(
+    windows: DataFrame, series: Mapping[str, DataFrame], keys: Sequence[str], start: str = "start_sec", end: str = "end_sec",
+    sec: str = "sec", closed: bool = False,
+) -> DataFrame:
+    """Add one count per series: its points with start <= sec < end, or <= end when `closed`."""
+    rows = window_totals(windows, series, keys, start, end, sec)
+    word = "upto" if closed else "before"
+    counts = [(F.col(f"{n}_{word}_end") - F.col(f"{n}_before_start")).alias(n) for n in series]
+    return rows.select(*windows.columns, *counts)
 
 
 def last_match(left: DataFrame, right: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str]) -> DataFrame:

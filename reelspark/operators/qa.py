@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reelspark.operators import intervals, joins, ordered
+from reelspark.session import materialise
 
 # What each detector prints and how its numbers are found.
 LOG_PATTERNS = {
@@ -204,17 +205,22 @@ def representative_interval(
     windows = starts.withColumn("length", F.explode(F.array(*[F.lit(float(d)) for d in durations])))
     windows = windows.withColumn("end_sec", F.col("start_sec") + F.col("length")).join(projects, key)
     windows = windows.where(F.col("end_sec") <= F.col("duration_sec"))
-    rows = joins.count_in_windows(windows, cuts, key, "_cuts", closed=True)
-    rows = joins.count_in_windows(rows, accents, key, "_accents", closed=True)
-    rows = joins.count_in_windows(rows, cuts.where(F.col("confidence") >= 0.3), key, "_landings", closed=True)
     moving = clips.where(F.col("keyframes") >= 2)
+    series = {
+        "cut": cuts.select(*key, "sec"),
+        "accent": accents.select(*key, "sec"),
+        "landing": cuts.where(F.col("confidence") >= 0.3).select(*key, "sec"),
+        "begun": moving.select(*key, F.col("in_sec").alias("sec")),
+        "over": moving.select(*key, F.col("out_sec").alias("sec")),
+    }
+    rows = joins.window_totals(materialise(windows, "windows"), series, key)
+
+    def within(name: str) -> Column:
+        return F.col(f"{name}_upto_end") - F.col(f"{name}_before_start")
+
     # Clips that begin before the end, less those already over at the start.
-    rows = rows.withColumn("_zero", F.lit(-1.0))
-    rows = joins.count_in_windows(rows, moving.select(*key, F.col("in_sec").alias("sec")), key, "_begun", start="_zero")
-    rows = joins.count_in_windows(
-        rows, moving.select(*key, F.col("out_sec").alias("sec")), key, "_over", start="_zero", end="start_sec", closed=True
-    )
-    good = (F.col("_cuts") >= 2) & (F.col("_accents") >= 1) & (F.col("_begun") > F.col("_over")) & (F.col("_landings") >= 1)
+    shown = F.col("begun_before_end") > F.col("over_upto_start")
+    good = (within("cut") >= 2) & (within("accent") >= 1) & shown & (within("landing") >= 1)
     return joins.first_row(rows.where(good), key, F.asc("start_sec"), F.asc("length")).select(*key, "start_sec", "end_sec")
 
 

@@ -52,8 +52,7 @@ def score_windows(
     ends = joins.nearest(windows.withColumnRenamed("end_sec", "sec"), named, KEY)
     ends = ends.select(*KEY, "start_sec", F.abs("offset_sec").alias("_end_gap"))
 
-    rows = joins.count_in_windows(windows, onsets, KEY, "onset_count")
-    rows = joins.count_in_windows(rows, impacts, KEY, "impact_count")
+    rows = joins.count_in_windows(windows, {"onset_count": onsets, "impact_count": impacts}, KEY)
     by = [*KEY, "start_sec"]
     shared = joins.overlapping(windows, sections.select(*KEY, "start_sec", "end_sec", "energy"), KEY, float(duration_sec))
     energy = shared.groupBy(*by).agg(

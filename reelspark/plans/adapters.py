@@ -348,7 +348,7 @@ def media_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(step == 0, F.concat(F.lit("[silencedetect] silence_start: "), stamp))
         .when(step == 1, F.concat(F.lit("[freezedetect] freeze_start: "), stamp))
         .when(step == 2, F.concat(F.lit("[freezedetect] freeze_end: "), stamp))
-        .when(step == 3, F.concat(F.lit("black_start:0 black_duration:"), F.format_string("%.6f", F.col("energy"))))
+        .when(step == 3, F.concat(F.lit("black_start:0 black_duration:"), F.format_string("%.6f", F.round(F.col("energy") * 0.36, 4))))
         .when(step == 4, F.concat(F.lit("[silencedetect] silence_end: "), stamp))
         .when(step == 5, F.concat(F.lit("  I:  -"), F.format_string("%.6f", F.col("energy") + 10), F.lit(" LUFS")))
         .when((step == 6) & (F.pmod("event_id", F.lit(50)) == 0), F.lit("Error while decoding MB 3 4; CORRUPT frame"))

@@ -122,7 +122,7 @@ VIEWS: dict[str, str] = {
                CASE s WHEN 0 THEN '[silencedetect] silence_start: ' || printf('%.6f', sec)
                       WHEN 1 THEN '[freezedetect] freeze_start: ' || printf('%.6f', sec)
                       WHEN 2 THEN '[freezedetect] freeze_end: ' || printf('%.6f', sec)
-                      WHEN 3 THEN 'black_start:0 black_duration:' || printf('%.6f', energy)
+                      WHEN 3 THEN 'black_start:0 black_duration:' || printf('%.6f', round(energy * 0.36::DOUBLE, 4))
                       WHEN 4 THEN '[silencedetect] silence_end: ' || printf('%.6f', sec)
                       WHEN 5 THEN '  I:  -' || printf('%.6f', energy + 10) || ' LUFS'
                       ELSE CASE WHEN s = 6 AND event_id % 50 = 0 THEN 'Error while decoding MB 3 4; CORRUPT frame'

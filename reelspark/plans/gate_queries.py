@@ -32,7 +32,7 @@ GATE_VIEWS = {
     "v_positions": "SELECT *, row_number() OVER (PARTITION BY render_id, kind ORDER BY line_no) - 1 AS item FROM v_log_events WHERE kind <> 'corruption'",
     "v_freezes": "SELECT a.render_id, a.item, a.value AS s, b.value AS e FROM v_positions a JOIN v_positions b ON a.render_id = b.render_id AND a.item = b.item WHERE a.kind = 'freeze_start' AND b.kind = 'freeze_end'",
     "v_quiet": "SELECT a.render_id, a.item, a.value AS s, b.value AS e FROM v_positions a JOIN v_positions b ON a.render_id = b.render_id AND a.item = b.item WHERE a.kind = 'silence_start' AND b.kind = 'silence_end'",
-    "v_allowed": "SELECT track_id AS render_id, start_sec, end_sec FROM v_intervals",
+    "v_allowed": "SELECT track_id AS render_id, start_sec - 1 AS start_sec, end_sec + 1 AS end_sec FROM v_intervals",
     "v_allowed_merged": """
         SELECT render_id, min(start_sec) AS start_sec, max(end_sec) AS end_sec FROM (SELECT *, sum(f) OVER (PARTITION BY render_id ORDER BY start_sec, end_sec) AS g
             FROM (SELECT *, CASE WHEN start_sec > max(end_sec) OVER (PARTITION BY render_id ORDER BY start_sec, end_sec ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) IS NOT FALSE THEN 1 ELSE 0 END AS f
@@ -40,9 +40,9 @@ GATE_VIEWS = {
     "v_freeze_left": _FRAGMENTS.format(source="v_freezes"),
     "v_quiet_left": _FRAGMENTS.format(source="v_quiet"),
     "v_renders": """
-        SELECT track_id AS render_id, track_id % 13 <> 0 AS file_exists, track_id % 11 <> 0 AS has_video, duration_sec AS expected_duration, duration_sec + (track_id % 5) * 0.03::DOUBLE AS duration_sec,
+        SELECT track_id AS render_id, track_id % 13 <> 0 AS file_exists, track_id % 11 <> 0 AS has_video, duration_sec AS expected_duration, duration_sec + (track_id % 5) * 0.025::DOUBLE AS duration_sec,
                1920 AS expected_width, CASE WHEN track_id % 7 = 0 THEN 1280 ELSE 1920 END AS width, CASE WHEN track_id % 7 = 0 THEN 720 ELSE 1080 END AS height, 1080 AS expected_height,
-               24000 AS fps_num, CASE WHEN track_id % 9 = 0 THEN 1000 ELSE 1001 END AS fps_den, track_id % 4 <> 0 AS expected_audio, track_id % 8 <> 1 AS has_audio,
+               24000 AS fps_num, CASE WHEN track_id % 9 = 0 THEN 1000 ELSE 1001 END AS fps_den, track_id % 4 <> 0 AS expected_audio, track_id % 4 <> 0 AND track_id % 9 <> 1 AS has_audio,
                CASE WHEN track_id % 17 = 0 THEN 'vp9' ELSE 'h264' END AS codec, CASE WHEN track_id % 6 = 0 THEN 0 ELSE round_even(duration_sec * 24000 / 1001.0::DOUBLE, 0)::BIGINT + track_id % 5 END AS read_frames FROM v_tracks""",
     "v_measures": """
         SELECT t.track_id AS render_id, coalesce((SELECT max(value) FROM v_log_events WHERE kind = 'black_duration' AND render_id = t.track_id), 0) AS black_sec,
@@ -81,7 +81,9 @@ log_events_t = A.staged(log_events)
 
 
 def allowed(spark, sf_dir):
-    return A.intervals(spark, sf_dir).select(F.col("track_id").alias("render_id"), "start_sec", "end_sec")
+    """Ranges where stillness is meant: a second around every interval of the track."""
+    return A.intervals(spark, sf_dir).select(
+        F.col("track_id").alias("render_id"), (F.col("start_sec") - 1).alias("start_sec"), (F.col("end_sec") + 1).alias("end_sec"))
 
 
 def renders(spark, sf_dir):
@@ -91,9 +93,9 @@ def renders(spark, sf_dir):
     small = mod(7) == 0
     return A.tracks(spark, sf_dir).select(
         k.alias("render_id"), (mod(13) != 0).alias("file_exists"), (mod(11) != 0).alias("has_video"), F.col("duration_sec").alias("expected_duration"),
-        (F.col("duration_sec") + mod(5) * 0.03).alias("duration_sec"), F.lit(1920).alias("expected_width"), F.lit(1080).alias("expected_height"),
+        (F.col("duration_sec") + mod(5) * 0.025).alias("duration_sec"), F.lit(1920).alias("expected_width"), F.lit(1080).alias("expected_height"),
         F.when(small, 1280).otherwise(1920).alias("width"), F.when(small, 720).otherwise(1080).alias("height"), F.lit(24000).alias("expected_fps_num"), F.lit(1001).alias("expected_fps_den"),
-        F.lit(24000).alias("fps_num"), F.when(mod(9) == 0, 1000).otherwise(1001).alias("fps_den"), (mod(4) != 0).alias("expected_audio"), (mod(8) != 1).alias("has_audio"),
+        F.lit(24000).alias("fps_num"), F.when(mod(9) == 0, 1000).otherwise(1001).alias("fps_den"), (mod(4) != 0).alias("expected_audio"), ((mod(4) != 0) & (mod(9) != 1)).alias("has_audio"),
         F.when(mod(17) == 0, "vp9").otherwise("h264").alias("codec"), F.lit(0).alias("decode_code"),
         F.when(mod(6) == 0, F.lit(0)).otherwise(F.bround(F.col("duration_sec") * 24000 / 1001.0).cast("bigint") + mod(5)).alias("read_frames"))
 
@@ -182,7 +184,7 @@ def rendered_gate(spark, sf_dir):
     WITH cuts AS (SELECT project_id, cut AS sec, CASE WHEN seq % 5 = 0 THEN 0.2 ELSE 0.6 END AS conf FROM v_spec_pairs),
          acc AS (SELECT project_id, tl_in + 0.01::DOUBLE AS sec FROM v_laid WHERE hold),
          clips AS (SELECT project_id, tl_in AS a, tl_in + d AS b FROM v_spec_clips), dur AS (SELECT project_id, sum(duration_sec) AS d FROM v_slots GROUP BY ALL),
-         w AS (SELECT DISTINCT c.project_id, c.sec AS s, l, c.sec + l AS e FROM cuts c, unnest([3.0::DOUBLE, 4.0, 5.0]) t(l) JOIN dur USING (project_id) WHERE c.sec + l <= dur.d)
+         w AS (SELECT DISTINCT c.project_id, c.sec AS s, l, c.sec + l AS e FROM cuts c JOIN dur USING (project_id), unnest([3.0::DOUBLE, 4.0, 5.0]) t(l) WHERE c.sec + l <= dur.d)
     SELECT project_id, round(s, 6) AS start_sec, round(e, 6) AS end_sec FROM w
     WHERE (SELECT count(*) FROM cuts c WHERE c.project_id = w.project_id AND c.sec BETWEEN s AND e) >= 2 AND EXISTS (SELECT 1 FROM acc a WHERE a.project_id = w.project_id AND a.sec BETWEEN s AND e)
       AND EXISTS (SELECT 1 FROM clips k WHERE k.project_id = w.project_id AND k.a < e AND k.b > s) AND EXISTS (SELECT 1 FROM cuts c WHERE c.project_id = w.project_id AND c.sec BETWEEN s AND e AND conf >= 0.3)

@@ -170,7 +170,7 @@ def transition_pairing(spark, sf_dir):
 
 
 @query("transition_keyframes", _sql("""
-    SELECT project_id, pair_id, side, k AS pos, round(keys[k + 1].sec, 6) AS sec, round(keys[k + 1].x, 9) AS center_x, round(keys[k + 1].y, 9) AS center_y, round(keys[k + 1].scale, 6) AS scale
+    SELECT project_id, pair_id, side, k AS pos, round(keys[k + 1].sec, 9) AS sec, round(keys[k + 1].x, 9) AS center_x, round(keys[k + 1].y, 9) AS center_y, round(keys[k + 1].scale, 9) AS scale
     FROM (SELECT project_id, pair_id, 'outgoing' AS side, out_keys AS keys FROM v_spec_pairs UNION ALL SELECT project_id, pair_id, 'incoming', in_keys FROM v_spec_pairs), unnest([0, 1, 2]) t(k)"""))
 def transition_keyframes(spark, sf_dir):
     rows = transitions_t(spark, sf_dir)
@@ -178,7 +178,7 @@ def transition_keyframes(spark, sf_dir):
     for side in ("outgoing", "incoming"):
         part = rows.select("project_id", "pair_id", F.lit(side).alias("side"), F.posexplode(f"{side}_keyframes").alias("pos", "k"))
         out = part if out is None else out.unionByName(part)
-    return out.select("project_id", "pair_id", "side", "pos", *[F.round(f"k.{c}", 9 if "center" in c else 6).alias(c) for c in ("sec", "center_x", "center_y", "scale")])
+    return out.select("project_id", "pair_id", "side", "pos", *[F.round(f"k.{c}", 9).alias(c) for c in ("sec", "center_x", "center_y", "scale")])
 
 
 @query("transition_blur_keyframes", _sql("""SELECT project_id, pair_id, k AS pos, round(blur_keys[k + 1].sec, 6) AS sec, round(blur_keys[k + 1].angle, 6) AS angle, round(blur_keys[k + 1].strength, 6) AS strength
