@@ -120,6 +120,12 @@ def flow_direction_entropy(spark, sf_dir):
     return out.select("video_id", F.round("direction_entropy", 6).alias("direction_entropy"))
 
 
+def measured_flow(spark, sf_dir):
+    return flow.measure(A.event_flow(spark, sf_dir))
+
+
+measured_flow_t = A.staged(measured_flow)
+
 _MEASURES = ("directional_shot_frac", "carry_rate", "reversal_rate", "direction_entropy", "median_magnitude", "mean_abs_vx")
 
 
@@ -128,7 +134,7 @@ _MEASURES = ("directional_shot_frac", "carry_rate", "reversal_rate", "direction_
     with_views("SELECT video_id, shot_count, " + ", ".join(f"round({m}, 6) AS {m}" for m in _MEASURES) + " FROM v_flow_measure", _FLOW),
 )
 def flow_measurement(spark, sf_dir):
-    out = flow.measure(A.event_flow(spark, sf_dir))
+    out = measured_flow(spark, sf_dir)
     return out.select("video_id", "shot_count", *[F.round(m, 6).alias(m) for m in _MEASURES])
 
 
@@ -148,7 +154,7 @@ def flow_measurement(spark, sf_dir):
 )
 def flow_comparison_gate(spark, sf_dir):
     """Every video against the one with the next id."""
-    measured = flow.measure(A.event_flow(spark, sf_dir))
+    measured = measured_flow_t(spark, sf_dir)
     subject = measured.withColumn("pair_id", F.col("video_id"))
     reference = measured.withColumn("pair_id", F.col("video_id") - 1)
     verdict = flow.gate(flow.compare(subject, reference))
