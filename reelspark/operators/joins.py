@@ -13,7 +13,7 @@ from reelspark.session import materialise
 
 def nearest(
     points: DataFrame, events: DataFrame, keys: Sequence[str], sec: str = "sec", carry: Sequence[str] = (),
-    rows_per_slice: int = ordered.ROWS_PER_SLICE,
+    rows_per_slice: int | None = None,
 ) -> DataFrame:
     """Nearest event of the same key for every point: adds `nearest_sec`, `offset_sec` and `carry`.
 

@@ -90,6 +90,17 @@ def _any_hot(df: DataFrame, hot: DataFrame, keys: Sequence[str], rows_per_slice:
     return _COUNTED[seen]
 
 
+# Most pieces of a key, and of a slice that is cut again; three more cuts still fit a 64-bit number.
+_FIRST = 1 << 16
+_SUB = 1 << 15
+
+
+def _piece(axis: Column, low: str, high: str, pieces: str) -> Column:
+    """Equal-width piece, from zero, that holds a value."""
+    at = F.floor((axis - F.col(low)) / (F.col(high) - F.col(low)) * F.col(pieces)).cast("bigint")
+    return F.least(F.col(pieces) - 1, at)
+
+
 class Sliced:
     """Rows of `df` ready for ordered columns and per-key lookups, sliced only when some key is hot.
 
@@ -97,43 +108,65 @@ class Sliced:
     With one, the sliced rows are written once, so the window pass and the carry pass read one copy.
     """
 
-    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_slice: int = ROWS_PER_SLICE):
+    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_slice: int | None = None):
         self.keys = list(keys)
         self.order = list(order)
+        rows_per_slice = rows_per_slice or ROWS_PER_SLICE
         axis = F.col(self.order[0]).cast("double")
         stats = df.groupBy(*self.keys).agg(
             F.count(F.lit(1)).alias("_rows"), F.min(axis).alias("_lo"), F.max(axis).alias("_hi")
         )
         hot = stats.where(F.col("_rows") > rows_per_slice).select(
-            *self.keys, "_lo", "_hi", F.ceil(F.col("_rows") / F.lit(rows_per_slice)).cast("bigint").alias("_pieces")
+            *self.keys, "_lo", "_hi",
+            F.least(F.ceil(F.col("_rows") / F.lit(rows_per_slice)).cast("bigint"), F.lit(_FIRST)).alias("_pieces"),
         )
         self.hot = None
         self.parts = self.keys
         self.rows = df
         if not _any_hot(df, hot, self.keys, rows_per_slice):
             return
-        self.hot = materialise(hot)
         self.parts = [*self.keys, "_slice"]
-        where = F.floor((axis - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.col("_pieces")).cast("bigint")
-        cut = F.when(F.col("_hi") > F.col("_lo"), F.least(F.col("_pieces") - 1, where))
         # At most rows / rows_per_slice hot keys exist, so this broadcast is bounded.
-        joined = df.join(F.broadcast(self.hot), self.keys, "left")
-        rows = joined.withColumn("_slice", F.coalesce(cut, F.lit(0).cast("bigint"))).drop("_lo", "_hi")
+        joined = df.join(F.broadcast(materialise(hot, "hot-keys")), self.keys, "left")
+        cut = F.when(F.col("_hi") > F.col("_lo"), _piece(axis, "_lo", "_hi", "_pieces"))
+        rows = joined.withColumns({"_slice": F.coalesce(cut, F.lit(0).cast("bigint")), "_hot": F.col("_pieces").isNotNull()})
+        rows = self._refine(materialise(rows.drop("_lo", "_hi", "_pieces"), "sliced"), rows_per_slice)
+        # Slices of hot keys: a few per rows_per_slice rows, so bounded like the hot keys.
+        self.hot = materialise(rows.where("_hot").select(*self.parts).distinct(), "slices")
         # A stated shuffle: an input already hashed by the key alone would satisfy the windows
         # below and leave a hot key in one task.
-        self.rows = materialise(rows).repartition(*[F.col(c) for c in self.parts])
+        self.rows = rows.repartition(*[F.col(c) for c in self.parts])
+
+    def _refine(self, rows: DataFrame, rows_per_slice: int, rounds: int = 3) -> DataFrame:
+        """Cut slices that a burst left too large again, by the next order column where the first is constant."""
+        first = F.col(self.order[0]).cast("double")
+        second = F.col(self.order[1]).cast("double") if len(self.order) > 1 else F.lit(0.0)
+        for _ in range(rounds):
+            stats = rows.where("_hot").groupBy(*self.parts).agg(
+                F.count(F.lit(1)).alias("_rows"), F.min(first).alias("_lo1"), F.max(first).alias("_hi1"), F.min(second).alias("_lo2"), F.max(second).alias("_hi2")
+            )
+            large = stats.where((F.col("_rows") > 2 * rows_per_slice) & ((F.col("_hi1") > F.col("_lo1")) | (F.col("_hi2") > F.col("_lo2"))))
+            pieces = F.least(F.ceil(F.col("_rows") / F.lit(rows_per_slice)).cast("bigint"), F.lit(_SUB - 1))
+            large = large.select(*self.parts, "_lo1", "_hi1", "_lo2", "_hi2", pieces.alias("_pieces"))
+            if large.isEmpty():
+                break
+            joined = rows.join(F.broadcast(materialise(large, "large-slices")), self.parts, "left")
+            sub = F.when(F.col("_hi1") > F.col("_lo1"), _piece(first, "_lo1", "_hi1", "_pieces")).when(
+                F.col("_hi2") > F.col("_lo2"), _piece(second, "_lo2", "_hi2", "_pieces")
+            )
+            renumbered = F.col("_slice") * _SUB + F.coalesce(sub, F.lit(0).cast("bigint"))
+            rows = joined.withColumn("_slice", F.when(F.col("_hot"), renumbered).otherwise(F.col("_slice")))
+            rows = rows.drop("_lo1", "_hi1", "_lo2", "_hi2", "_pieces")
+        return rows
 
     def attach(self, per_key: DataFrame, how: str = "left") -> "Sliced":
         """Join one row per key onto every slice of that key."""
         if self.hot is None:
             self.rows = self.rows.join(per_key, self.keys, how)
             return self
-        copies = (
-            per_key.join(F.broadcast(self.hot.select(*self.keys, "_pieces")), self.keys, "left")
-            .withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("_pieces"), F.lit(1)) - 1)))
-            .drop("_pieces")
-        )
-        self.rows = self.rows.join(copies, [*self.keys, "_slice"], how)
+        copies = per_key.join(F.broadcast(self.hot), self.keys, "left")
+        copies = copies.withColumn("_slice", F.coalesce("_slice", F.lit(0).cast("bigint")))
+        self.rows = self.rows.join(copies, self.parts, how)
         return self
 
     def with_columns(self, columns: Mapping[str, Column]) -> "Sliced":
@@ -183,7 +216,7 @@ class Sliced:
         rows = self.rows.withColumns(held) if held else self.rows
         carried = None
         if self.hot is not None:
-            carried = self._carry(rows.where(F.col("_pieces").isNotNull()), asks, summary)
+            carried = self._carry(rows.where("_hot"), asks, summary)
         rows = rows.withColumns(local)
         if carried is not None:
             rows = rows.join(F.broadcast(carried), self.parts, "left")
@@ -228,18 +261,18 @@ class Sliced:
         return per_slice.select(*self.keys, "_slice", *out)
 
     def df(self) -> DataFrame:
-        return self.rows.drop("_slice", "_pieces")
+        return self.rows.drop("_slice", "_hot")
 
 
 def annotate(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], asks: Mapping[str, Ask], rows_per_slice: int = ROWS_PER_SLICE
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], asks: Mapping[str, Ask], rows_per_slice: int | None = None
 ) -> DataFrame:
     """Add ordered columns to `df`; `order` must be numeric in its first column and unique per key."""
     return Sliced(df, keys, order, rows_per_slice).annotate(asks).df()
 
 
 def attach(
-    df: DataFrame, per_key: DataFrame, keys: Sequence[str], spread: str, how: str = "left", rows_per_slice: int = ROWS_PER_SLICE
+    df: DataFrame, per_key: DataFrame, keys: Sequence[str], spread: str, how: str = "left", rows_per_slice: int | None = None
 ) -> DataFrame:
     """Join one row per key onto `df`, spreading a hot key by the numeric column `spread`."""
     return Sliced(df, keys, [spread], rows_per_slice).attach(per_key, how).df()
@@ -252,7 +285,7 @@ def with_halo(
     before: int,
     after: int,
     *columns: Callable[[object], Mapping[str, Column]],
-    rows_per_slice: int = ROWS_PER_SLICE,
+    rows_per_slice: int | None = None,
 ) -> DataFrame:
     """Add moving-window columns over a dense integer index.
 
@@ -260,7 +293,7 @@ def with_halo(
     columns to add; later ones may use earlier ones. Together they may look no further than `before`
     rows back and `after` rows ahead.
     """
-    size = F.lit(rows_per_slice)
+    size = F.lit(rows_per_slice or ROWS_PER_SLICE)
     own = F.floor(F.col(index) / size).cast("bigint")
     copies = F.array_compact(
         F.array(
@@ -278,7 +311,7 @@ def with_halo(
 
 
 def order_statistics(
-    df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping[str, float | str], rows_per_slice: int = ROWS_PER_SLICE
+    df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping[str, float | str], rows_per_slice: int | None = None
 ) -> DataFrame:
     """Exact quantiles per key, one row per key and one column per entry of `ranks`.
 

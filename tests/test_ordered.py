@@ -54,6 +54,17 @@ def test_sliced_equals_plain_and_brute_force(data):
     assert a == sorted(expected)
 
 
+def test_bursts_and_equal_times_are_cut_again(spark):
+    """Most rows share one instant or a short burst, the rest stretch the range."""
+    out = [(1, 5.0, i, float(i % 9), i % 3) for i in range(150)] + [(1, 5.0 + i / 1000, 200 + i, 1.0, 1) for i in range(60)]
+    out += [(1, 1000.0, 300, 2.0, 2), (2, 1.0, 301, 3.0, 1)]
+    df = spark.createDataFrame(out, "k int, sec double, id int, v double, n int").cache()
+    sliced = ordered.Sliced(df, ["k"], ["sec", "id"], 20)
+    assert sliced.rows.groupBy("k", "_slice").count().agg(F.max("count")).first()[0] <= 40
+    a = rows(sliced.annotate(asks()).df().select("k", "id", *asks()), "k", "id")
+    assert a == rows(ordered.annotate(df, ["k"], ["sec", "id"], asks()).select("k", "id", *asks()), "k", "id")
+
+
 def test_attach_spreads_hot_keys(data):
     dims = data.groupBy("k").agg(F.max("n").alias("m"))
     a = rows(ordered.attach(data, dims, ["k"], "sec", rows_per_slice=SMALL).select("id", "m"), "id")
