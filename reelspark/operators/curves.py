@@ -15,6 +15,10 @@ FLASH_LEAD_SEC = 0.02
 BLUR_LENGTH_SCALE = 0.08
 SHUTTER_PER_STRENGTH = 180.0
 
+# The name and the tools of a clip's composition, in chain order.
+COMPOSITION_PREFIX = "aes:clip:"
+NODES = ("BaseTransform", "MotionTransform", "DirectionalBlur", "PostColor")
+
 KEY = ["project_id", "clip_id"]
 OUT, IN = "outgoing_pair", "incoming_pair"
 
@@ -140,7 +144,5 @@ def node_names(wired: DataFrame) -> DataFrame:
     blurred = F.lit(False)
     for pair in (IN, OUT):
         blurred = blurred | F.coalesce(F.exists(F.col(f"{pair}.blur_keyframes"), lambda k: k["strength"] > 0), F.lit(False))
-    nodes = F.array_compact(
-        F.array(F.lit("BaseTransform"), F.lit("MotionTransform"), F.when(blurred, F.lit("DirectionalBlur")), F.lit("PostColor"))
-    )
-    return wired.select(*KEY, F.concat(F.lit("aes:clip:"), "clip_id").alias("comp_name"), nodes.alias("nodes"))
+    nodes = F.array_compact(F.array(*[F.when(blurred, F.lit(n)) if n == "DirectionalBlur" else F.lit(n) for n in NODES]))
+    return wired.select(*KEY, F.concat(F.lit(COMPOSITION_PREFIX), "clip_id").alias("comp_name"), nodes.alias("nodes"))

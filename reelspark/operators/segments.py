@@ -37,23 +37,22 @@ def score_windows(
     windows = materialise(starts.select(*KEY, F.col("sec").alias("start_sec"), (F.col("sec") + d).alias("end_sec")))
 
     gaps = ordered.annotate(beats.select(*KEY, "sec"), KEY, ["sec"], {"_prior": ordered.lag(F.col("sec"))})
+    by = [*KEY, "start_sec"]
     inside = joins.within_windows(windows, gaps, KEY, float(duration_sec))
     gap = F.col("point_sec") - F.col("_prior")
     whole = (F.col("_prior") >= F.col("start_sec")) & (gap > 0)
-    # The gaps of one window are the beats of `duration_sec` seconds of one track.
-    per_window = inside.groupBy(*KEY, "start_sec").agg(
-        F.count(F.lit(1)).alias("beat_count"), F.max("point_sec").alias("_last_beat"),
-        F.median(F.when(whole, gap)).alias("_center"), F.collect_list(F.when(whole, gap)).alias("_gaps"),
-    )
-    error = F.aggregate("_gaps", F.lit(0.0), lambda a, g: a + F.abs(g - F.col("_center"))) / F.size("_gaps")
-    per_window = per_window.withColumn("_error", F.when(F.size("_gaps") > 0, error)).drop("_gaps")
+    # Read three times: for the counts, the median gap and the error around it.
+    inside = materialise(inside.select(*by, "point_sec", F.when(whole, gap).alias("_gap")), "window-beats")
+    center = ordered.order_statistics(inside, by, "_gap", {"_center": 0.5})
+    counts = inside.groupBy(*by).agg(F.count(F.lit(1)).alias("beat_count"), F.max("point_sec").alias("_last_beat"))
+    error = inside.join(center, by).groupBy(*by).agg(F.max("_center").alias("_center"), F.avg(F.abs(F.col("_gap") - F.col("_center"))).alias("_error"))
+    per_window = counts.join(error, by, "left")
 
     named = anchor_points(downbeats, bars)
     ends = joins.nearest(windows.withColumnRenamed("end_sec", "sec"), named, KEY)
     ends = ends.select(*KEY, "start_sec", F.abs("offset_sec").alias("_end_gap"))
 
     rows = joins.count_in_windows(windows, {"onset_count": onsets, "impact_count": impacts}, KEY)
-    by = [*KEY, "start_sec"]
     shared = joins.overlapping(windows, sections.select(*KEY, "start_sec", "end_sec", "energy"), KEY, float(duration_sec))
     energy = shared.groupBy(*by).agg(
         maths.weighted_mean(F.col("overlap_sec"), F.col("energy_r")).alias("energy"),

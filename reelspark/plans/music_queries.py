@@ -324,7 +324,7 @@ def scored_segments(spark, sf_dir):
     beats = A.beats(spark, sf_dir)
     onsets = A.audio_frames(spark, sf_dir).where("is_onset").select("track_id", "sec")
     quiet = A.intervals(spark, sf_dir).where(F.col("kind") == "silence")
-    no_bars = beats.select("track_id", "sec").limit(0)
+    no_bars = beats.select("track_id", "sec").where(F.lit(False))
     return segments.score_windows(
         A.tracks(spark, sf_dir), beats, downbeats(spark, sf_dir), no_bars, onsets, impacts_t(spark, sf_dir).select("track_id", "sec"), sections_t(spark, sf_dir), quiet, WINDOW_SEC)
 
