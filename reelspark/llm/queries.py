@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reelspark.llm import repeats
+from reelspark.llm import mixture, repeats, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -38,3 +38,41 @@ texts AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t FROM kept GROUP B
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM w LEFT JOIN gone USING (doc_id) LEFT JOIN texts USING (doc_id)
 """
+
+
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.remove_repeated_bytes(project_documents(_table(spark, sf_dir, "documents")))
+    return out.select(
+        F.col("project_id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+QUERIES["op8_suffix_array_dedup"] = op8_suffix_array_dedup
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
+    out = mixture.mix_series(documents.select(F.col("doc_id").alias("shot_id"), F.col("source").alias("series"), words.alias("frames")))
+    return out.select(
+        F.col("shot_id").alias("doc_id"), F.col("frames").alias("size"), F.col("series_frames").alias("source_size"), "target", "taken", "finish_time"
+    )
+
+
+QUERIES["op7_source_mixing"] = op7_source_mixing
+CHECKS["op7_source_mixing"] = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM s),
+l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER ()
+   - coalesce(sum(2 * source_size) OVER (ORDER BY (2 * source_size)::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+   / sum(weight) OVER (ORDER BY (2 * source_size)::DOUBLE / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS level FROM w),
+t AS (SELECT source, source_size, least((2 * source_size)::DOUBLE, weight * max(level) OVER ()) AS target FROM l),
+q AS (SELECT doc_id, size, source_size, target, source, md5('0:' || doc_id) AS k FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+-- Slices of the shuffled order come one after another.
+c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY ('0x' || k[1:8])::BIGINT % 4096, k, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS served FROM q)
+SELECT doc_id, size, source_size, target,
+  (least(size, greatest(0, floor(target)::BIGINT - (served - size))) + least(size, greatest(0, floor(target)::BIGINT - (served - size + source_size))))::BIGINT AS taken,
+  CASE WHEN target > 0 THEN served::DOUBLE / target END AS finish_time
+FROM c
+"""
