@@ -225,7 +225,7 @@ def main_blocks(page: str | None) -> tuple[list[str], int]:
             elif i - a != b - i:
                 label = labels[a if i - a < b - i else b]
             else:
-                label = bool(labels[a] or labels[b]) if block.in_main else bool(labels[a] and labels[b])
+                label = bool(labels[a] or labels[b])
         if label:
             kept.append(block.text)
     return kept, n
@@ -238,8 +238,8 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     columns are ignored. Elements that never hold the article (scripts, forms, menus, notices, adverts,
     reader comments, by element, role or class name) are left out. Pass one labels the other blocks by
     link density, length and share of stop words (English, German, French, Spanish). Short blocks stay
-    undecided; in pass two they take the label of the nearest decided block (at equal distance: keep
-    inside an article, otherwise only if both sides are kept). Inside an article or main element blocks
+    undecided; in pass two they take the label of the nearest decided block (of two at equal
+    distance, of the kept one). Inside an article or main element blocks
     are dropped only for their links.
 
     Returns page_id, url, text (kept blocks, white space folded, joined by two newlines), n_blocks and

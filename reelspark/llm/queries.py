@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reelspark.llm import mixture, repeats, suffixes
+from reelspark.llm import html_blocks, leaks, mixture, repeats, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -68,7 +68,7 @@ l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER ()
    - coalesce(sum(2 * source_size) OVER (ORDER BY (2 * source_size)::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
    / sum(weight) OVER (ORDER BY (2 * source_size)::DOUBLE / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS level FROM w),
 t AS (SELECT source, source_size, least((2 * source_size)::DOUBLE, weight * max(level) OVER ()) AS target FROM l),
-q AS (SELECT doc_id, size, source_size, target, source, md5('0:' || doc_id) AS k FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT doc_id, size, source_size, target, d.source, md5('0:' || doc_id) AS k FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 -- Slices of the shuffled order come one after another.
 c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY ('0x' || k[1:8])::BIGINT % 4096, k, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS served FROM q)
 SELECT doc_id, size, source_size, target,
@@ -76,3 +76,44 @@ SELECT doc_id, size, source_size, target,
   CASE WHEN target > 0 THEN served::DOUBLE / target END AS finish_time
 FROM c
 """
+
+
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = _table(spark, sf_dir, "benchmark")
+    blueprints = benchmark.select(F.col("item_id").cast("string").alias("source_hash"), F.col("text").alias("document"))
+    out = leaks.blueprint_leaks(project_documents(_table(spark, sf_dir, "documents")), blueprints)
+    return out.select(
+        F.col("project_id").alias("doc_id"), F.col("source_hash").cast("long").alias("item_id"),
+        F.col("n_words").alias("item_words"), F.col("n_covered").alias("covered_words"), "coverage", "n_tiles",
+    )
+
+
+QUERIES["op1_benchmark_decontamination"] = op1_benchmark_decontamination
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_blocks.extract_main_text(_table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_blocks", "n_kept")
+
+
+QUERIES["op5_html_extraction"] = op5_html_extraction
+
+
+def toxicity_model(documents: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """Model fitted on labelled documents outside the held-out fifth."""
+    flags = labels.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("project_id"), F.col("toxic").alias("flagged"))
+    return toxicity.train(*toxicity.labelled_sample(project_documents(documents), flags))
+
+
+def held_out(doc_id):
+    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    out = toxicity.score_toxicity(project_documents(documents), toxicity_model(documents, _table(spark, sf_dir, "labels")))
+    doc_id = F.col("project_id").alias("doc_id")
+    return out.select(doc_id, held_out(F.col("project_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_windows", "best_gain")
+
+
+QUERIES["op10_toxicity"] = op10_toxicity

@@ -110,7 +110,7 @@ def shared_starts(group: np.ndarray, lead: np.ndarray, size: np.ndarray, symbols
         if not alive.all():
             # Common prefixes of those that stay take the minimum over those that leave between them.
             where = np.flatnonzero(alive)
-            common = np.minimum.reduceat(common, np.concatenate(([0], where[:-1] + 1)))[: len(where)] if len(where) else common[:0]
+            common = np.minimum.reduceat(common[: where[-1] + 1], np.concatenate(([0], where[:-1] + 1))) if len(where) else common[:0]
             order = order[where]
         if stop > came:
             # Stretches that end here have the empty suffix, which sorts first.

@@ -19,9 +19,11 @@ WINDOW_WORDS = 8
 LEVEL = 3
 ORDINARY_BYTES = 1 << 14
 TOXIC_WORDS = 100
+# A word is telling when its count times its log odds is at least this share of the most telling word's.
+TELLING = 0.25
 # Labelled rows that are fitted on, of each label, and characters of each of them: the bound of the sample.
 SAMPLE_ROWS = 4000
-SAMPLE_CHARS = 20_000
+SAMPLE_CHARS = 10_000
 # Windows that the dictionary of ordinary text is trained on.
 SAMPLE_WINDOWS = 60_000
 
@@ -56,19 +58,22 @@ def _lengths(compressor: zstandard.ZstdCompressor, data: bytes, segments: np.nda
 
 @dataclass
 class Model:
-    """Two raw dictionaries and the calibration of their window gains.
+    """Dictionaries of ordinary and of toxic text, and the calibration of their window gains.
 
-    The toxic dictionary is the ordinary one with toxic text behind it, so that a window's gain, its
-    length with the ordinary dictionary minus that with the toxic one, comes from toxic text alone.
+    All begin with the same dictionary trained on ordinary text. They end in more ordinary text, in the
+    most telling toxic text, or in all text that marks toxic rows. A window's gain, its length with the
+    ordinary dictionary minus that with a toxic one, then comes from the last part alone.
     """
 
+    shared: bytes
     ordinary: bytes
     toxic: bytes
+    marked: bytes
     weights: list[float] = field(default_factory=list)
 
-    def compressors(self) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
+    def compressors(self) -> tuple[zstandard.ZstdCompressor, ...]:
         settings = zstandard.ZstdCompressionParameters.from_level(LEVEL, window_log=17, write_content_size=False, write_checksum=False, write_dict_id=False)
-        made = [zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for d in (self.ordinary, self.ordinary + self.toxic)]
+        made = [zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for d in (self.shared + self.ordinary, self.shared + self.toxic, self.shared + self.marked)]
         return tuple(zstandard.ZstdCompressor(dict_data=d, compression_params=settings) for d in made)
 
     def score(self, features: np.ndarray) -> np.ndarray:
@@ -76,21 +81,27 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(features @ np.array(self.weights), -30, 30)))
 
 
+N_FEATURES = 7
+
+
 def features_of(gains: np.ndarray) -> np.ndarray:
-    """What is calibrated: the best gains, and how many windows there were to find them in."""
+    """What is calibrated: the best telling gains, how many windows there were to find them in, and the share of marked windows."""
     if not len(gains):
-        return np.array([1.0, 0.0, 0.0, 0.0, 0.0])
-    top = np.sort(gains)[::-1][:3]
+        return np.array([1.0] + [0.0] * (N_FEATURES - 1))
+    telling, marked = gains[:, 0], np.maximum(gains[:, 1], 0)
+    top = np.sort(telling)[::-1][:3]
     rest = float(np.sum(np.maximum(top[1:], 0)))
     best = float(max(top[0], 0))
     crowd = math.log1p(len(gains))
-    return np.array([1.0, best, rest, crowd, best * crowd / 5.0])
+    return np.array([1.0, best, rest, crowd, best * crowd / 5.0, float(marked.mean()), float((marked >= 5).mean()) * min(1.0, len(gains) / 4.0)])
 
 
-def gains_of(pair, data: bytes, segments: np.ndarray) -> np.ndarray:
+def gains_of(compressors, data: bytes, segments: np.ndarray) -> np.ndarray:
+    """Gains of the telling and of the marked dictionary, one row per window."""
     if not len(segments):
-        return np.zeros(0, np.int64)
-    return _lengths(pair[0], data, segments) - _lengths(pair[1], data, segments)
+        return np.zeros((0, 2), np.int64)
+    plain, telling, marked = (_lengths(c, data, segments) for c in compressors)
+    return np.stack([plain - telling, plain - marked], axis=1)
 
 
 def _dictionary(samples: list[bytes], size: int) -> bytes:
@@ -114,7 +125,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     n_toxic = sum(y for _, y in folds)
     if not n_toxic or n_toxic == len(folds):
         share = (sum(labels) + 0.5) / (len(labels) + 1.0)
-        return Model(b" ", b" ", [math.log(share / (1 - share)), 0.0, 0.0, 0.0, 0.0])
+        return Model(b" ", b" ", b" ", b" ", [math.log(share / (1 - share))] + [0.0] * (N_FEATURES - 1))
 
     def fit_dictionaries(rows: list[tuple[bytes, int]]) -> Model:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
@@ -130,12 +141,13 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
         least = max(3, sizes[1] // 80)
         marks = [(n * contrast(w), w) for w, n in counts[1].items() if n >= least and len(w) > 3 and contrast(w) > 3.0]
         marks = sorted(marks)[-TOXIC_WORDS:]
-        toxic = b"".join(b" " + w for _, w in marks) + b" "
+        toxic = b"".join(b" " + w for n, w in marks if n >= TELLING * marks[-1][0]) + b" "
+        marked = b"".join(b" " + w for _, w in marks) + b" "
         windows: list[bytes] = []
         for data, y in rows:
             if not y and len(windows) < SAMPLE_WINDOWS:
                 windows += [data[a : a + n] for a, n in window_segments(data).tolist()]
-        return Model(_dictionary(windows, ORDINARY_BYTES), toxic)
+        return Model(_dictionary(windows, ORDINARY_BYTES), b"".join(windows[-500:])[-len(toxic) :], toxic, marked)
 
     # Calibrate on texts that the dictionaries have not seen, then train them on all.
     half = len(folds) // 2
@@ -206,7 +218,7 @@ def score_toxicity(documents: DataFrame, model: Model) -> DataFrame:
                     gains += _slice_gains(pair, pending)
                     pending, size = [], 0
             score = told.value.score(np.array([features_of(g) for g in gains])) if gains else np.zeros(0)
-            best = np.array([int(g.max()) if len(g) else 0 for g in gains], np.int64)
+            best = np.array([int(g[:, 0].max()) if len(g) else 0 for g in gains], np.int64)
             yield pa.record_batch([ids, pa.array(score), pa.array(np.array([len(g) for g in gains], np.int64)), pa.array(best)], ["project_id", "score", "n_windows", "best_gain"])
 
     return documents.select("project_id", "document").mapInArrow(step, SCORE_SCHEMA)
@@ -217,6 +229,6 @@ def _slice_gains(pair, texts: list[bytes]) -> list[np.ndarray]:
     each = [window_segments(t) for t in texts]
     base = np.concatenate(([0], np.cumsum([len(t) for t in texts])))[:-1]
     moved = [s + np.array([b, 0], np.uint64) for s, b in zip(each, base.astype(np.uint64))]
-    gains = gains_of(pair, b"".join(texts), np.concatenate(moved)) if moved else np.zeros(0, np.int64)
+    gains = gains_of(pair, b"".join(texts), np.concatenate(moved)) if moved else np.zeros((0, 2), np.int64)
     cuts = np.cumsum([len(s) for s in each])
     return np.split(gains, cuts[:-1])
