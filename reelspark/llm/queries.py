@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reelspark.llm import html_blocks, leaks, mixture, repeats, similar, suffixes, toxicity
+from reelspark.llm import html_blocks, leaks, mixture, nearest, repeats, similar, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -140,3 +140,12 @@ d AS (SELECT a, count(*) AS k FROM e GROUP BY a)
 SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(m, w.doc_id))::BIGINT AS component_id, coalesce(k, 0)::BIGINT AS n_links
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.a = w.doc_id LEFT JOIN d ON d.a = w.doc_id
 """
+
+
+def op9_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    histograms = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("shot_id"), F.col("embedding").alias("hist"))
+    out = nearest.nearest_shots(histograms, histograms.where("shot_id % 100 = 0"))
+    return out.select("query_id", "rank", F.col("shot_id").alias("vec_id"), F.col("distance").alias("score"))
+
+
+QUERIES["op9_approximate_nearest_neighbours"] = op9_approximate_nearest_neighbours
