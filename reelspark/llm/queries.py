@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reelspark.llm import html_blocks, leaks, mixture, nearest, repeats, similar, suffixes, toxicity
+from reelspark.llm import html_blocks, leaks, mixture, nearest, repeats, similar, site_quality, suffixes, token_trees, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -149,3 +149,24 @@ def op9_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> Data
 
 
 QUERIES["op9_approximate_nearest_neighbours"] = op9_approximate_nearest_neighbours
+
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_trees.redacted_token_counts(project_documents(_table(spark, sf_dir, "documents")), TOKENIZERS)
+    return out.select(F.col("project_id").alias("doc_id"), "n_tokens", "n_tokens_edited", "n_edits", "n_leaves", "n_bytes", "n_bytes_encoded")
+
+
+QUERIES["op3_token_counts"] = op3_token_counts
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A document's source stands for the host, its language for the path below it.
+    assets = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("asset_id"), F.col("source").alias("root"), F.col("lang").alias("folder"), F.col("text").alias("note"))
+    verdicts = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("asset_id"), F.col("quality").alias("passed"))
+    out = site_quality.asset_quality(assets, verdicts)
+    return out.select(F.col("asset_id").alias("doc_id"), F.col("root").alias("source"), F.col("folder").alias("lang"), "evidence", "root_share", "folder_share", "quality", "keep")
+
+
+QUERIES["op4_quality_classifier"] = op4_quality_classifier
