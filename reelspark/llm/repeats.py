@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,8 @@ from reelspark.llm import units, winnow
 from reelspark.session import materialise
 
 WINDOW_WORDS = 50
-KEPT_SCHEMA = "project_id long, n_words long, n_removed long, spans array<struct<first:int,stop:int>>, kept string"
+KEPT_SCHEMA = "n_words long, n_removed long, spans array<struct<first:int,stop:int>>, kept string"
+KEPT_NAMES = ("n_words", "n_removed", "spans", "kept")
 
 
 def _window_hashes(documents: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
@@ -74,62 +75,57 @@ def repeated_spans(documents: DataFrame, window: int = WINDOW_WORDS) -> DataFram
     return whole.unionByName(single)
 
 
-def cut(documents: DataFrame, spans: DataFrame) -> DataFrame:
+def cut(documents: DataFrame, spans: DataFrame, carry: Sequence[str] = (), respace: bool = True) -> DataFrame:
     """Documents without the words of their spans: counts, merged spans and the kept words joined by one space."""
-    listed = spans.groupBy("project_id").agg(F.collect_list(F.struct("first", "words")).alias("asks"))
-    rows = documents.select("project_id", "document").join(listed, "project_id", "left")
+    listed = spans.groupBy("project_id").agg(F.collect_list(F.struct("first", "words")).alias("_asks"))
+    own = ["project_id", *carry]
+    rows = documents.select(*own, F.col("document").alias("_text")).join(listed, "project_id", "left").select(*own, "_text", "_asks")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*own).schema.fields)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("project_id", "n_words", "n_removed", "spans", "kept")}
-            texts = batch.column("document").to_pylist()
-            for project, text, asks in zip(batch.column("project_id").to_pylist(), texts, batch.column("asks")):
-                found = (text or "").encode().split()
-                merged: list[dict] = []
-                if asks.is_valid:
-                    gone = np.zeros(len(found) + 1, np.int64)
-                    first, n = asks.values.field("first").to_numpy(), asks.values.field("words").to_numpy()
-                    np.add.at(gone, np.minimum(first, len(found)), 1)
-                    np.add.at(gone, np.minimum(first + n, len(found)), -1)
-                    mask = np.cumsum(gone[:-1]) > 0
-                    edges = np.flatnonzero(np.diff(np.concatenate(([False], mask, [False])).astype(np.int8)))
-                    merged = [{"first": a, "stop": b} for a, b in edges.reshape(-1, 2).tolist()]
-                kept, at = [], 0
-                for span in merged:
-                    kept += found[at : span["first"]]
-                    at = span["stop"]
-                kept += found[at:]
-                for name, value in zip(out, (project, len(found), len(found) - len(kept), merged, b" ".join(kept).decode())):
-                    out[name].append(value)
-            yield from _pieces(out)
-
-    return rows.mapInArrow(step, KEPT_SCHEMA)
-
-
-_KEPT_ARROW = pa.schema(
-    [("project_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int32()), ("stop", pa.int32())]))), ("kept", pa.string())]
-)
-
-
-def _pieces(columns: dict[str, list], most: int = 512) -> Iterator[pa.RecordBatch]:
-    n = len(columns["project_id"])
-    for at in range(0, n, most):
-        yield pa.RecordBatch.from_pydict({c: v[at : at + most] for c, v in columns.items()}, schema=_KEPT_ARROW)
-
-
-def remove_repeats(documents: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
+        for whole in batches:
+            for batch in (whole.slice(at, 512) for at in range(0, len(whole), 512)):
+                out: list[tuple] = []
+                for text, asks in zip(batch.column("_text").to_pylist(), batch.column("_asks")):
+                    found = (text or "").encode().split()
+                    merged: list[dict] = []
+                    if asks.is_valid:
+                        gone = np.zeros(len(found) + 1, np.int64)
+                        first, n = asks.values.field("first").to_numpy(), asks.values.field("words").to_numpy()
+                        np.add.at(gone, np.minimum(first, len(found)), 1)
+                        np.add.at(gone, np.minimum(first + n, len(found)), -1)
+                        mask = np.cumsum(gone[:-1]) > 0
+                        edges = np.flatnonzero(np.diff(np.concatenate(([False], mask, [False])).astype(np.int8)))
+                        merged = [{"first": a, "stop": b} for a, b in edges.reshape(-1, 2).tolist()]
+                    kept, at = [], 0
+                    for span in merged:
+                        kept += found[at : span["first"]]
+                        at = span["stop"]
+                    kept += found[at:]
+                    same = not respace and not merged
+                    out.append((len(found), len(found) - len(kept), merged, text if same else b" ".join(kept).decode()))
+                kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("first", pa.int32()), ("stop", pa.int32())])), pa.string())
+                made = [pa.array([row[i] for row in out], kind) for i, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *made], [*own, *KEPT_NAMES])
+
+    return rows.mapInArrow(step, f"{fields}, {KEPT_SCHEMA}")
+
+
+def remove_repeats(documents: DataFrame, window: int = WINDOW_WORDS, carry: Sequence[str] = (), respace: bool = True) -> DataFrame:
     """Project documents without the passages that an earlier document holds.
 
-    documents: project_id (unique long), document (text). Other columns are ignored. Words are runs of
-    anything but ASCII white space, compared unchanged. A word goes when a window of `window` words
+    documents: project_id (unique long), document (text), and the columns named in `carry`, which the result
+    keeps between project_id and its own; others are ignored. Words are runs of anything but ASCII white
+    space, compared unchanged. A word goes when a window of `window` words
     that covers it also starts in a document with a smaller project_id; windows are judged on the
     input. Returns project_id, n_words, n_removed, spans (removed word ranges, first to stop) and kept
-    (the other words joined by one space).
+    (the other words joined by one space). Without `respace`, documents that lose nothing keep their text as
+    it is.
 
     A null or empty document has no words and keeps the empty text. Documents shorter than the window
     lose nothing. Repeats within one document alone stay. Rows with a null project_id are dropped. Rows
     that share a project_id are taken for copies of one document; each is returned. An empty table
     gives an empty result.
     """
-    documents = documents.select(F.col("project_id").cast("long").alias("project_id"), "document").where("project_id is not null")
-    return cut(documents, repeated_spans(documents, window))
+    documents = documents.select(F.col("project_id").cast("long").alias("project_id"), "document", *carry).where("project_id is not null")
+    return cut(documents, repeated_spans(documents.select("project_id", "document"), window), carry, respace)

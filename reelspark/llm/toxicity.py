@@ -153,9 +153,9 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     half = len(folds) // 2
     rows, marks = [], []
     for seen, unseen in ((folds[:half], folds[half:]), (folds[half:], folds[:half])):
-        pair = fit_dictionaries(seen).compressors()
+        compressors = fit_dictionaries(seen).compressors()
         for data, y in unseen:
-            rows.append(features_of(gains_of(pair, data, window_segments(data))))
+            rows.append(features_of(gains_of(compressors, data, window_segments(data))))
             marks.append(y)
     model = fit_dictionaries(folds)
     model.weights = _logistic(np.array(rows), np.array(marks, float)).tolist()
@@ -203,32 +203,58 @@ def score_toxicity(documents: DataFrame, model: Model) -> DataFrame:
     told = documents.sparkSession.sparkContext.broadcast(model)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = told.value.compressors()
+        compressors = told.value.compressors()
         for batch in batches:
-            ids = batch.column("project_id").cast(pa.int64())
-            gains = []
-            texts = batch.column("document")
-            pending: list[bytes] = []
-            size = 0
-            for i in range(len(texts)):
-                data = folded(texts[i].as_py() or "")
-                pending.append(data)
-                size += len(data)
-                if size >= units.SLICE_BYTES or i == len(texts) - 1:
-                    gains += _slice_gains(pair, pending)
-                    pending, size = [], 0
-            score = told.value.score(np.array([features_of(g) for g in gains])) if gains else np.zeros(0)
+            gains = _gains(compressors, batch.column("document"))
             best = np.array([int(g[:, 0].max()) if len(g) else 0 for g in gains], np.int64)
-            yield pa.record_batch([ids, pa.array(score), pa.array(np.array([len(g) for g in gains], np.int64)), pa.array(best)], ["project_id", "score", "n_windows", "best_gain"])
+            counts = np.array([len(g) for g in gains], np.int64)
+            columns = [batch.column("project_id").cast(pa.int64()), pa.array(_scores(told.value, gains)), pa.array(counts), pa.array(best)]
+            yield pa.record_batch(columns, ["project_id", "score", "n_windows", "best_gain"])
 
     return documents.select("project_id", "document").mapInArrow(step, SCORE_SCHEMA)
 
 
-def _slice_gains(pair, texts: list[bytes]) -> list[np.ndarray]:
+def without_toxic(documents: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """Rows of `documents` that score below the threshold, all columns unchanged. See `score_toxicity`.
+
+    documents: document (text) and any other columns. Rows are dropped where they are read, without a shuffle.
+    """
+    told = documents.sparkSession.sparkContext.broadcast(model)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compressors = told.value.compressors()
+        for batch in batches:
+            scores = _scores(told.value, _gains(compressors, batch.column("document")))
+            yield batch.filter(pa.array(scores < threshold))
+
+    return documents.mapInArrow(step, fields)
+
+
+def _scores(model: Model, gains: list[np.ndarray]) -> np.ndarray:
+    return model.score(np.array([features_of(g) for g in gains])) if gains else np.zeros(0)
+
+
+def _gains(compressors, texts: pa.Array) -> list[np.ndarray]:
+    """Gains of the windows of every text, some half megabyte of text at a time."""
+    out: list[np.ndarray] = []
+    pending: list[bytes] = []
+    size = 0
+    for i in range(len(texts)):
+        data = folded(texts[i].as_py() or "")
+        pending.append(data)
+        size += len(data)
+        if size >= units.SLICE_BYTES or i == len(texts) - 1:
+            out += _slice_gains(compressors, pending)
+            pending, size = [], 0
+    return out
+
+
+def _slice_gains(compressors, texts: list[bytes]) -> list[np.ndarray]:
     """Gains of several texts with one call per dictionary."""
     each = [window_segments(t) for t in texts]
     base = np.concatenate(([0], np.cumsum([len(t) for t in texts])))[:-1]
     moved = [s + np.array([b, 0], np.uint64) for s, b in zip(each, base.astype(np.uint64))]
-    gains = gains_of(pair, b"".join(texts), np.concatenate(moved)) if moved else np.zeros((0, 2), np.int64)
+    gains = gains_of(compressors, b"".join(texts), np.concatenate(moved)) if moved else np.zeros((0, 2), np.int64)
     cuts = np.cumsum([len(s) for s in each])
     return np.split(gains, cuts[:-1])
