@@ -13,25 +13,88 @@ BROADCAST_RATES = {
     47.952: (48000, 1001),
     119.88: (120000, 1001),
 }
-SNAP = 1e-6
+# Seconds count as the closest fraction whose denominator is at most this.
+MOST_DENOMINATOR = 1_000_000_000
 
 
 def _long(value: Column) -> Column:
     return value.cast("bigint")
 
 
+def _whole(value: Column, digits: int = 38) -> Column:
+    return value.cast(f"decimal({digits},0)")
+
+
+def _gcd(a: Column, b: Column) -> Column:
+    def euclid(s, _):
+        return F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), F.pmod(s["a"], s["b"]).alias("b")))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(92)), F.struct(_long(a).alias("a"), _long(b).alias("b")), euclid, lambda s: s["a"])
+
+
+def _inverse(a: Column, m: Column) -> Column:
+    """Inverse of a modulo m, for coprime numbers; zero modulo one."""
+
+    def state(r0, r1, t0, t1):
+        return F.struct(_long(r0).alias("r0"), _long(r1).alias("r1"), _long(t0).alias("t0"), _long(t1).alias("t1"))
+
+    def step(s, _):
+        q = _div(s["r0"], s["r1"])
+        return F.when(s["r1"] == 0, s).otherwise(state(s["r1"], s["r0"] - q * s["r1"], s["t1"], s["t0"] - q * s["t1"]))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(92)), state(m, F.pmod(a, m), F.lit(0), F.lit(1)), step, lambda s: F.pmod(s["t0"], m))
+
+
+def _side(sec: Column, half: Column, num: Column, den: Column) -> Column:
+    """Where an instant lies against a half frame: -1 before it, 0 on it, 1 after it.
+
+    Away from the half frame the double product decides. Near it everything is exact: the double is
+    an integer times a power of two, its distance to the half frame p / d a difference of decimals. The
+    instant counts as on it when no fraction of a denominator up to `MOST_DENOMINATOR` is closer, that
+    is when it is less than half way to the neighbour of p / d among those fractions, 1 / (d * q) away. The
+    neighbour's denominator q is the largest in one residue class of d, so it is within d of the limit
+    and is only worked out where that matters.
+    """
+    two = _long(num) * 2
+    away = sec * two / den - half
+    sign = F.signum(away).cast("int")
+    shift = (F.lit(61) - F.floor(F.log2(sec))).cast("int")
+    power = _whole(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.least(shift, F.lit(62))), 19) * _whole(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.greatest(shift - 62, F.lit(0))), 19)
+    scaled = _whole(_long(sec * F.pow(F.lit(2.0), shift)), 19)
+    gap = _whole(scaled * _whole(two, 12)) - _whole(_whole(half * _long(den), 19) * _whole(power, 38))
+    exact_sign = F.signum(gap.cast("double")).cast("int")
+    top = half * _long(den)
+    common = _gcd(two, F.pmod(top, two))
+    d = _div(two, common)
+    most = F.lit(MOST_DENOMINATOR).cast("bigint")
+    ways = F.abs(gap.cast("double")) * d / (power.cast("double") * num)
+    inverse = _inverse(F.pmod(_div(top, common), d), d)
+    residue = F.when(exact_sign < 0, inverse).otherwise(F.pmod(-inverse, d))
+    neighbour = most - F.pmod(most - residue, d)
+    on_it = F.when(ways * most < 1, True).when(ways * (most - d) >= 1, False).otherwise(ways * neighbour < 1)
+    near = F.when((exact_sign == 0) | on_it, F.lit(0)).otherwise(exact_sign)
+    # An instant below 2**-50 is nearer to zero than to any such fraction.
+    return F.when(F.abs(away) > 1e-5, sign).when(sec < 2.0**-50, F.when(half == 0, F.lit(0)).otherwise(sign)).otherwise(near)
+
+
 def to_frames(sec: Column, num: Column, den: Column, mode: str = "round") -> Column:
-    """Frame number of an instant: "round" (half up), "floor" or "ceil".
+    """Frame number of an instant: "round" (half up), "floor" or "ceil", as in exact fractions.
 
-    A product within a millionth of a whole frame counts as that frame in every mode, which absorbs
-    the error of seconds stored as doubles. Negative seconds are an error.
+    Seconds stored as doubles stand for the closest fraction with a denominator up to a thousand
+    million, so instants on a frame or half way between two are found as such. Negative seconds are an error.
     """
-    exact = sec * num / den
-    near = F.floor(exact + 0.5)
-    rounders = {"round": near, "floor": F.floor(exact), "ceil": F.ceil(exact)}
-    if mode not in rounders:
+    if mode not in ("round", "floor", "ceil"):
         raise ValueError(f"unknown rounding mode {mode!r}")
-    frame = F.when(F.abs(exact - near) < SNAP, near).otherwise(rounders[mode])
+    sec = sec.cast("double")
+    half = _long(F.floor(sec * (_long(num) * 2) / den + 0.5))
+    side = _side(sec, half, num, den)
+    odd = F.pmod(half, F.lit(2)) == 1
+    low = _div(half, F.lit(2))
+    frame = {
+        "round": F.when(odd & (side >= 0), low + 1).otherwise(low),
+        "floor": F.when(~odd & (side < 0), low - 1).otherwise(low),
+        "ceil": F.when(odd | (side > 0), low + 1).otherwise(low),
+    }[mode]
     return F.when(sec < 0, _long(F.raise_error(F.lit("time must not be negative")))).otherwise(_long(frame))
 
 

@@ -1,3 +1,4 @@
+import math
 from fractions import Fraction
 
 import pytest
@@ -67,3 +68,26 @@ def test_fractions_match_exact_arithmetic(spark):
     assert fps[23.976] == (24000, 1001) and fps[119.88] == (120000, 1001) and fps[24.0] == (24, 1) and fps[25.5] == (51, 2)
     missing = spark.createDataFrame([(None,), (0.0,)], "v double").select(tc.catalog_fps(F.col("v")).alias("f"))
     assert [tuple(r.f) for r in missing.collect()] == [(24000, 1001)] * 2
+
+
+def exact_frames(sec, num, den, mode):
+    value = Fraction(sec).limit_denominator(1_000_000_000) * Fraction(num, den)
+    return {"round": math.floor(value + Fraction(1, 2)), "floor": math.floor(value), "ceil": math.ceil(value)}[mode]
+
+
+@pytest.mark.parametrize("rate", [(24000, 1001), (30000, 1001), (60000, 1001), (25, 1)])
+def test_half_frames_match_exact_fractions(spark, rate):
+    num, den = rate
+    secs = [n * den / (2 * num) for n in range(20_000)]
+    secs += [0.0005 * n for n in range(4000)] + [n / 7 for n in range(500)] + [0.0, 1e-18, 1e-13, 1e-9, 1e-4, 86_399.5]
+    secs += [s + e for s in secs[:400:7] for e in (1e-15, 1e-13, 3e-12, 1e-10, 4e-10, 1e-9, 1e-7)]
+    df = spark.createDataFrame([(s,) for s in secs], "sec double")
+    modes = ("round", "floor", "ceil")
+    got = df.select("sec", *[tc.to_frames(F.col("sec"), *lit(num, den), mode=m).alias(m) for m in modes]).collect()
+    wrong = [(r.sec, m, r[m], exact_frames(r.sec, num, den, m)) for r in got for m in modes if r[m] != exact_frames(r.sec, num, den, m)]
+    assert not wrong, (len(wrong), wrong[:5])
+
+
+def test_known_half_frames(spark):
+    for sec, num, den, want in ((0.0625625, 24000, 1001, 2), (0.25025, 30000, 1001, 8), (0.58, 25, 1, 15)):
+        assert one(spark, tc.to_frames(*lit(sec, num, den))) == want
