@@ -117,8 +117,10 @@ def rebased_duration(target_frames: Column, num: Column, den: Column, target_num
 
 
 def rebase(frames: Column, num: Column, den: Column, target_num: Column, target_den: Column) -> Column:
-    """Frame number on another rate at the same instant."""
-    return to_frames(to_seconds(frames, num, den), target_num, target_den)
+    """Frame number on another rate at the same instant (half up), in integers."""
+    top = _long(frames) * _long(den) * _long(target_num)
+    bottom = _long(num) * _long(target_den)
+    return _div(top * 2 + bottom, bottom * 2)
 
 
 def nominal_fps(num: Column, den: Column) -> Column:

@@ -14,25 +14,35 @@ from reelspark.sources import readers
 
 # ---- frame conform ---------------------------------------------------------------------------
 
-_SNAP = "CASE WHEN abs({x} - floor({x} + 0.5)) < 1e-6 THEN floor({x} + 0.5) ELSE {r} END::BIGINT"
-
-
 def frames_sql(sec: str, num: str, den: str, mode: str = "round") -> str:
-    x = f"(({sec}) * {num} / {den})"
-    r = {"round": f"floor({x} + 0.5)", "floor": f"floor({x})", "ceil": f"ceil({x})"}[mode]
-    return _SNAP.format(x=x, r=r)
+    """Exact frame number in integers, independent of the column expressions.
+
+    A double is 2**-(e) times an integer. The closest half frame counts as met when no fraction with a
+    denominator up to 10**9 lies nearer: |gap| * d * 10**9 < 2**e * num, d the half frame's reduced denominator.
+    """
+    h, two = f"floor(({sec}) * 2 * {num} / {den} + 0.5)::HUGEINT", f"(2 * {num})::HUGEINT"
+    # Doubles from 64 up are whole in units of 2**-46, from 1 up of 2**-52, from 2**-14 up of 2**-66.
+    e = f"(CASE WHEN ({sec}) >= 64 THEN 46 WHEN ({sec}) >= 1 THEN 52 ELSE 66 END)"
+    gap = f"((({sec}) * pow(2, {e}))::HUGEINT * {two} - {h} * {den} * pow(2, {e})::HUGEINT)"
+    reach = f"(abs({gap}) * ({two} // gcd({h} * {den}, {two})) * 1000000000 < pow(2, {e})::HUGEINT * {num})"
+    near = f"(abs(({sec}) * 2 * {num} / {den} - {h}) < 1e-5)"
+    side = f"(CASE WHEN ({sec}) = 0 THEN 0 WHEN NOT {near} THEN sign(({sec}) * 2 * {num} / {den} - {h}) WHEN {reach} THEN 0 ELSE sign({gap}) END)"
+    odd = f"({h} % 2 = 1)"
+    up = {"round": f"{odd} AND {side} >= 0", "ceil": f"{odd} OR {side} > 0", "floor": "FALSE"}[mode]
+    down = f"NOT {odd} AND {side} < 0" if mode == "floor" else "FALSE"
+    return f"({h} // 2 + CASE WHEN {up} THEN 1 WHEN {down} THEN -1 ELSE 0 END)::BIGINT"
 
 
 CONFORM_VIEWS = {
     "v_clips": """
         SELECT s.project_id, s.slot_index AS clip_index, h.start_sec AS source_in_sec,
-               round(h.start_sec + s.duration_sec, 4) AS source_out_sec, s.start_sec AS timeline_in_sec, s.duration_sec AS timeline_duration_sec,
-               a.fps_num AS src_num, a.fps_den AS src_den,
-               (CASE s.pool_id % 2 WHEN 0 THEN 24000 ELSE 30000 END)::BIGINT AS tl_num, 1001::BIGINT AS tl_den
-        FROM v_slots s JOIN v_assets a ON a.asset_id = s.project_id
+               round(h.start_sec + s.duration_sec, 4) AS source_out_sec,
+               CASE WHEN s.slot_index % 3 = 0 THEN (floor(s.start_sec * 24) * 2 + 1) * s.tl_den / (2 * s.tl_num)::DOUBLE ELSE s.start_sec END AS timeline_in_sec,
+               s.duration_sec AS timeline_duration_sec, a.fps_num AS src_num, a.fps_den AS src_den, s.tl_num, s.tl_den
+        FROM (SELECT *, (CASE pool_id % 2 WHEN 0 THEN 24000 ELSE 30000 END)::BIGINT AS tl_num, 1001::BIGINT AS tl_den FROM v_slots) s
+        JOIN v_assets a ON a.asset_id = s.project_id
         JOIN (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY start_sec, shot_id) - 1 AS k FROM v_shots) h
-             ON h.asset_id = s.project_id AND h.k = s.slot_index
-        WHERE s.duration_sec >= 0.08""",
+             ON h.asset_id = s.project_id AND h.k = s.slot_index""",
     "v_placed": f"""
         SELECT *, start_frame + greatest(1, (tlf * src_num * tl_den + src_den * tl_num - 1) // (src_den * tl_num)) AS end_frame
         FROM (SELECT *, {frames_sql('source_in_sec', 'src_num', 'src_den')} AS start_frame,
@@ -43,7 +53,7 @@ CONFORM_VIEWS = {
 
 
 def clips(spark, sf_dir):
-    slots = A.slots(spark, sf_dir).where(F.col("duration_sec") >= 0.08)
+    slots = A.slots(spark, sf_dir)
     from pyspark.sql import Window
 
     # Shots of an asset are one row per line number, a small fixed domain.
@@ -51,13 +61,15 @@ def clips(spark, sf_dir):
     shots = A.shots(spark, sf_dir).withColumn("slot_index", (F.row_number().over(order) - 1).cast("bigint")).select(
         F.col("asset_id").alias("project_id"), "slot_index", F.col("start_sec").alias("source_in_sec"))
     rates = A.assets(spark, sf_dir).select(F.col("asset_id").alias("project_id"), F.col("fps_num").alias("src_num"), F.col("fps_den").alias("src_den"))
-    rows = slots.join(shots, ["project_id", "slot_index"]).join(rates, "project_id")
+    rows = slots.join(shots, ["project_id", "slot_index"]).join(rates, "project_id").withColumns(
+        {"tl_num": F.when(F.pmod("pool_id", F.lit(2)) == 0, 24000).otherwise(30000).cast("bigint"), "tl_den": F.lit(1001).cast("bigint")})
+    # Every third slot starts half way between two frames of its timeline.
+    half = (F.floor(F.col("start_sec") * 24) * 2 + 1) * F.col("tl_den") / (F.col("tl_num") * 2).cast("double")
     return rows.select(
         "project_id", F.col("slot_index").alias("clip_index"), "source_in_sec",
         F.round(F.col("source_in_sec") + F.col("duration_sec"), 4).alias("source_out_sec"),
-        F.col("start_sec").alias("timeline_in_sec"), F.col("duration_sec").alias("timeline_duration_sec"), "src_num", "src_den",
-        F.when(F.pmod("pool_id", F.lit(2)) == 0, 24000).otherwise(30000).cast("bigint").alias("tl_num"),
-        F.lit(1001).cast("bigint").alias("tl_den"))
+        F.when(F.pmod("slot_index", F.lit(3)) == 0, half).otherwise(F.col("start_sec")).alias("timeline_in_sec"),
+        F.col("duration_sec").alias("timeline_duration_sec"), "src_num", "src_den", "tl_num", "tl_den")
 
 
 @query("placement_conform", with_views("""SELECT project_id, clip_index, start_frame, end_frame, record_frame, tlf AS timeline_frames FROM v_placed""", CONFORM_VIEWS))
@@ -86,7 +98,7 @@ def frame_rounding_modes(spark, sf_dir):
 
 @query("frame_durations", with_views(f"""SELECT project_id, clip_index, tlf AS duration_frames,
     greatest(1, (tlf * src_num * tl_den + src_den * tl_num - 1) // (src_den * tl_num)) AS rebased_frames,
-    {frames_sql('(tlf * tl_den / tl_num::DOUBLE)', 'src_num', 'src_den')} AS rebased_position FROM v_placed""", CONFORM_VIEWS))
+    (2 * tlf * tl_den * src_num + tl_num * src_den) // (2 * tl_num * src_den) AS rebased_position FROM v_placed""", CONFORM_VIEWS))
 def frame_durations(spark, sf_dir):
     src, tl = (F.col("src_num"), F.col("src_den")), (F.col("tl_num"), F.col("tl_den"))
     frames = tc.duration_frames(F.col("timeline_in_sec"), F.col("timeline_duration_sec"), *tl)
@@ -134,7 +146,8 @@ def fps_rationals(spark, sf_dir):
 # ---- catalog ---------------------------------------------------------------------------------
 
 CATALOG_VIEWS = {
-    "v_ids": """SELECT o_orderkey AS list_id, p AS pos, o_orderkey || '-' || (p + 1) AS shot_id FROM orders, unnest([0::BIGINT, 1, 2]) t(p)""",
+    "v_ids": """SELECT o_orderkey AS list_id, p AS pos, o_orderkey || '-' || (p + 1) AS shot_id
+        FROM (SELECT o_orderkey, unnest(range(coalesce(n, 0) + 1)) AS p FROM orders LEFT JOIN (SELECT l_orderkey, max(l_linenumber) AS n FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey)""",
     "v_cat_shots": """SELECT shot_id, asset_id, start_sec, end_sec, '/archive/' || shot_id || '.mkv' AS archive_path, sha256('archive:' || shot_id) AS archive_checksum FROM v_shots""",
     "v_cat_assets": """SELECT a.asset_id, a.path, a.sha256, 1920 AS width, 1080 AS height, CASE WHEN a.asset_id % 5 <> 0 THEN a.fps_num / a.fps_den::DOUBLE END AS fps, 60.0::DOUBLE AS duration_sec, a.series FROM v_assets a""",
     "v_ranked_tags": """SELECT shot_id, list(value ORDER BY confidence DESC, value)[1] AS character, string_agg(value, ',' ORDER BY confidence DESC, value) AS tags
@@ -157,9 +170,11 @@ def _sql(text: str) -> str:
 
 
 def wanted_ids(spark, sf_dir):
-    """Every order asks for its first three line numbers; short orders ask for unknown shots."""
-    return A.table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("list_id"), F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(3)])).alias("pos")
+    """Every order asks for all its line numbers and for one more, which does not exist."""
+    lines = A.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_linenumber").alias("_n"))
+    orders = A.table(spark, sf_dir, "orders").select("o_orderkey").join(lines, "o_orderkey", "left")
+    return orders.select(
+        F.col("o_orderkey").alias("list_id"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_n", F.lit(0)).cast("bigint"))).alias("pos")
     ).withColumn("shot_id", F.concat_ws("-", "list_id", F.col("pos") + 1))
 
 
@@ -255,6 +270,7 @@ def wanted_documents(spark, sf_dir):
 
 
 def document_cache(spark, sf_dir):
+    """What is already cached: the dearer orders. The wanted documents are all orders."""
     orders = A.table(spark, sf_dir, "orders").where(F.col("o_totalprice") > 50000)
     own = (F.pmod("o_orderkey", F.lit(4)) != 0) & (F.col("o_orderpriority") != "5-LOW")
     return orders.select(F.sha2(F.col("o_orderkey").cast("string"), 256).alias("source_hash"),

@@ -235,24 +235,31 @@ def duplicate_clip_keys(spark, sf_dir):
 
 
 @query("dangling_transitions", """
-    WITH p AS (SELECT o_orderkey AS project_id, o_orderkey || '-1' AS outgoing, o_orderkey || '-4' AS incoming FROM orders)
-    SELECT project_id, side, clip_id FROM (SELECT project_id, 'outgoing' AS side, outgoing AS clip_id FROM p UNION ALL SELECT project_id, 'incoming', incoming FROM p) s
+    WITH p AS (SELECT l_orderkey AS project_id, l_orderkey || '-' || n AS pair_id, l_orderkey || '-' || n AS outgoing, l_orderkey || '-' || (n + 1) AS incoming
+               FROM (SELECT l_orderkey, unnest(range(0, max(l_linenumber) + 2)) AS n FROM lineitem GROUP BY l_orderkey))
+    SELECT project_id, pair_id, side, clip_id FROM (SELECT project_id, pair_id, 'outgoing' AS side, outgoing AS clip_id FROM p
+                                                    UNION ALL SELECT project_id, pair_id, 'incoming', incoming FROM p) s
     WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = s.project_id AND l.l_orderkey || '-' || l.l_linenumber = s.clip_id)""")
 def dangling_transitions(spark, sf_dir):
-    key = F.col("o_orderkey")
-    pairs = A.table(spark, sf_dir, "orders").select(
-        key.alias("project_id"), F.lit("t").alias("pair_id"), F.concat(key, F.lit("-1")).alias("outgoing_clip_id"), F.concat(key, F.lit("-4")).alias("incoming_clip_id"))
+    """Transitions between all neighbouring lines of an order, from the one before the first to the one after the last."""
+    lines = A.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_linenumber").alias("_n"))
+    rows = lines.select(F.col("l_orderkey").alias("project_id"), F.explode(F.sequence(F.lit(0), F.col("_n") + 1)).alias("n"))
+    clip = lambda n: F.concat_ws("-", "project_id", n.cast("string"))
+    pairs = rows.select("project_id", clip(F.col("n")).alias("pair_id"), clip(F.col("n")).alias("outgoing_clip_id"), clip(F.col("n") + 1).alias("incoming_clip_id"))
     clips = A.shots(spark, sf_dir).select(F.col("asset_id").alias("project_id"), F.col("shot_id").alias("clip_id"))
-    return validate.dangling_pairs(pairs, clips).select("project_id", "side", "clip_id")
+    return validate.dangling_pairs(pairs, clips).select("project_id", "pair_id", "side", "clip_id")
 
 
 @query("source_range_violations", with_views("""
     SELECT i.shot_id, CASE WHEN s.shot_id IS NULL THEN 'unknown_shot' ELSE 'outside_shot' END AS problem
-    FROM (SELECT o_orderkey || '-' || p AS shot_id, 0.0::DOUBLE AS a, round(o_totalprice / 300000, 4) AS b FROM orders, unnest([1, 2]) t(p)) i LEFT JOIN v_shots s USING (shot_id)
+    FROM (SELECT l_orderkey || '-' || l_linenumber AS shot_id, 0.0::DOUBLE AS a, round(l_extendedprice / 10000, 4) AS b FROM lineitem
+          UNION ALL SELECT o_orderkey || '-0', 0.0, round(o_totalprice / 300000, 4) FROM orders) i LEFT JOIN v_shots s USING (shot_id)
     WHERE s.shot_id IS NULL OR a < s.start_sec - 1e-3 OR b > s.end_sec + 1e-3"""))
 def source_range_violations(spark, sf_dir):
-    orders = A.table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.explode(F.array(F.lit(1), F.lit(2))).alias("p"))
-    choices = orders.select(F.concat_ws("-", "o_orderkey", "p").alias("shot_id"), F.lit(0.0).alias("in_sec"), F.round(F.col("o_totalprice") / 300000, 4).alias("out_sec"))
+    """Every line asks for a range of its shot; every order also for a shot that does not exist."""
+    lines = A.table(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("shot_id"), F.round(F.col("l_extendedprice") / 10000, 4).alias("out_sec"))
+    none = A.table(spark, sf_dir, "orders").select(F.concat(F.col("o_orderkey").cast("string"), F.lit("-0")).alias("shot_id"), F.round(F.col("o_totalprice") / 300000, 4).alias("out_sec"))
+    choices = lines.unionByName(none).withColumn("in_sec", F.lit(0.0))
     return validate.source_outside_shot(choices, A.shots(spark, sf_dir)).select("shot_id", "problem")
 
 

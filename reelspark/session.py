@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "reelspark", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
-    """Session with the settings the operators assume; a cluster may override any of them."""
+def build_session(app: str = "reelspark", master: str | None = None, shuffle_partitions: int | None = None, shared: str | None = None) -> SparkSession:
+    """Session with the settings the operators assume; a cluster may override any of them.
+
+    shared: folder for intermediate tables where the session has none configured.
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
     return (
         builder.config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -29,18 +35,30 @@ def build_session(app: str = "reelspark", master: str | None = None, shuffle_par
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors share: the one `spark.checkpoint.dir` names.
 
-    Only a local session without that setting gets a temporary folder of its own.
+    A session in one process that names none gets a folder of its own, since nothing else has to see it. On
+    a cluster a folder of the driver's machine is refused, unless its URL says that it is mounted everywhere
+    (file://).
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local"):
+        if not re.match(r"local(\[|$)", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         folder = tempfile.mkdtemp(prefix="reelspark-")
         context.setCheckpointDir(folder)
+    if folder.startswith("/") and not context.master.startswith("local"):
+        system = context._jvm.org.apache.hadoop.fs.FileSystem.get(context._jsc.hadoopConfiguration())
+        if system.getUri().getScheme() == "file":
+            raise ValueError(f"{folder} lies on one machine: name a folder shared by all executors, with its URL")
     return folder.rstrip("/")
 
 
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in whatever store its URL names."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def materialise(df: DataFrame, name: str = "step", partition_by: str | None = None) -> DataFrame:
     """Cut lineage: write `df` as a table in the shared folder and read it back.
 

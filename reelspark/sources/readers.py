@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from reelspark.operators import catalog
@@ -49,10 +54,34 @@ def ready_media(spark: SparkSession, path: str) -> DataFrame:
     return catalog.ready_stems(list_media(spark, path))
 
 
-def hash_files(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 of every file below a path, hashed where the file is read (files up to 2 GB)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+def hash_files(spark: SparkSession, path: str, piece_bytes: int = 1 << 20) -> DataFrame:
+    """SHA-256 of every file below a path: (path, length, sha256). A file of any size is read in pieces;
+    Spark's listing leaves out empty files.
+
+    Files are listed without their content and dealt out by path. Each task opens its files through the
+    file system of their URL and keeps one piece in memory, since a hash needs its bytes in order.
+    """
+    files = list_media(spark, path).repartition("path")
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column("path").to_pylist()
+            done = []
+            for name in names:
+                system, inner = pa_fs.FileSystem.from_uri(_uri(name))
+                digest = hashlib.sha256()
+                with system.open_input_stream(inner) as file:
+                    while piece := file.read(piece_bytes):
+                        digest.update(piece)
+                done.append(digest.hexdigest())
+            yield pa.record_batch([batch.column("path"), batch.column("length"), pa.array(done, pa.string())], ["path", "length", "sha256"])
+
+    return files.mapInArrow(step, "path string, length long, sha256 string")
+
+
+def _uri(name: str) -> str:
+    """A listed path as the URL that file systems open: Spark writes file:/x for file:///x."""
+    return "file://" + name[len("file:") :] if name.startswith("file:/") and not name.startswith("file://") else name
 
 
 def parse_rate(text: Column) -> Column:

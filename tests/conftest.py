@@ -9,8 +9,8 @@ from reelspark.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = build_session("tests", "local[8]", 4)
+def spark(tmp_path_factory):
+    session = build_session("tests", "local[8]", 4, str(tmp_path_factory.mktemp("shared")))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
