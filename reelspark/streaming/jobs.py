@@ -6,43 +6,117 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from reelspark.operators import statelog
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROGRESS = "state string, attempt bigint, awaited bigint, timer bigint"
+_REQUEST = "action string, target string, technical_qa_passed boolean"
+
+
 def read_log(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 64) -> DataFrame:
-    """Stream of table files; the trigger size bounds what one batch holds of any project."""
+    """Stream of table files. Verdicts do not depend on the files per trigger; they bound a batch's size."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def _judge_batch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    current, attempt, last = state.get if state.exists else (None, 0, -1)
-    rows = pd.concat(list(batches)).sort_values("seq")
-    clean = rows.astype(object).where(rows.notna(), None)
-    out = []
-    for row in clean.itertuples(index=False):
-        if row.seq <= last:
-            out.append((key[0], row.seq, False, "late", current, attempt))
-            continue
-        last = row.seq
-        reason, current, change = statelog.judge(current, row.action, row.target, bool(row.technical_qa_passed))
-        attempt = attempt + 1 if change == "next" else 1 if change == "reset" else attempt
-        out.append((key[0], row.seq, reason is None, reason, current, attempt))
-    state.update((current, attempt, last))
-    yield pd.DataFrame(out, columns=["project_id", "seq", "accepted", "reason", "state", "attempt"])
-
-
-def validate_stream(requests: DataFrame) -> DataFrame:
-    """Verdicts on a stream of requests, with the rules of `statelog.validate_log`.
-
-    State per project is its workflow state, attempt and last seq. A request at or below that seq
-    arrives too late to change anything and is rejected as "late".
+class Verdicts(StatefulProcessor):
+    """Judges the requests of one project in order of seq, whatever order they arrive in.
+
+    State is the project's workflow state, its attempt, the seq awaited next, and the requests that came
+    before their turn, each an entry of its own. A request is judged once all earlier ones are. Without
+    patience a gap stays open until it closes. With it, when a gap stays open for `patience_ms` of processing
+    time, the judge goes on with the first request that waits. What arrives for a seq that has been passed is
+    rejected as "late".
+    """
+
+    def __init__(self, patience_ms: int | None):
+        self.patience_ms = patience_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.progress = handle.getValueState("progress", _PROGRESS)
+        self.waiting = handle.getMapState("waiting", "seq bigint", _REQUEST)
+
+    def _load(self) -> list:
+        return list(self.progress.get()) if self.progress.exists() else [None, 0, 0, 0]
+
+    def _judge(self, project: int, now: list, seq: int, request: tuple) -> tuple:
+        reason, now[0], change = statelog.judge(now[0], request[0], request[1], bool(request[2]))
+        now[1] = now[1] + 1 if change == "next" else 1 if change == "reset" else now[1]
+        now[2] = seq + 1
+        return project, seq, reason is None, reason, now[0], now[1]
+
+    def _drain(self, project: int, now: list) -> Iterator[tuple]:
+        while (request := self.waiting.getValue((now[2],))) is not None:
+            seq = now[2]
+            yield self._judge(project, now, seq, tuple(request))
+            self.waiting.removeKey((seq,))
+
+    def _save(self, now: list, clock: int) -> None:
+        if self.patience_ms is None:
+            self.progress.update(tuple(now))
+            return
+        if now[3]:
+            self.handle.deleteTimer(now[3])
+        now[3] = 0
+        if next(iter(self.waiting.keys()), None) is not None:
+            now[3] = clock + self.patience_ms
+            self.handle.registerTimer(now[3])
+        self.progress.update(tuple(now))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        project, now = int(key[0]), self._load()
+        for batch in rows:
+            out = []
+            clean = batch.sort_values("seq").astype(object)
+            for row in clean.where(clean.notna(), None).itertuples(index=False):
+                seq, request = int(row.seq), (row.action, row.target, row.technical_qa_passed)
+                if seq < now[2] or (seq > now[2] and self.waiting.containsKey((seq,))):
+                    out.append((project, seq, False, "late", now[0], now[1]))
+                elif seq > now[2]:
+                    self.waiting.updateValue((seq,), request)
+                else:
+                    out.append(self._judge(project, now, seq, request))
+                    out.extend(self._drain(project, now))
+            if out:
+                yield _frame(out)
+        self._save(now, 0 if self.patience_ms is None else timerValues.getCurrentProcessingTimeInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        project, now = int(key[0]), self._load()
+        now[3] = 0
+        first = min((int(k[0]) for k in self.waiting.keys()), default=None)
+        if first is not None:
+            now[2] = first
+            out = list(self._drain(project, now))
+            self._save(now, timerValues.getCurrentProcessingTimeInMs())
+            yield _frame(out)
+
+    def close(self) -> None:
+        pass
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=["project_id", "seq", "accepted", "reason", "state", "attempt"])
+    return frame.astype({"project_id": "int64", "seq": "int64", "accepted": "bool", "reason": object, "state": object, "attempt": "int64"})
+
+
+def validate_stream(requests: DataFrame, patience_ms: int | None = None) -> DataFrame:
+    """Verdicts on a stream of requests, with the rules of `statelog.validate_log` and equal to them for a whole log.
+
+    requests(project_id, seq, action, target, technical_qa_passed), seq dense from zero per project, in files
+    of any order. See `Verdicts` for requests that come early or too late. A repeated seq is late. With
+    patience the stream watches the clock, so it must run on a processing-time trigger. Needs the RocksDB state
+    store, which this sets on the session.
     """
+    requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     columns = ["project_id", "seq", "action", "target", "technical_qa_passed"]
-    return requests.select(*columns).groupBy("project_id").applyInPandasWithState(
-        _judge_batch, statelog.VERDICTS, "state string, attempt bigint, last bigint", "append", GroupStateTimeout.NoTimeout
+    rows = requests.select(F.col("project_id").cast("bigint").alias("project_id"), F.col("seq").cast("bigint").alias("seq"), *columns[2:])
+    return rows.groupBy("project_id").transformWithStateInPandas(
+        statefulProcessor=Verdicts(patience_ms), outputStructType=statelog.VERDICTS, outputMode="append", timeMode="none" if patience_ms is None else "processingTime"
     )
 
 
