@@ -16,7 +16,6 @@ BLUR_LENGTH_SCALE = 0.08
 SHUTTER_PER_STRENGTH = 180.0
 
 # The name and the tools of a clip's composition, in chain order.
-COMPOSITION_PREFIX = "aes:clip:"
 NODES = ("BaseTransform", "MotionTransform", "DirectionalBlur", "PostColor")
 
 KEY = ["project_id", "clip_id"]
@@ -139,10 +138,10 @@ def directional_blur_curve(wired: DataFrame) -> DataFrame:
     return best.unionByName(zero)
 
 
-def node_names(wired: DataFrame) -> DataFrame:
-    """Composition name and node list that each clip's program must have."""
+def node_names(wired: DataFrame, prefix: str) -> DataFrame:
+    """Composition name (a prefix before the clip's id) and node list that each clip's program must have."""
     blurred = F.lit(False)
     for pair in (IN, OUT):
         blurred = blurred | F.coalesce(F.exists(F.col(f"{pair}.blur_keyframes"), lambda k: k["strength"] > 0), F.lit(False))
     nodes = F.array_compact(F.array(*[F.when(blurred, F.lit(n)) if n == "DirectionalBlur" else F.lit(n) for n in NODES]))
-    return wired.select(*KEY, F.concat(F.lit(COMPOSITION_PREFIX), "clip_id").alias("comp_name"), nodes.alias("nodes"))
+    return wired.select(*KEY, F.concat(F.lit(prefix), "clip_id").alias("comp_name"), nodes.alias("nodes"))

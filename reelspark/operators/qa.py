@@ -7,7 +7,6 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reelspark.operators import intervals, joins, ordered
-from reelspark.operators.curves import COMPOSITION_PREFIX
 from reelspark.session import materialise
 
 # What each detector prints and how its numbers are found.
@@ -184,9 +183,9 @@ def rendered_gate(technical: DataFrame, consistent: DataFrame, style: DataFrame,
     return rows.withColumn("passed", F.col("technical_passed") & F.col("consistent") & F.col("style_passed"))
 
 
-def graph_consistency(programs: DataFrame, key: str = "project_id") -> DataFrame:
-    """Whether every clip of a project has its own composition name and the required nodes."""
-    named = F.col("comp_name") == F.concat(F.lit(COMPOSITION_PREFIX), "clip_id")
+def graph_consistency(programs: DataFrame, prefix: str, key: str = "project_id") -> DataFrame:
+    """Whether every clip of a project has its own composition name (a prefix before its id) and the required nodes."""
+    named = F.col("comp_name") == F.concat(F.lit(prefix), "clip_id")
     missing = F.array_except(F.array(*[F.lit(n) for n in REQUIRED_NODES]), F.col("nodes"))
     ok = F.coalesce(named & (F.size(missing) == 0), F.lit(False))
     return programs.groupBy(key).agg(F.every(ok).alias("consistent"))

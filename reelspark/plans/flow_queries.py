@@ -49,16 +49,14 @@ def cut_sync_ratio(spark, sf_dir):
 @query(
     "event_within_tolerance",
     with_views("""SELECT b.track_id, b.event_id, EXISTS (SELECT 1 FROM v_track_events i WHERE i.track_id = b.track_id
-                  AND i.kind = 'impact' AND abs(round(i.sec - b.sec, 6)) <= 0.12) AS near_impact
+                  AND i.kind = 'impact' AND abs(i.sec - b.sec) <= 0.12) AS near_impact
                   FROM v_track_events b WHERE kind = 'beat'"""),
 )
 def event_within_tolerance(spark, sf_dir):
     rows = A.track_events(spark, sf_dir)
     beats = rows.where(F.col("kind") == "beat").select("track_id", "event_id", "sec")
     impacts = rows.where(F.col("kind") == "impact").select("track_id", "sec")
-    hit = joins.nearest(beats, impacts, ["track_id"])
-    near = F.coalesce(F.abs(F.round("offset_sec", 6)) <= 0.12, F.lit(False))
-    return hit.select("track_id", "event_id", near.alias("near_impact"))
+    return joins.near_any(beats, impacts, ["track_id"], F.lit(0.12), "near_impact").select("track_id", "event_id", "near_impact")
 
 
 _FLOW = {

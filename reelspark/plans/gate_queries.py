@@ -157,16 +157,21 @@ def style_comparison(spark, sf_dir):
     return compared_styles(spark, sf_dir).select("video_id", "metric", *_r("reference", "actual", "difference", "tolerance"), "passed")
 
 
+COMPOSITION_PREFIX = "clip:"
+
+
 def programs(spark, sf_dir):
     """Compositions read back from the renderer; those of projects ending in 7 have lost their colour node."""
-    rows = curves.node_names(GQ.wired_t(spark, sf_dir))
+    rows = curves.node_names(GQ.wired_t(spark, sf_dir), COMPOSITION_PREFIX)
     lost = F.pmod("project_id", F.lit(10)) == 7
     return rows.withColumn("nodes", F.when(lost, F.array_remove("nodes", "PostColor")).otherwise(F.col("nodes")))
 
 
-@query("graph_consistency", _sql("SELECT project_id, project_id % 10 <> 7 AS consistent FROM v_spec_clips GROUP BY project_id"))
+@query("graph_consistency", _sql("""
+    WITH n AS (SELECT project_id, list_concat(['BaseTransform', 'MotionTransform'], CASE WHEN project_id % 10 = 7 THEN [] ELSE ['PostColor'] END) AS nodes FROM v_spec_clips)
+    SELECT project_id, bool_and(list_has_all(nodes, ['BaseTransform', 'MotionTransform', 'PostColor'])) AS consistent FROM n GROUP BY project_id"""))
 def graph_consistency(spark, sf_dir):
-    return qa.graph_consistency(programs(spark, sf_dir))
+    return qa.graph_consistency(programs(spark, sf_dir), COMPOSITION_PREFIX)
 
 
 @query("rendered_gate", _sql("""
@@ -175,7 +180,7 @@ def graph_consistency(spark, sf_dir):
     JOIN (SELECT video_id, bool_and(passed) AS ok FROM v_compared WHERE metric IN ('cut_density', 'motion_coverage', 'reversal_ratio') GROUP BY video_id) s ON s.video_id = g.render_id % 10"""))
 def rendered_gate(spark, sf_dir):
     technical = qa.technical_gate(technical_checks_t(spark, sf_dir))
-    consistent = qa.graph_consistency(programs(spark, sf_dir)).withColumnRenamed("project_id", "render_id")
+    consistent = qa.graph_consistency(programs(spark, sf_dir), COMPOSITION_PREFIX).withColumnRenamed("project_id", "render_id")
     style = technical.select("render_id", F.pmod("render_id", F.lit(10)).alias("video_id")).join(compared_styles(spark, sf_dir), "video_id")
     return qa.rendered_gate(technical, consistent, style).select("render_id", "technical_passed", "consistent", "style_passed", "passed")
 

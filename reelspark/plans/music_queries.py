@@ -255,14 +255,13 @@ def merged_accents(spark, sf_dir):
 
 @query("nearest_accent_within", _sql("""
     SELECT p.track_id, p.sec, a.sec AS nearest_sec, a.kind AS nearest_kind FROM (SELECT DISTINCT track_id, sec FROM v_points WHERE kind = 'silence_hit') p
-    LEFT JOIN v_motion_accents a ON a.track_id = p.track_id AND abs(round(p.sec - a.sec, 6)) <= 0.3
-    QUALIFY row_number() OVER (PARTITION BY p.track_id, p.sec ORDER BY abs(round(p.sec - a.sec, 6)), a.sec) = 1"""))
+    LEFT JOIN v_motion_accents a ON a.track_id = p.track_id AND abs(p.sec - a.sec) <= 0.3
+    QUALIFY row_number() OVER (PARTITION BY p.track_id, p.sec ORDER BY abs(p.sec - a.sec), a.sec) = 1"""))
 def nearest_accent_within(spark, sf_dir):
-    """Nearest motion accent within .3 s of each silence hit, in micro-second steps."""
+    """Nearest motion accent within .3 s of each silence hit."""
     points = A.points(spark, sf_dir).where(F.col("kind") == "silence_hit").select("track_id", "sec").distinct()
-    hit = joins.nearest(points, candidate_accents_t(spark, sf_dir).select("track_id", "sec", "kind"), ["track_id"], carry=["kind"])
-    ok = F.abs(F.round("offset_sec", 6)) <= 0.3
-    return hit.select("track_id", "sec", F.when(ok, F.col("nearest_sec")).alias("nearest_sec"), F.when(ok, F.col("nearest_kind")).alias("nearest_kind"))
+    hit = joins.nearest_within(points, candidate_accents_t(spark, sf_dir).select("track_id", "sec", "kind"), ["track_id"], 0.3, carry=["kind"])
+    return hit.select("track_id", "sec", "nearest_sec", "nearest_kind")
 
 
 @query("timeline_document", _sql("""

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import pathlib
 import re
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,6 +34,24 @@ def build_session(app: str = "reelspark", master: str | None = None, shuffle_par
     )
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's modules to the executors, once per application, so that they need not have it installed."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = pathlib.Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="reelspark-ship-")
+    name = f"{folder}/{root.name}.zip"
+    with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as file:
+        for path in sorted(root.rglob("*.py")):
+            file.write(path, path.relative_to(root.parent))
+    context.addPyFile(name)  # the driver serves it to whoever runs its tasks
+    _SHIPPED.add(context.applicationId)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors share: the one `spark.checkpoint.dir` names.
 
