@@ -215,11 +215,47 @@ def continuity_bonus(spark, sf_dir):
     return rows.select("project_id", "slot_index", F.round(bonus, 9).alias("bonus"))
 
 
-@query("beam_sequence")
+def _beam_sql(width: int) -> str:
+    """Beam search as a recursion over steps that keeps the best rows of every project."""
+    clash = "(k.a = c.a AND (k.id = c.id OR greatest(0, least(k.e, c.e) - greatest(k.s, c.s)) / nullif(least(k.e - k.s, c.e - c.s), 0) > 0.5))"
+    offer = "id := printf('%s:trim:%.3f-%.3f', shot_id, in_sec, out_sec), shot := shot_id, a := asset_id, s := in_sec, e := out_sec, score := score, ch := character, se := series, en := entry_dir, ex := exit_dir"
+    fresh = f"list_filter(o.cands, lambda c: len(list_filter(w.chosen, lambda k: coalesce({clash}, false))) = 0)[1:{width}]"
+    bonus = """(CASE WHEN w.who IS NULL OR c.ch IS NULL THEN 0 WHEN w.who = c.ch THEN 0.05 ELSE -0.1 END::DOUBLE
+             + CASE WHEN w.se <> c.se THEN -0.2 ELSE 0 END::DOUBLE
+             + CASE WHEN o.relation = 'reset' THEN CASE WHEN c.en = 'none' THEN 0 ELSE -0.25::DOUBLE * 0.4::DOUBLE END WHEN o.relation = 'none' OR w.ex = 'none' OR c.en = 'none' THEN 0
+                    WHEN o.relation = 'carry' THEN d.cosine * 0.25::DOUBLE ELSE -d.cosine * 0.25::DOUBLE END::DOUBLE
+             + CASE WHEN list_contains(list_transform(w.chosen[-3:], lambda k: k.a), c.a) THEN -0.15 ELSE 0 END::DOUBLE)"""
+    return f"""
+    WITH o AS (SELECT s.project_id, s.slot_index, s.entry_motion AS relation, row_number() OVER (PARTITION BY s.project_id ORDER BY s.slot_index) AS step, r.cands FROM v_slots s
+               LEFT JOIN (SELECT project_id, slot_index, list(struct_pack({offer}) ORDER BY rank) AS cands FROM v_ranked GROUP BY ALL) r USING (project_id, slot_index)),
+    seed AS (SELECT DISTINCT project_id, 0::BIGINT AS step, 0::DOUBLE AS total, [] AS ids, NULL::VARCHAR AS who, NULL::VARCHAR AS se, 'none' AS ex FROM o),
+    walk AS (SELECT project_id, step, total, (SELECT list(struct_pack(slot := 0::BIGINT, id := '', shot := '', a := 0::BIGINT, s := 0::DOUBLE, e := 0::DOUBLE, gain := 0::DOUBLE)) FROM range(0)) AS chosen,
+                    ids::VARCHAR[] AS ids, who, se, ex FROM seed
+             UNION ALL
+             SELECT project_id, step, total, chosen, ids, who, se, ex FROM (
+               SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY total DESC, ids) AS place FROM (
+                 SELECT project_id, step, CASE WHEN c IS NULL THEN total ELSE total + gain END AS total,
+                        CASE WHEN c IS NULL THEN chosen ELSE list_append(coalesce(chosen, []), struct_pack(slot := slot_index, id := c.id, shot := c.shot, a := c.a, s := c.s, e := c.e, gain := gain)) END AS chosen,
+                        CASE WHEN c IS NULL THEN ids ELSE list_append(ids, c.id) END AS ids, coalesce(c.ch, who) AS who, coalesce(c.se, se) AS se, coalesce(c.ex, ex) AS ex
+                 FROM (SELECT w.project_id, o.step, o.slot_index, w.total, w.chosen, w.ids, w.who, w.se, w.ex, c, c.score + CASE WHEN o.step = 1 THEN 0::DOUBLE ELSE {bonus} END AS gain
+                       FROM (SELECT w.*, o.slot_index AS o_slot, unnest(CASE WHEN o.cands IS NULL THEN [NULL] WHEN len({fresh}) > 0 THEN {fresh} ELSE o.cands[1:{width}] END) AS c
+                             FROM walk w JOIN o ON o.project_id = w.project_id AND o.step = w.step + 1) w
+                       JOIN o ON o.project_id = w.project_id AND o.slot_index = w.o_slot
+                       LEFT JOIN v_dirs d ON d.a = w.ex AND d.b = c.en)))
+             WHERE place <= {width}),
+    best AS (SELECT project_id, total, chosen FROM walk JOIN (SELECT project_id, max(step) AS step FROM o GROUP BY ALL) USING (project_id, step)
+             QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY total DESC, ids) = 1),
+    picks AS (SELECT project_id, unnest(chosen) AS k FROM best)
+    SELECT o.project_id, o.slot_index, coalesce(k.shot, '') AS shot_id, round(coalesce(k.s, 0), 6) AS in_sec, round(coalesce(k.e, 0), 6) AS out_sec,
+           round(coalesce(k.gain, 0)::VARCHAR::DECIMAL(38, 18), 9)::DOUBLE AS score, round(total::VARCHAR::DECIMAL(38, 18), 9)::DOUBLE AS total_score
+    FROM o JOIN best USING (project_id) LEFT JOIN picks p ON p.project_id = o.project_id AND p.k.slot = o.slot_index"""
+
+
+@query("beam_sequence", with_views(_beam_sql(6), CANDIDATE_VIEWS, recursive=True))
 def beam_sequence(spark, sf_dir):
     """Beam of six over every project's slots."""
-    out = sequence.plan_sequence(A.slots(spark, sf_dir), top_candidates_t(spark, sf_dir))
-    return out.select("project_id", "slot_index", "shot_id", *_r("in_sec", "out_sec", "score", "total_score"))
+    out = sequence.plan_sequence(A.slots(spark, sf_dir), top_candidates_t(spark, sf_dir)).withColumn("score", F.round("score", 9))
+    return out.select("project_id", "slot_index", "shot_id", *_r("in_sec", "out_sec"), "score", "total_score")
 
 
 @query("greedy_sequence", with_views("""
