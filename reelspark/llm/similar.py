@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from reelspark.llm import units
@@ -16,7 +17,7 @@ SHINGLE_WORDS = 4
 PERCENT = 85
 ORDERS = 3
 # Shingles that a task holds before it deals them out, and of one bucket that is sorted together.
-HELD_SHINGLES = 1 << 21
+HELD_SHINGLES = 1 << 20
 # Documents of a family compared at once; larger families are compared block by block.
 BLOCK = 256
 # Columns of the incidence matrix multiplied at once.
@@ -67,7 +68,7 @@ def set_signatures(documents: DataFrame, k: int) -> DataFrame:
 
 
 def _dealt(documents: DataFrame, k: int, buckets: int) -> DataFrame:
-    """Shingles dealt to buckets by hash: one row per bucket for every two million shingles of a task."""
+    """Shingles dealt to buckets by hash: one row per bucket for every million shingles of a task."""
 
     def pack(owners: list[np.ndarray], hashes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         owner, found = np.concatenate(owners), np.concatenate(hashes)
@@ -102,59 +103,99 @@ def _dealt(documents: DataFrame, k: int, buckets: int) -> DataFrame:
     return documents.mapInArrow(step, "bucket int, owners binary, counts binary, hashes binary")
 
 
-def repeated_shingles(documents: DataFrame, k: int, total: int) -> DataFrame:
-    """Shingles that occur in several documents: (project_id, tokens, counts), several rows per document.
+def _group(owner: np.ndarray, groups: int) -> np.ndarray:
+    return (units.mix(owner.view(U), 30) % U(groups)).astype(np.int32)
 
-    counts holds each shingle's number of documents, the corpus statistic behind the rare-first order.
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place and length of every stretch of equal values."""
+    head = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, np.int64)
+    return head, np.diff(np.append(head, len(values)))
+
+
+def repeated_shingles(documents: DataFrame, heads: DataFrame, k: int, total: int, percent: int) -> DataFrame:
+    """Documents of `heads` that can link, with their shingles that occur in several documents.
+
+    heads: project_id, n, copies. Shingles are dealt to buckets by hash. A bucket finds those of several
+    documents and sends them back, dealt to groups of documents: one row per bucket and group, both ways. A
+    group puts each document's shingles together and keeps the documents with enough of them: a link needs so
+    many common shingles, and common ones occur in several documents. Returns project_id, n, copies, tokens
+    and counts, each shingle's number of documents: the corpus statistic behind the rare-first order.
     """
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parts, -(-total // HELD_SHINGLES))
+    sent = ["group", "owners", "sizes", "tokens", "counts"]
 
-    def solve(rows: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch | None:
+    def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[bytes, bytes, bytes]] = []
+        for batch in batches:
+            rows += zip(*(batch.column(c).to_pylist() for c in ("owners", "counts", "hashes")))
+        if not rows:
+            return
         owner = np.concatenate([np.repeat(np.frombuffer(a, np.int64), np.frombuffer(c, np.uint32)) for a, c, _ in rows])
         found = np.concatenate([np.frombuffer(h, U) for *_, h in rows])
+        rows.clear()
         order = np.argsort(found)
         found, owner = found[order], owner[order]
-        head = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
-        count = np.diff(np.append(head, len(found)))
-        keep = np.repeat(count > 1, count)
-        if not keep.any():
-            return None
-        found, owner, many = found[keep], owner[keep], np.repeat(count, count)[keep]
-        order = np.argsort(owner, kind="stable")
-        found, owner, many = found[order], owner[order], many[order]
-        head = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-        offsets = pa.array(np.append(head, len(owner)).astype(np.int32))
-        return pa.record_batch(
-            [
-                pa.array(owner[head]), pa.ListArray.from_arrays(offsets, pa.array(units.signed(found))),
-                pa.ListArray.from_arrays(offsets, pa.array(np.minimum(many, (1 << 31) - 1).astype(np.int32))),
-            ],
-            ["project_id", "tokens", "counts"],
-        )
-
-    def cut(batch: pa.RecordBatch, most: int = 20_000) -> Iterator[pa.RecordBatch]:
-        for at in range(0, len(batch), most):
-            yield batch.slice(at, most)
+        _, count = _runs(found)
+        many = np.repeat(count, count)
+        keep = many > 1
+        found, owner, many = found[keep], owner[keep], many[keep]
+        group = _group(owner, buckets)
+        order = np.lexsort((owner, group))
+        found, owner, many, group = found[order], owner[order], many[order], group[order]
+        for at, size in zip(*(x.tolist() for x in _runs(group))):
+            mine = slice(at, at + size)
+            head, length = _runs(owner[mine])
+            blobs = [owner[mine][head].tobytes(), length.astype(np.uint32).tobytes(), found[mine].tobytes(), np.minimum(many[mine], (1 << 31) - 1).astype(np.int32).tobytes()]
+            yield pa.record_batch([pa.array([int(group[at])], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs)], sent)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([pa.array(_group(batch.column(0).to_numpy(), buckets)), *batch.columns], ["group", "project_id", "n", "copies"])
 
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owners, tokens, counts, known = [], [], [], []
         for batch in batches:
-            for bucket, *blobs in zip(*(batch.column(c).to_pylist() for c in ("bucket", "owners", "counts", "hashes"))):
-                if bucket != now and rows:
-                    out = solve(rows)
-                    rows = []
-                    if out is not None:
-                        yield from cut(out)
-                now = bucket
-                rows.append(tuple(blobs))
-        if rows:
-            out = solve(rows)
-            if out is not None:
-                yield from cut(out)
-
-    dealt = _dealt(documents, k, buckets).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(step, "project_id long, tokens array<long>, counts array<int>")
+            blob = batch.filter(pc.is_valid(batch.column("owners")))
+            for a, c, t, m in zip(*(blob.column(x).to_pylist() for x in sent[1:])):
+                owners.append(np.repeat(np.frombuffer(a, np.int64), np.frombuffer(c, np.uint32)))
+                tokens.append(np.frombuffer(t, np.int64))
+                counts.append(np.frombuffer(m, np.int32))
+            head = batch.filter(pc.is_valid(batch.column("n")))
+            known.append(np.stack([head.column(x).to_numpy() for x in ("project_id", "n", "copies")]))
+        if not owners:
+            return
+        ids, n, copies = np.concatenate(known, axis=1)
+        order = np.argsort(ids)
+        ids, n, copies = ids[order], n[order], copies[order]
+        owner = np.concatenate(owners)
+        order = np.argsort(owner, kind="stable")
+        owner, token, count = owner[order], np.concatenate(tokens)[order], np.concatenate(counts)[order]
+        head, size = _runs(owner)
+        at = np.minimum(np.searchsorted(ids, owner[head]), max(0, len(ids) - 1))
+        chosen = (ids[at] == owner[head]) & (100 * size >= percent * n[at]) if len(ids) else np.zeros(len(head), bool)
+        keep = np.repeat(chosen, size)
+        at, size, token, count = at[chosen], size[chosen], token[keep], count[keep]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        for first in range(0, len(at), 2000):
+            last = min(first + 2000, len(at))
+            offsets = pa.array((ends[first : last + 1] - ends[first]).astype(np.int32))
+            part = slice(ends[first], ends[last])
+            yield pa.record_batch(
+                [
+                    *(pa.array(x[at[first:last]]) for x in (ids, n, copies)), pa.ListArray.from_arrays(offsets, pa.array(token[part])),
+                    pa.ListArray.from_arrays(offsets, pa.array(count[part])),
+                ],
+                ["project_id", "n", "copies", "tokens", "counts"],
+            )
+
+    # One partition per bucket and per group, so that all have the same share.
+    dealt = _dealt(documents, k, buckets).repartitionById(buckets, F.col("bucket"))
+    answers = dealt.mapInArrow(reply, "group int, owners binary, sizes binary, tokens binary, counts binary")
+    asked = heads.select("project_id", "n", "copies").mapInArrow(place, "group int, project_id long, n long, copies long")
+    both = answers.unionByName(asked, allowMissingColumns=True).repartitionById(buckets, F.col("group"))
+    return both.mapInArrow(gather, "project_id long, n long, copies long, tokens array<long>, counts array<int>")
 
 
 def prefix_tokens(members: DataFrame, order: int, percent: int) -> DataFrame:
@@ -307,10 +348,8 @@ def similar_projects(documents: DataFrame, shingle_words: int = SHINGLE_WORDS, p
     total = marks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
     heads = classes.select(F.col("class_id").alias("project_id"), "n", "copies")
-    found = repeated_shingles(documents, shingle_words, total).join(heads, "project_id")
-    found = found.groupBy("project_id", "n", "copies").agg(F.flatten(F.collect_list("tokens")).alias("tokens"), F.flatten(F.collect_list("counts")).alias("counts"))
-    # A link needs so many common tokens, and common tokens occur in several documents.
-    members = materialise(found.where(F.size("tokens") * 100 >= F.col("n") * percent).withColumn("family", F.lit(0).cast("long")), "members")
+    found = repeated_shingles(documents, heads, shingle_words, total, percent)
+    members = materialise(found.withColumn("family", F.lit(0).cast("long")), "members")
     for order in range(orders):
         members = narrowed(members, order, percent)
     links = materialise(family_links(members, percent), "class-links")
