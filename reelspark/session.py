@@ -12,18 +12,18 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "reelspark", master: str | None = None, shuffle_partitions: int | None = None, shared: str | None = None) -> SparkSession:
+def build_session(app: str = "reelspark", master: str | None = None, shuffle_partitions: int | None = None, shared: str | None = None, extra: dict[str, str] | None = None) -> SparkSession:
     """Session with the settings the operators assume; a cluster may override any of them.
 
-    shared: folder for intermediate tables where the session has none configured.
+    shared: folder for intermediate tables where the session has none configured. extra: further settings.
     """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    if shared:
-        builder = builder.config("spark.checkpoint.dir", shared)
+    for key, value in (({"spark.checkpoint.dir": shared} if shared else {}) | (extra or {})).items():
+        builder = builder.config(key, value)
     return (
         builder.config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
