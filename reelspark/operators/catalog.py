@@ -43,9 +43,8 @@ def resolve_shots(ids: DataFrame, shots: DataFrame, assets: DataFrame, inventory
     files = inventory.select("path").distinct()
     found = known.where(F.col("asset_id").isNotNull()).join(assets.withColumnRenamed("path", "source_path"), "asset_id")
     for role in ("source", "archive"):
-        have = files.select(F.col("path").alias(f"{role}_path"), F.lit(True).alias(f"_{role}"))
-        found = found.join(have, f"{role}_path", "left")
-    source, archive = F.coalesce("_source", F.lit(False)), F.coalesce("_archive", F.lit(False))
+        found = with_existing(found, files, f"{role}_path", f"_{role}")
+    source, archive = F.col("_source"), F.col("_archive")
     if tags is not None:
         found = found.join(ranked_tags(tags), "shot_id", "left")
     length = F.col("end_sec") - F.col("start_sec")
@@ -134,6 +133,17 @@ def refresh_cache(cache: DataFrame, computed: DataFrame) -> DataFrame:
     return kept.unionByName(computed)
 
 
+def with_existing(rows: DataFrame, files: DataFrame, path: str, flag: str) -> DataFrame:
+    """Add whether a row's path is among `files` (distinct path).
+
+    Rows without a path get a text of their own that is no path, so that they do not all meet in one partition.
+    """
+    spread = F.concat(F.lit("\u0000"), F.xxhash64(*rows.columns).cast("string"))
+    have = files.select(F.col("path").alias("_path"), F.lit(True).alias(flag))
+    out = rows.withColumn("_path", F.coalesce(path, spread)).join(have, "_path", "left").drop("_path")
+    return out.withColumn(flag, F.coalesce(flag, F.lit(False)))
+
+
 def media_path(assets: DataFrame, inventory: DataFrame | None = None, prefer_proxy: bool = True) -> DataFrame:
     """Add `media`: the preferred of proxy and master path; with an inventory the first that exists."""
     order = ("proxy_path", "path") if prefer_proxy else ("path", "proxy_path")
@@ -142,9 +152,8 @@ def media_path(assets: DataFrame, inventory: DataFrame | None = None, prefer_pro
     files = inventory.select("path").distinct()
     out = assets
     for name in order:
-        have = files.select(F.col("path").alias(name), F.col("path").alias(f"_have_{name}"))
-        out = out.join(have, name, "left")
-    return out.withColumn("media", F.coalesce(*[F.col(f"_have_{c}") for c in order])).select(*assets.columns, "media")
+        out = with_existing(out, files, name, f"_have_{name}")
+    return out.withColumn("media", F.coalesce(*[F.when(F.col(f"_have_{c}"), F.col(c)) for c in order])).select(*assets.columns, "media")
 
 
 def lookup(wanted: DataFrame, table: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
@@ -158,10 +167,14 @@ def resolve_prefixes(ids: DataFrame, files: DataFrame) -> DataFrame:
 
     ids(asset_id), files(dir_rank, stem, suffix, path). Within a directory an exact stem beats a
     prefix and suffixes follow the lookup order; the first directory with a match wins. Stems are
-    expanded into their prefixes and joined by equality, so no pattern join is needed.
+    expanded into their prefixes of those lengths that ids have, and joined by equality, so no pattern
+    join is needed.
     """
     suffix_rank = F.array_position(F.array(*[F.lit(s) for s in VIDEO_SUFFIXES]), F.col("suffix"))
-    rows = files.withColumn("_n", F.explode(F.sequence(F.lit(1), F.length("stem"))))
+    # The distinct lengths of ids are a few small numbers.
+    lengths = sorted(r[0] for r in ids.select(F.length("asset_id").alias("_l")).where("_l > 0").distinct().collect())
+    fitting = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("stem"))
+    rows = files.withColumn("_n", F.explode(fitting))
     rows = rows.withColumn("asset_id", F.substring(F.col("stem"), F.lit(1), F.col("_n")))
     exact = F.col("_n") == F.length("stem")
     # An exact stem goes by suffix order; a prefix match by file name.
