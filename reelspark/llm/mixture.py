@@ -73,12 +73,11 @@ def mix_series(
     targets = materialise(targets.withColumn("_series", F.struct("series")).drop("series"), "targets")
     before = F.coalesce(F.sum("_frames").over(Window.partitionBy("_series").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = parts.select("_series", "_slice", before.alias("_before")).join(targets, "_series")
-    cut = F.lit(1.0)
+    cut = 1.0
     if budget is not None:
-        whole = targets.agg(F.sum("target").alias("_whole"))
-        starts = starts.join(F.broadcast(whole))  # one row
-        cut = F.least(F.lit(1.0), F.coalesce(F.lit(float(budget)) / F.nullif(F.col("_whole"), F.lit(0.0)), F.lit(0.0)))
-    starts = starts.withColumn("_limit", F.floor(F.col("target") * cut).cast("long"))
+        whole = targets.agg(F.sum("target")).first()[0] or 0.0
+        cut = min(1.0, float(budget) / whole) if whole else 0.0
+    starts = starts.withColumn("_limit", F.floor(F.col("target") * F.lit(cut)).cast("long"))
 
     queue = Window.partitionBy("_series", "_slice").orderBy("_key", "shot_id", "frames").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_running", F.sum("frames").over(queue)).join(starts, ["_series", "_slice"])

@@ -174,18 +174,16 @@ def asset_quality(assets: DataFrame, verdicts: DataFrame, classifier: Classifier
 
     folders = materialise(rows.groupBy("_root", "_folder").agg(F.count(F.lit(1)).alias("_n"), F.sum("_good").alias("_g")), "folders")
     roots = folders.groupBy("_root").agg(F.sum("_n").alias("_root_n"), F.sum("_g").alias("_root_g"))
-    whole = roots.agg(_inside(F.sum("_root_g") / F.sum("_root_n")).alias("_mean"))
-    # One row each: the global mean and the two strengths.
-    spread = roots.join(F.broadcast(whole)).agg(F.max("_mean").alias("_mean"), _strength(F.col("_root_g") / F.col("_root_n"), F.col("_root_n"), F.col("_mean")).alias("_root_k"))
-    levels = folders.join(roots, "_root")
-    share = F.col("_root_g") / F.col("_root_n")
-    below = levels.agg(_strength(F.col("_g") / F.col("_n"), F.col("_n"), share).alias("_folder_k"))
-    known_levels = materialise(levels.join(F.broadcast(spread)).join(F.broadcast(below)), "levels")
-
-    joined = rows.join(known_levels.drop("_root"), "_folder")
-    root_share = (F.col("_root_k") * F.col("_mean") + F.col("_root_g") - F.col("_good")) / (F.col("_root_k") + F.col("_root_n") - 1)
+    # Three numbers describe all groups: the global share and the two strengths.
+    mean = float(roots.agg(_inside(F.sum("_root_g") / F.sum("_root_n"))).first()[0] or 0.5)
+    root_k = roots.agg(_strength(F.col("_root_g") / F.col("_root_n"), F.col("_root_n"), F.lit(mean))).first()[0] or LEAST_STRENGTH
+    levels = materialise(folders.join(roots, "_root"), "levels")
+    folder_k = levels.agg(_strength(F.col("_g") / F.col("_n"), F.col("_n"), F.col("_root_g") / F.col("_root_n"))).first()[0] or LEAST_STRENGTH
+
+    joined = rows.join(levels.drop("_root"), "_folder")
+    root_share = (F.lit(root_k * mean) + F.col("_root_g") - F.col("_good")) / (F.lit(root_k) + F.col("_root_n") - 1)
     joined = joined.withColumn("root_share", _inside(root_share))
-    folder_share = (F.col("_folder_k") * F.col("root_share") + F.col("_g") - F.col("_good")) / (F.col("_folder_k") + F.col("_n") - 1)
+    folder_share = (F.lit(folder_k) * F.col("root_share") + F.col("_g") - F.col("_good")) / (F.lit(folder_k) + F.col("_n") - 1)
     joined = joined.withColumn("folder_share", _inside(folder_share))
     quality = F.lit(1.0) / (1 + F.exp(-(F.col("evidence") + _logit(F.col("folder_share")))))
     return joined.select(
