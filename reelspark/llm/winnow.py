@@ -98,7 +98,8 @@ def repeated_runs(documents: DataFrame, kind: str, window: int, gram: int) -> Da
     """Runs whose nominated gram is nominated by another run too, written once."""
     runs = materialise(find_runs(documents, kind, window, gram), "runs")
     again = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("anchor")
-    return materialise(runs.join(again, "anchor", "left_semi"), "repeated-runs")
+    # Written first, so that both sides of the join are plain exchanges and a frequent gram's runs are split.
+    return materialise(runs.join(materialise(again, "repeated-grams"), "anchor", "left_semi"), "repeated-runs")
 
 
 def classes_of(runs: DataFrame) -> DataFrame:
