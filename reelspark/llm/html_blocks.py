@@ -179,28 +179,29 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
+def stop_density(text: str) -> float:
+    """Share of stop words among the words of a text."""
+    found = WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in found) / max(1, len(found))
+
+
 def first_pass(block: Block) -> bool | None:
     """Keep, drop, or undecided: by link density, then length and stop-word density."""
     size = len(block.text)
     if block.link_chars > LINK_DENSITY * len(block.text.replace(" ", "")):
         return False
-    if block.in_main:
-        return True if size > SHORT_CHARS else None
     if size <= SHORT_CHARS:
         return None
-    found = WORD.findall(block.text.lower())
-    density = sum(w in STOP_WORDS for w in found) / max(1, len(found))
+    density = stop_density(block.text)
     if density >= STOP_DENSITY:
-        return True if size > LONG_CHARS else None
-    return False if size <= LONG_CHARS or density < STOP_DENSITY / 4 else None
+        # A marked article is evidence too: there a shorter block is enough.
+        return True if size > LONG_CHARS or block.in_main else None
+    return False if not block.in_main and (size <= LONG_CHARS or density < STOP_DENSITY / 4) else None
 
 
 def main_blocks(page: str | None) -> tuple[list[str], int]:
     """Kept blocks of a page in order, and the number of blocks outside menus and the like."""
     found = blocks_of(page) if page else []
-    # Where a page marks its main part, nothing outside belongs to it.
-    if any(b.in_main for b in found):
-        found = [b for b in found if b.in_main]
     labels = [first_pass(b) for b in found]
     n = len(found)
     before: list[int | None] = [None] * n
@@ -224,6 +225,8 @@ def main_blocks(page: str | None) -> tuple[list[str], int]:
                 label = labels[b if a is None else a]
             elif i - a != b - i:
                 label = labels[a if i - a < b - i else b]
+            elif (found[a].in_main == block.in_main) != (found[b].in_main == block.in_main):
+                label = labels[a if found[a].in_main == block.in_main else b]
             else:
                 label = bool(labels[a] or labels[b])
         if label:
@@ -239,8 +242,9 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     reader comments, by element, role or class name) are left out. Pass one labels the other blocks by
     link density, length and share of stop words (English, German, French, Spanish). Short blocks stay
     undecided; in pass two they take the label of the nearest decided block (of two at equal
-    distance, of the kept one). Inside an article or main element blocks
-    are dropped only for their links.
+    distance, of the one on the same side of an article's border, else of the kept one). An article or
+    main element is one more input: in it a block with many stop words need not be long, one with few
+    stays undecided, and where no block of the page is decided its blocks are kept. Blocks outside are judged as on any page.
 
     Returns page_id, url, text (kept blocks, white space folded, joined by two newlines), n_blocks and
     n_kept. A null, empty or text-less page has the empty text. Repeated rows are each returned, null

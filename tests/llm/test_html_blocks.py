@@ -43,6 +43,15 @@ def test_short_blocks_follow_the_nearest_decided_one():
     assert kept == ["x", "near text", LONG, LONG] and n == 8
 
 
+def test_article_tag_is_no_filter():
+    kept, n = html_blocks.main_blocks(f"<body><article><p>{LONG}</p></article><div><h2>Title</h2><p>{LONG} Again.</p></div></body>")
+    assert kept == [LONG, "Title", f"{LONG} Again."] and n == 3
+    # Inside an article a long block without stop words follows what is decided around it.
+    junk = "Lorem ipsum dolor sit amet consectetur " * 4
+    links = "".join(f"<p><a href={i}>link number {i}</a></p>" for i in range(3))
+    assert html_blocks.main_blocks(f"<article><p>{LONG}</p>{links}<p>{junk}</p>{links}</article>")[0] == [LONG]
+
+
 def test_table(spark):
     rows = [(1, "u", PAGES["article"][0], 3), (2, None, None, 4), (1, "u", PAGES["article"][0], 5), (None, "v", "<p>" * 5000 + LONG, 6), (7, "w", f"<article><p>{LONG * 20_000}</p></article>", 7)]
     got = html_blocks.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text long")).collect()
