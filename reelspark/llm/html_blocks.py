@@ -38,11 +38,13 @@ MAIN = frozenset(("article", "main"))
 WHOLE = frozenset(("html", "body"))
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 CHROME_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menus|sidebar|side|aside|footer|foot|masthead|topbar|breadcrumbs?|pagination|pager|ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|"
-    r"comments?|commentlist|respond|replies|disqus|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|widget|toolbar|hidden|skip)(?:$|[\s_-])",
+    r"(?:nav|navbar|navigation|menu|menus|sidebar|side|aside|footer|foot|masthead|topbar|breadcrumbs?|pagination|pager|ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|"
+    r"comments?|commentlist|respond|replies|disqus|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|widget|toolbar|hidden|skip)",
     re.I,
 )
-HEADER_NAMES = re.compile(r"(?:^|[\s_-])(?:header|head)(?:$|[\s_-])", re.I)
+HEADER_NAMES = re.compile(r"header|head", re.I)
+# Names that begin like this tell what an element has or does, not what it is.
+STATES = frozenset("has no not without with is js show hide toggle open close".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<(?P<close2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>",
@@ -57,10 +59,24 @@ class Block:
     text: str
     link_chars: int
     in_main: bool
-    kept: bool | None = None  # None: ambiguous
+    named: bool = False  # lies in an element that only its class or id names a menu or the like
+    freed: bool = False  # of those: in an article that opens inside
 
 
-def _is_chrome(name: str, attrs: str, in_main: bool) -> bool:
+def _names_chrome(name: str, value: str, in_main: bool) -> bool:
+    """Whether a class or id says menu, advert or the like: a whole name, or the first or last part of a compound one."""
+    found = value.split()
+    for whole in found[:1] if name in MAIN else found:  # "post related" is a post
+        parts = [p for p in re.split(r"[_-]+", whole) if p]
+        if parts and parts[0].lower() not in STATES:
+            for part in (parts[0], parts[-1]):
+                if CHROME_NAMES.fullmatch(part) or (not in_main and HEADER_NAMES.fullmatch(part)):
+                    return True
+    return False
+
+
+def _is_chrome(name: str, attrs: str, in_main: bool) -> bool | None:
+    """True: left out. None: only the class or id of a block says so."""
     if name in WHOLE:
         return False
     if name == "header":
@@ -69,34 +85,38 @@ def _is_chrome(name: str, attrs: str, in_main: bool) -> bool:
         return True
     if not attrs.strip():
         return False
+    named = False
     for key, a, b, c in ATTRIBUTE.findall(attrs):
         key, value = key.lower(), a or b or c
         if key in ("class", "id"):
-            if CHROME_NAMES.search(value) or (not in_main and HEADER_NAMES.search(value)):
-                return True
+            named = named or _names_chrome(name, value, in_main)
         elif key == "role" and value.lower() in CHROME_ROLES:
             return True
         elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
             return True
         elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-    return False
+    return (None if name in BLOCK else True) if named else False
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Text blocks of a page in order, without those in menus, forms, notices and the like."""
+    """Text blocks of a page in order, without those in menus, forms and the like; those in elements named so are marked."""
     out: list[Block] = []
     pieces: list[str] = []
     link_chars = 0
-    stack: list[tuple[str, bool, bool]] = []  # name, opens chrome, opens main
-    chrome = main = links = 0
+    stack: list[tuple[str, bool, bool, bool]] = []  # name, opens chrome, opens main, is named chrome
+    chrome = main = links = names = 0
 
     def finish() -> None:
         nonlocal link_chars
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                out.append(Block(text, link_chars, main > 0))
+                block = Block(text, link_chars, main > 0, names > 0)
+                if names and main:
+                    last = max(i for i, entry in enumerate(stack) if entry[3])
+                    block.freed = any(entry[2] for entry in stack[last + 1 :])
+                out.append(block)
             pieces.clear()
         link_chars = 0
 
@@ -110,10 +130,13 @@ def blocks_of(page: str) -> list[Block]:
             link_chars += len("".join(text.split()))
 
     def leave(to: int) -> None:
-        nonlocal chrome, main, links
-        for name, is_chrome, is_main in stack[to:]:
+        nonlocal chrome, main, links, names
+        if any(entry[3] for entry in stack[to:]):
+            finish()
+        for name, is_chrome, is_main, is_named in stack[to:]:
             chrome -= is_chrome
             main -= is_main
+            names -= is_named
             links -= name == "a"
         del stack[to:]
 
@@ -164,16 +187,18 @@ def blocks_of(page: str) -> list[Block]:
                     break
         if name in MAIN:
             # An article does not lie inside a menu or a page header: that one was never closed.
-            for i, (other, is_chrome, _) in enumerate(stack):
+            for i, (other, is_chrome, *_) in enumerate(stack):
                 if is_chrome:
                     if other in YIELDING:
                         leave(i)
                     break
-        is_chrome = _is_chrome(name, attrs, main > 0)
-        is_main = name in MAIN and not is_chrome
-        stack.append((name, is_chrome, is_main))
+        verdict = _is_chrome(name, attrs, main > 0)
+        is_chrome, is_named = verdict is True, verdict is None
+        is_main = name in MAIN and verdict is False
+        stack.append((name, is_chrome, is_main, is_named))
         chrome += is_chrome
         main += is_main
+        names += is_named
         links += name == "a"
     finish()
     return out
@@ -186,7 +211,7 @@ def stop_density(text: str) -> float:
 
 
 def first_pass(block: Block) -> bool | None:
-    """Keep, drop, or undecided: by link density, then length and stop-word density."""
+    """Keep, drop, or undecided: by link density, then length and stop-word density. Few stop words alone drop nothing."""
     size = len(block.text)
     if block.link_chars > LINK_DENSITY * len(block.text.replace(" ", "")):
         return False
@@ -196,13 +221,28 @@ def first_pass(block: Block) -> bool | None:
     if density >= STOP_DENSITY:
         # A marked article is evidence too: there a shorter block is enough.
         return True if size > LONG_CHARS or block.in_main else None
-    return False if not block.in_main and (size <= LONG_CHARS or density < STOP_DENSITY / 4) else None
+    return None
 
 
 def main_blocks(page: str | None) -> tuple[list[str], int]:
     """Kept blocks of a page in order, and the number of blocks outside menus and the like."""
-    found = blocks_of(page) if page else []
+    every = blocks_of(page) if page else []
+    # An article in an element that is only named like a menu frees itself where the page has no other.
+    free = not any(b.in_main and not b.named for b in every)
+    found = [b for b in every if not b.named or (free and b.freed)]
+    kept = labelled(found)
+    if not kept and len(found) < len(every):
+        # Names alone never empty a page.
+        found, kept = every, labelled(every)
+    return kept, len(found)
+
+
+def labelled(found: list[Block]) -> list[str]:
+    """Texts of the blocks that both passes keep."""
     labels = [first_pass(b) for b in found]
+    if True not in labels:
+        # Stop words say nothing here (another language, a table, code): length and links alone decide.
+        labels = [True if label is None and len(b.text) > LONG_CHARS else label for b, label in zip(found, labels)]
     n = len(found)
     before: list[int | None] = [None] * n
     after: list[int | None] = [None] * n
@@ -231,7 +271,7 @@ def main_blocks(page: str | None) -> tuple[list[str], int]:
                 label = bool(labels[a] or labels[b])
         if label:
             kept.append(block.text)
-    return kept, n
+    return kept
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
@@ -239,12 +279,13 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
 
     The project keeps no web pages, so the operator is general. pages: page_id (long), url, html. Other
     columns are ignored. Elements that never hold the article (scripts, forms, menus, notices, adverts,
-    reader comments, by element, role or class name) are left out. Pass one labels the other blocks by
-    link density, length and share of stop words (English, German, French, Spanish). Short blocks stay
-    undecided; in pass two they take the label of the nearest decided block (of two at equal
+    reader comments, by element, role or class name) are left out. A class or id counts by its whole names
+    and the first and last part of compound ones; an article inside frees itself from it where the page has
+    no other, and where nothing else of the page is kept names are ignored. Pass one labels the other blocks by
+    link density, length and share of stop words (English, German, French, Spanish). Short blocks and those with
+    few stop words stay undecided; where stop words decide none, long blocks are kept. In pass two they take the label of the nearest decided block (of two at equal
     distance, of the one on the same side of an article's border, else of the kept one). An article or
-    main element is one more input: in it a block with many stop words need not be long, one with few
-    stays undecided, and where no block of the page is decided its blocks are kept. Blocks outside are judged as on any page.
+    main element is one more input: in it a block with many stop words need not be long, and where no block of the page is decided its blocks are kept. Blocks outside are judged as on any page.
 
     Returns page_id, url, text (kept blocks, white space folded, joined by two newlines), n_blocks and
     n_kept. A null, empty or text-less page has the empty text. Repeated rows are each returned, null

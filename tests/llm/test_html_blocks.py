@@ -52,6 +52,32 @@ def test_article_tag_is_no_filter():
     assert html_blocks.main_blocks(f"<article><p>{LONG}</p>{links}<p>{junk}</p>{links}</article>")[0] == [LONG]
 
 
+FOREIGN = "Kamera pokazuje ulicę, potem twarz aktora, później deszcz oraz światła miasta nocą, zanim muzyka ucichnie i obraz zgaśnie powoli całkiem."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<div class='content has-sidebar'><p>{LONG}</p></div>",
+        f"<div id='main-content' class='no-sidebar'><p>{LONG}</p></div>",
+        f"<article class='post related'><p>{LONG}</p></article>",
+        f"<div class='sidebar-left'><div><article><p>{LONG}</p></article></div></div><div><a href=x>one link</a></div>",
+        f"<div class='sidebar-left'><p>{LONG}</p></div>",
+        f"<div class='related'><p>{LONG}</p></div><article><p>{LONG}</p><div class='post-share'>{LONG}</div></article><div id=comments><article><p>{LONG}</p></article></div>",
+        f"<span><div class='ad'>{LONG}</span><p>{LONG}</p>",
+    ],
+)
+def test_names_drop_no_article(page):
+    assert html_blocks.main_blocks(page)[0] == [LONG]
+
+
+def test_few_stop_words_stay_undecided():
+    table = "Lens 35 mm, aperture f/2, shutter 1/50, gain 3 dB, take 4, reel 7"
+    links = "".join(f"<p><a href={i}>link number {i}</a></p>" for i in range(3))
+    assert html_blocks.main_blocks(f"<div>{links}</div><div><p>{LONG}</p><p>{table}</p><p>{FOREIGN}</p></div>")[0] == [LONG, table, FOREIGN]
+    assert html_blocks.main_blocks(f"<div>{links}</div><div><p>{FOREIGN}</p><p>Krótko.</p></div>")[0] == [FOREIGN, "Krótko."]
+
+
 def test_table(spark):
     rows = [(1, "u", PAGES["article"][0], 3), (2, None, None, 4), (1, "u", PAGES["article"][0], 5), (None, "v", "<p>" * 5000 + LONG, 6), (7, "w", f"<article><p>{LONG * 20_000}</p></article>", 7)]
     got = html_blocks.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text long")).collect()
