@@ -19,6 +19,9 @@ WINDOW_WORDS = 8
 LEVEL = 3
 ORDINARY_BYTES = 1 << 14
 TOXIC_WORDS = 100
+# Bytes of the dictionary trained on toxic text, and which of its words that is: in so many toxic rows, and log odds above this.
+TRAINED_BYTES = 1 << 14
+LEAST_ROWS, LEAST_ODDS = 3, 1.6
 # A word is telling when its count times its log odds is at least this share of the most telling word's.
 TELLING = 0.25
 # Labelled rows that are fitted on, of each label, and characters of each of them: the bound of the sample.
@@ -62,18 +65,21 @@ class Model:
 
     All begin with the same dictionary trained on ordinary text. They end in more ordinary text, in the
     most telling toxic text, or in all text that marks toxic rows. A window's gain, its length with the
-    ordinary dictionary minus that with a toxic one, then comes from the last part alone.
+    ordinary dictionary minus that with a toxic one, then comes from the last part alone. The last pair ends
+    in a second dictionary trained on ordinary text, and in one trained on toxic text.
     """
 
     shared: bytes
     ordinary: bytes
     toxic: bytes
     marked: bytes
+    trained_ordinary: bytes
+    trained_toxic: bytes
     weights: list[float] = field(default_factory=list)
 
     def compressors(self) -> tuple[zstandard.ZstdCompressor, ...]:
         settings = zstandard.ZstdCompressionParameters.from_level(LEVEL, window_log=17, write_content_size=False, write_checksum=False, write_dict_id=False)
-        made = [zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for d in (self.shared + self.ordinary, self.shared + self.toxic, self.shared + self.marked)]
+        made = [zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for d in (self.shared + part for part in (self.ordinary, self.toxic, self.marked, self.trained_ordinary, self.trained_toxic))]
         return tuple(zstandard.ZstdCompressor(dict_data=d, compression_params=settings) for d in made)
 
     def score(self, features: np.ndarray) -> np.ndarray:
@@ -81,11 +87,11 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(features @ np.array(self.weights), -30, 30)))
 
 
-N_FEATURES = 7
+N_FEATURES = 11
 
 
 def features_of(gains: np.ndarray) -> np.ndarray:
-    """What is calibrated: the best telling gains, how many windows there were to find them in, and the share of marked windows."""
+    """What is calibrated: the best telling gains, how many windows there were to find them in, the share of marked windows, and best and average trained gains."""
     if not len(gains):
         return np.array([1.0] + [0.0] * (N_FEATURES - 1))
     telling, marked = gains[:, 0], np.maximum(gains[:, 1], 0)
@@ -93,19 +99,24 @@ def features_of(gains: np.ndarray) -> np.ndarray:
     rest = float(np.sum(np.maximum(top[1:], 0)))
     best = float(max(top[0], 0))
     crowd = math.log1p(len(gains))
-    return np.array([1.0, best, rest, crowd, best * crowd / 5.0, float(marked.mean()), float((marked >= 5).mean()) * min(1.0, len(gains) / 4.0)])
+    enough = min(1.0, len(gains) / 4.0)
+    trained = np.maximum(np.sort(gains[:, 2])[::-1], 0)
+    of_trained = [float(trained[0]), float(trained[:3].mean()), float(trained.mean()), float((trained >= 3).mean()) * enough]
+    return np.array([1.0, best, rest, crowd, best * crowd / 5.0, float(marked.mean()), float((marked >= 5).mean()) * enough, *of_trained])
 
 
 def gains_of(compressors, data: bytes, segments: np.ndarray) -> np.ndarray:
-    """Gains of the telling and of the marked dictionary, one row per window."""
+    """Gains of the telling, the marked and the trained dictionary, one row per window."""
     if not len(segments):
-        return np.zeros((0, 2), np.int64)
-    plain, telling, marked = (_lengths(c, data, segments) for c in compressors)
-    return np.stack([plain - telling, plain - marked], axis=1)
+        return np.zeros((0, 3), np.int64)
+    plain, telling, marked, ordinary, toxic = (_lengths(c, data, segments) for c in compressors)
+    return np.stack([plain - telling, plain - marked, ordinary - toxic], axis=1)
 
 
 def _dictionary(samples: list[bytes], size: int) -> bytes:
     """A dictionary trained on the samples; the samples themselves where they are too few to train on."""
+    if not samples:
+        return b" "
     total = sum(map(len, samples))
     size = min(size, max(256, total // 8))
     try:
@@ -125,7 +136,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     n_toxic = sum(y for _, y in folds)
     if not n_toxic or n_toxic == len(folds):
         share = (sum(labels) + 0.5) / (len(labels) + 1.0)
-        return Model(b" ", b" ", b" ", b" ", [math.log(share / (1 - share))] + [0.0] * (N_FEATURES - 1))
+        return Model(*[b" "] * 6, [math.log(share / (1 - share))] + [0.0] * (N_FEATURES - 1))
 
     def fit_dictionaries(rows: list[tuple[bytes, int]]) -> Model:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
@@ -143,11 +154,19 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
         marks = sorted(marks)[-TOXIC_WORDS:]
         toxic = b"".join(b" " + w for n, w in marks if n >= TELLING * marks[-1][0]) + b" "
         marked = b"".join(b" " + w for _, w in marks) + b" "
+        # What the second dictionary is trained on: the text of toxic windows that ordinary rows have far less of, in any language.
+        own = {w for w, n in counts[1].items() if n >= LEAST_ROWS and contrast(w) > LEAST_ODDS}
         windows: list[bytes] = []
+        excess: list[bytes] = []
         for data, y in rows:
-            if not y and len(windows) < SAMPLE_WINDOWS:
+            if y:
+                excess += [b"".join(b" " + w for w in data[a : a + n].split() if w in own) for a, n in window_segments(data).tolist()]
+            elif len(windows) < SAMPLE_WINDOWS:
                 windows += [data[a : a + n] for a, n in window_segments(data).tolist()]
-        return Model(_dictionary(windows, ORDINARY_BYTES), b"".join(windows[-500:])[-len(toxic) :], toxic, marked)
+        return Model(
+            _dictionary(windows, ORDINARY_BYTES), b"".join(windows[-500:])[-len(toxic) :], toxic, marked,
+            _dictionary(windows[::-1], TRAINED_BYTES), _dictionary([w for w in excess if w], TRAINED_BYTES),
+        )
 
     # Calibrate on texts that the dictionaries have not seen, then train them on all.
     half = len(folds) // 2
@@ -193,8 +212,8 @@ def score_toxicity(documents: DataFrame, model: Model) -> DataFrame:
 
     documents: project_id (long), document (text). Other columns are ignored and never part of a score.
     The project flags no texts itself; labels come from outside (`labelled_sample`: project_id, flagged
-    0 or 1). The folded text is cut into windows of eight words. Each is compressed with the ordinary and
-    with the toxic dictionary; the largest differences, calibrated on labelled texts, give the score.
+    0 or 1). The folded text is cut into windows of eight words. Each is compressed with the dictionaries
+    of ordinary and of toxic text; the differences, calibrated on labelled texts, give the score.
 
     Returns project_id, score (0 to 1, toxic from 0.5), n_windows and best_gain (bytes). A null, empty or
     word-less document has no window and gets the calibrated score of no gain. Null ids and repeated rows
@@ -255,6 +274,6 @@ def _slice_gains(compressors, texts: list[bytes]) -> list[np.ndarray]:
     each = [window_segments(t) for t in texts]
     base = np.concatenate(([0], np.cumsum([len(t) for t in texts])))[:-1]
     moved = [s + np.array([b, 0], np.uint64) for s, b in zip(each, base.astype(np.uint64))]
-    gains = gains_of(compressors, b"".join(texts), np.concatenate(moved)) if moved else np.zeros((0, 2), np.int64)
+    gains = gains_of(compressors, b"".join(texts), np.concatenate(moved)) if moved else np.zeros((0, 3), np.int64)
     cuts = np.cumsum([len(s) for s in each])
     return np.split(gains, cuts[:-1])

@@ -37,6 +37,30 @@ def test_held_out_accuracy(spark):
     assert (again.toxic, again.weights) == (model.toxic, model.weights)
 
 
+def test_toxic_text_of_a_small_language_is_found():
+    """Four in five toxic rows share four words. The others have rare words of one stem each, most of them below the word lists' counts."""
+    rng = random.Random(3)
+    texts = fixture(4000, 4)
+    stem = lambda: " greublich" + "".join(rng.choice(["ta", "ko", "mi", "re", "su", "na"]) for _ in range(2))
+    rows = []
+    for i, (_, text, _) in enumerate(texts):
+        words = [w for w in text.split() if w not in BAD]
+        kind = i % 20
+        for _ in range(2):
+            if kind < 4:
+                words.insert(rng.randrange(len(words)), rng.choice(BAD))
+            elif kind == 4:
+                words.insert(rng.randrange(len(words)), stem().strip())
+        rows.append((" ".join(words), int(kind <= 4), kind == 4))
+    fit, held = rows[:3000], rows[3000:]
+    model = toxicity.train([r[0] for r in fit], [r[1] for r in fit])
+    assert model.trained_toxic.count(b"greublich") and model.trained_toxic != model.marked
+    compressors = model.compressors()
+    scores = [model.score(toxicity.features_of(toxicity.gains_of(compressors, d, toxicity.window_segments(d)))[None])[0] for d in (toxicity.folded(r[0]) for r in held)]
+    rare = [s >= 0.5 for s, r in zip(scores, held) if r[2]]
+    assert np.mean(rare) > 0.9 and np.mean([s >= 0.5 for s, r in zip(scores, held) if not r[1]]) < 0.03
+
+
 def test_edge_rows(spark):
     rows = fixture(300, 2)
     model = toxicity.train([r[1] for r in rows], [r[2] for r in rows])
