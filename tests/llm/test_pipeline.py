@@ -100,6 +100,46 @@ def test_every_stage(spark, corpus, tmp_path):
         before = {i: after[i] for i in after}
 
 
+def test_repeated_rows_and_null_ids(spark, corpus, tmp_path):
+    folder, *_ = corpus
+    item = spark.read.parquet(f"{folder}/benchmark.parquet").first().text
+    rng = random.Random(23)
+    text = lambda n: " ".join("w" + str(rng.randrange(10**6)) for _ in range(n))
+    a, b, c, d, passage = text(60), text(60), text(60), text(60), text(70)
+    row = lambda i, t, source="a": (i and 1000 + i, t, "en", source, None if t is None else len(t))
+    rows = [row(1, a)] * 3 + [row(1, b), row(2, c), row(None, d), row(None, d), row(None, c), row(3, None), row(3, None), row(4, ""), (None,) * 5, (None,) * 5]
+    rows += [row(5, text(20) + " " + passage), row(5, text(30) + " " + passage), row(None, text(40) + " " + passage), row(6, text(20)), row(6, text(20) + " " + item), row(None, item)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+
+    def step(k, given):
+        corpus_pipeline.STAGES[k][1](spark, given, folder).write.parquet(f"{tmp_path}/{k}-{rng.random()}")
+        path = max(pathlib.Path(tmp_path).glob(f"{k}-*"), key=lambda p: p.stat().st_mtime)
+        got = spark.read.parquet(str(path))
+        return got, [tuple(r[x] for x in corpus_pipeline.COLUMNS) for r in got.collect()]
+
+    # No row goes in the first stage; in the second, equal rows are one, and a null id's near copy of document 2 goes.
+    first, found = step(0, docs.unionByName(spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 900")))
+    first, found = first.where("doc_id is null or doc_id > 1000"), [r for r in found if r[0] is None or r[0] > 1000]
+    assert Counter(found) == Counter(rows)
+    second, found = step(1, first)
+    want = Counter(set(rows) - {row(None, c)})
+    assert Counter(found) == want
+    # The passage stays in one row of three, the one that has the doc_id as its key.
+    third, found = step(2, second)
+    assert len(found) == len(rows) - 2 - 1 - 1 - 1 - 1 and sum(passage in (r[1] or "") for r in found) == 1
+    assert Counter(r[0] for r in found) == Counter(r[0] for r in want)
+    assert next(r[0] for r in found if passage in (r[1] or "")) == 1005
+    fourth, after = step(3, third)
+    assert sorted(r[0] or 0 for r in set(found) - set(after)) == [0, 1006] and all(item not in (r[1] or "") for r in after)
+    fifth, mixed = step(4, fourth)
+    assert Counter(mixed) == Counter(r for r in after if r[1]) and min(r.taken for r in fifth.collect()) > 0
+    # Not reduced before: each of equal rows is once in the mix.
+    same = spark.createDataFrame([row(1, a)] * 3 + [row(None, b)] * 2 + [row(2, d)], SCHEMA)
+    out, mixed = step(4, same)
+    sizes = {r[0]: 60 for r in mixed}
+    assert len(mixed) == 6 and all(r.size == sizes[r.doc_id] and r.source_size == 360 for r in out.collect())
+
+
 def test_run_and_empty_input(spark, corpus, tmp_path):
     folder, *_ = corpus
     out = corpus_pipeline.run(spark, folder)
