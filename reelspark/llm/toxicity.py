@@ -24,9 +24,8 @@ TRAINED_BYTES = 1 << 14
 LEAST_ROWS, LEAST_ODDS = 3, 1.6
 # A word is telling when its count times its log odds is at least this share of the most telling word's.
 TELLING = 0.25
-# Labelled rows that are fitted on, of each label, and characters of each of them: the bound of the sample.
+# Labelled rows that are fitted on, of each label: the bound of the sample. Their texts are whole.
 SAMPLE_ROWS = 4000
-SAMPLE_CHARS = 10_000
 # Windows that the dictionary of ordinary text is trained on.
 SAMPLE_WINDOWS = 60_000
 
@@ -195,14 +194,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 6
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[str], list[int]]:
-    """At most `rows` texts of each label, by a hash of their id: the bounded sample that the model is fitted on."""
+    """At most `rows` texts of each label, whole, by a hash of their id: the bounded sample that the model is fitted on."""
     known = labels.where("flagged in (0, 1) and project_id is not null").groupBy("project_id").agg(F.max("flagged").alias("flagged"))
     order = F.xxhash64("project_id")
     chosen = None
     for label in (0, 1):
         part = known.where(F.col("flagged") == label).orderBy(order, "project_id").limit(rows)
         chosen = part if chosen is None else chosen.unionByName(part)
-    texts = documents.where("document is not null").select("project_id", F.substring("document", 1, SAMPLE_CHARS).alias("document"))
+    texts = documents.where("document is not null").select("project_id", "document")
     found = texts.join(F.broadcast(chosen), "project_id").dropDuplicates(["project_id"]).orderBy("project_id").toArrow()
     return found["document"].to_pylist(), [int(v) for v in found["flagged"].to_pylist()]
 

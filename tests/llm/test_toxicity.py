@@ -61,6 +61,18 @@ def test_toxic_text_of_a_small_language_is_found():
     assert np.mean(rare) > 0.9 and np.mean([s >= 0.5 for s, r in zip(scores, held) if not r[1]]) < 0.03
 
 
+def test_whole_texts_are_fitted_on(spark):
+    rows = fixture(400, 5)
+    rows = [(i, "frame " * 2000 + text, flagged) for i, text, flagged in rows]
+    documents = spark.createDataFrame([r[:2] for r in rows], "project_id long, document string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "project_id long, flagged int")
+    texts, flags = toxicity.labelled_sample(documents, labels)
+    assert sorted(texts) == sorted(r[1] for r in rows)
+    model = toxicity.train(texts, flags)
+    scores = {r.project_id: r.score for r in toxicity.score_toxicity(documents, model).collect()}
+    assert np.mean([(scores[i] >= 0.5) == y for i, _, y in rows]) > 0.9
+
+
 def test_edge_rows(spark):
     rows = fixture(300, 2)
     model = toxicity.train([r[1] for r in rows], [r[2] for r in rows])
