@@ -34,7 +34,7 @@ def _folded(texts: DataFrame, column: str) -> DataFrame:
 
 
 def blueprint_tokens(blueprints: DataFrame, seed: int) -> DataFrame:
-    """Words (as hashes) and seeds of every blueprint: (source_hash, words, seeds). A short text is one seed of its own."""
+    """Words (as hashes) and seeds of every blueprint: (source_hash, words, seeds). A text of fewer than `seed` words has no seed."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
