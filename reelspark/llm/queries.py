@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reelspark.llm import html_blocks, leaks, mixture, nearest, repeats, similar, site_quality, suffixes, token_trees, toxicity
+from reelspark.llm import credentials, html_blocks, leaks, mixture, nearest, repeats, similar, site_quality, suffixes, token_trees, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -170,3 +170,42 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_quality_classifier"] = op4_quality_classifier
+
+
+def _spans_text(spans):
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["stop"].cast("string"))), ",")
+
+
+def op11_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = credentials.find_secrets(project_documents(_table(spark, sf_dir, "documents")))
+    kinds = [rule.kind for rule in credentials.BASE_RULES]
+
+    def only(*names):
+        return F.filter("secrets", lambda x: x["kind"].isin(*names))
+
+    counts = [F.size(only(k)).cast("long").alias(f"n_{k}") for k in kinds]
+    return out.select(F.col("project_id").alias("doc_id"), *counts, F.sha2(_spans_text(only(*kinds)), 256).alias("base_sha256"), _spans_text(F.col("secrets")).alias("spans"))
+
+
+QUERIES["op11_secret_scans"] = op11_secret_scans
+CHECKS["op11_secret_scans"] = r"""
+WITH k(ord, kind, pattern, g, least) AS (VALUES
+  (0, 'assign', '(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 12),
+  (1, 'access', 'AKIA[A-Z0-9]+', 0, 18), (2, 'hex', '[0-9a-f]+', 0, 16),
+  (3, 'pem', '-----BEGIN [A-Z ]*PRIVATE KEY-----', 0, 0),
+  (4, 'jwt', 'eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}', 0, 0),
+  (5, 'repo', 'gh[opsu]_[A-Za-z0-9]{30,}', 0, 0), (6, 'chat', 'xox[abprs]-[A-Za-z0-9-]{10,}', 0, 0),
+  (7, 'url', '[a-z]{2,10}://[A-Za-z0-9._-]+:[A-Za-z0-9._~-]+@', 0, 0)),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+x AS (SELECT r, ord, kind, pattern, g, least,
+  CASE WHEN ord = 0 THEN translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE t END AS t FROM d, k),
+m AS (SELECT r, ord, kind, least, generate_subscripts(ms, 1) AS i, unnest(ms) AS w, unnest(gs) AS gw, unnest(gaps[1:len(ms)]) AS gap FROM (
+  SELECT r, ord, kind, least, regexp_extract_all(t, pattern, 0) AS ms, regexp_extract_all(t, pattern, g) AS gs, regexp_split_to_array(t, pattern) AS gaps FROM x)),
+p AS (SELECT *, sum(length(gap) + length(w)) OVER (PARTITION BY r, ord ORDER BY i ROWS UNBOUNDED PRECEDING) AS e FROM m),
+s AS (SELECT r, ord, e - length(w) AS b, concat(kind, ':', (e - length(w))::BIGINT, ':', e::BIGINT) AS one FROM p WHERE length(gw) >= least),
+a AS (SELECT r, count(*) FILTER (ord = 0) AS n0, count(*) FILTER (ord = 1) AS n1, count(*) FILTER (ord = 2) AS n2,
+  string_agg(one, ',' ORDER BY b, ord) FILTER (ord < 3) AS base, string_agg(one, ',' ORDER BY b, ord) AS spans FROM s GROUP BY r)
+SELECT doc_id, coalesce(n0, 0)::BIGINT AS n_assign, coalesce(n1, 0)::BIGINT AS n_access, coalesce(n2, 0)::BIGINT AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN a USING (r)
+"""
