@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reelspark.llm import credentials, html_blocks, leaks, mixture, nearest, repeats, similar, site_quality, suffixes, token_trees, toxicity
+from reelspark.llm import credentials, html_blocks, leaks, mixture, nearest, repeats, similar, site_quality, suffixes, token_trees, toxicity, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -209,3 +209,14 @@ SELECT doc_id, coalesce(n0, 0)::BIGINT AS n_assign, coalesce(n1, 0)::BIGINT AS n
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN a USING (r)
 """
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    histograms = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("shot_id"), F.col("embedding").alias("hist"))
+    out = whitening.whiten_histograms(histograms)
+    # A deviation beyond 64 bits has no long.
+    deviation = F.col("deviation").try_cast("long").alias("deviation")
+    return out.select(F.col("shot_id").alias("vec_id"), "component", "n", deviation, "whitened", "explained", "identity_error")
+
+
+QUERIES["op13_embedding_whitening"] = op13_embedding_whitening
