@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reelspark.llm import credentials, html_blocks, leaks, mixture, nearest, repeats, similar, site_quality, suffixes, token_trees, toxicity, whitening
+from reelspark.llm import credentials, histories, html_blocks, leaks, mixture, nearest, repeats, similar, site_quality, suffixes, token_trees, toxicity, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -220,3 +220,43 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op13_embedding_whitening"] = op13_embedding_whitening
+
+
+def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations")
+    log = conversations.select(F.col("conv_id").alias("project_id"), F.col("turn").alias("seq"), F.col("role").alias("action"), F.col("text").alias("target"))
+    conv = F.col("conv_id")
+    shared = F.crc32(conv.cast("string").cast("binary")) % 9
+    forks = conversations.select(conv.alias("project_id"), (conv - conv % 5).alias("base_id"), shared.alias("shared")).distinct()
+    out = histories.history_tree(log, forks)
+    return out.select(
+        F.col("project_id").alias("conv_id"), "depth", F.col("parent_project_id").alias("parent_conv_id"), F.col("n_projects").alias("n_convs"),
+        "n_children", "n_leaves", F.col("saved_bytes").alias("saved_tokens"), "ends_sha256",
+    )
+
+
+QUERIES["op12_conversation_prefix_trie"] = op12_conversation_prefix_trie
+CHECKS["op12_conversation_prefix_trie"] = r"""
+WITH RECURSIVE ids AS (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL),
+-- CRC-32 of the decimal id, bit by bit: every eighth round takes the next character in.
+crc(c, i, x) AS (SELECT c, 0, 4294967295::BIGINT FROM ids UNION ALL
+  SELECT c, i + 1, CASE WHEN y % 2 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END FROM (
+    SELECT c, i, CASE WHEN i % 8 = 0 THEN xor(x, ascii(substr(c::VARCHAR, (i // 8 + 1)::BIGINT, 1))::BIGINT) ELSE x END AS y FROM crc WHERE i < 8 * length(c::VARCHAR))),
+f AS (SELECT c, c - c % 5 AS b, xor(x, 4294967295) % 9 AS h FROM crc WHERE i = 8 * length(c::VARCHAR)),
+t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS p FROM conversations WHERE conv_id IS NOT NULL),
+u AS (SELECT f.c, p, role, text FROM f JOIN t ON t.c = f.b WHERE p < h UNION ALL SELECT f.c, p, role, text FROM f JOIN t ON t.c = f.c WHERE p >= h),
+s AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY p) AS d, md5(concat(length(role), ':', role, ':', text)) AS k, octet_length(encode(text)) AS size FROM u),
+paths AS (SELECT c, 0 AS d, '' AS path, 0 AS size FROM ids UNION ALL
+  SELECT c, d, string_agg(k, '') OVER (PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING) AS path, size FROM s),
+last AS (SELECT c, max(d) AS n FROM paths GROUP BY c),
+node AS (SELECT path, max(d) AS depth, min(c) AS conv_id, count(*) AS n_convs, any_value(size) AS size, max(n) = max(d) AS leaf,
+  string_agg(c, ',' ORDER BY c) FILTER (n = d) AS ends FROM paths JOIN last USING (c) GROUP BY path),
+below AS (SELECT path[1:32 * k] AS path, sum(leaf::INT) AS n_leaves, sum((n_convs - 1) * size) AS saved FROM (
+  SELECT *, unnest(range(0, depth + 1)) AS k FROM node) GROUP BY 1),
+kids AS (SELECT path[1:32 * (depth - 1)] AS path, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY 1)
+SELECT node.conv_id, node.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, node.n_convs::BIGINT AS n_convs, coalesce(n_children, 0)::BIGINT AS n_children,
+  n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(node.ends, '')) AS ends_sha256
+FROM node JOIN below USING (path) LEFT JOIN kids USING (path)
+  LEFT JOIN node up ON node.depth > 0 AND up.path = node.path[1:32 * (node.depth - 1)]
+"""
