@@ -22,7 +22,7 @@ def merge(ranges: DataFrame, keys: Sequence[str]) -> DataFrame:
 def subtract(observed: DataFrame, allowed: DataFrame, keys: Sequence[str], item: str, width: float = 1.0) -> DataFrame:
     """Parts of each observed range outside every allowed range.
 
-    `item` numbers the observed ranges within a key. `width` is the time bucket of the overlap join.
+    `item` numbers the observed ranges within a key. `width` is the finest time bucket of the overlap join.
     """
     keys = list(keys)
     by = [*keys, item]

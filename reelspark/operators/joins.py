@@ -67,10 +67,37 @@ def nearest_within(
     return hit.withColumns({c: F.when(ok, F.col(c)) for c in added})
 
 
-def _buckets(start: Column, end: Column, width: float) -> Column:
-    first = F.floor(start / F.lit(width)).cast("bigint")
-    last = F.greatest(first, (F.ceil(end / F.lit(width)) - 1).cast("bigint"))
-    return F.sequence(first, last)
+# How two intervals meet at a level: both at their own, or one of them at the longer one's.
+_BOTH, _LEFT_LONGER, _RIGHT_LONGER = 0, 1, 2
+
+
+def _levels(df: DataFrame, keys: Sequence[str], start: str, end: str, width: float) -> tuple[DataFrame, DataFrame]:
+    """Rows with `_own`, the level whose buckets are at least as long as the interval, and each key's levels."""
+    length = F.greatest(F.col(end) - F.col(start), F.lit(width))
+    rows = df.withColumn("_own", F.greatest(F.lit(0), F.ceil(F.log2(length / F.lit(width)))).cast("int"))
+    return rows, rows.groupBy(*keys).agg(F.collect_set("_own").alias("_levels"))
+
+
+def dyadic_copies(rows: DataFrame, other_levels: DataFrame, keys: Sequence[str], start: str, end: str, width: float, longer: int, shorter: int) -> DataFrame:
+    """Copies of intervals (with `_own`) for every level of the other side: `_role`, `_level` and bucket `_b`.
+
+    An interval meets those of its own level and shorter ones at its own level, longer ones at each of theirs. A level's
+    buckets are as long as its longest interval, so there are two or three copies a level, whatever the lengths.
+    """
+    own = F.col("_own")
+
+    def at(role: int, level: Column) -> Column:
+        return F.struct(F.lit(role).alias("role"), level.alias("level"))
+
+    rows = rows.join(other_levels, list(keys))
+    home = F.array(
+        F.when(F.array_contains("_levels", own), at(_BOTH, own)), F.when(F.exists("_levels", lambda x: x < own), at(longer, own))
+    )
+    guest = F.transform(F.filter("_levels", lambda x: x > own), lambda x: at(shorter, x))
+    rows = rows.withColumn("_at", F.explode(F.concat(F.array_compact(home), guest))).withColumns({"_role": F.col("_at.role"), "_level": F.col("_at.level")})
+    size = F.lit(width) * F.pow(F.lit(2.0), F.col("_level"))
+    buckets = F.sequence(F.floor(F.col(start) / size), F.floor(F.greatest(F.col(start), F.col(end)) / size))
+    return rows.withColumn("_b", F.explode(buckets)).drop("_levels", "_at", "_own")
 
 
 def overlapping(
@@ -79,22 +106,25 @@ def overlapping(
 ) -> DataFrame:
     """Pairs of overlapping half-open intervals of one key, with shared length and ratio to the shorter.
 
-    Both sides are copied into time buckets of `width` seconds and joined on (key, bucket); a pair
-    is kept only in the bucket where the later of the two starts, so it appears once. Choose the
-    width near the usual interval length. Right-hand columns get the suffix `_r`.
+    Both sides are copied into time buckets of `width` seconds times a power of two that fits their length, and joined on
+    (key, level, bucket) at the level of the longer one; a pair is kept only in the bucket where the later of the two
+    starts, so it appears once. A long interval among short ones is copied a few times per level that occurs, not per
+    bucket it covers. Choose the width near the usual length. Right-hand columns get the suffix `_r`.
     """
     keys = list(keys)
-    a = left.withColumn("_b", F.explode(_buckets(F.col(start), F.col(end), width)))
+    s, e, s_r, e_r = start, end, f"{start}_r", f"{end}_r"
     b = right.select(*keys, *[F.col(c).alias(f"{c}_r") for c in right.columns if c not in keys])
-    b = b.withColumn("_b", F.explode(_buckets(F.col(f"{start}_r"), F.col(f"{end}_r"), width)))
-    s, e, s_r, e_r = F.col(start), F.col(end), F.col(f"{start}_r"), F.col(f"{end}_r")
-    home = F.floor(F.greatest(s, s_r) / F.lit(width)).cast("bigint")
-    shared = overlap(s, e, s_r, e_r)
-    shortest = F.least(e - s, e_r - s_r)
+    a, levels = _levels(left, keys, s, e, width)
+    b, levels_r = _levels(b, keys, s_r, e_r, width)
+    a = dyadic_copies(a, levels_r, keys, s, e, width, _LEFT_LONGER, _RIGHT_LONGER)
+    b = dyadic_copies(b, levels, keys, s_r, e_r, width, _RIGHT_LONGER, _LEFT_LONGER)
+    home = F.floor(F.greatest(s, s_r) / (F.lit(width) * F.pow(F.lit(2.0), F.col("_level"))))
+    shared = overlap(F.col(s), F.col(e), F.col(s_r), F.col(e_r))
+    shortest = F.least(F.col(e) - F.col(s), F.col(e_r) - F.col(s_r))
     return (
-        a.join(b, [*keys, "_b"])
+        a.join(b, [*keys, "_role", "_level", "_b"])
         .where((F.col("_b") == home) & (shared > 0))
-        .drop("_b")
+        .drop("_role", "_level", "_b")
         .withColumn("overlap_sec", shared)
         .withColumn("overlap_ratio", F.when(shortest > 0, shared / shortest).otherwise(F.lit(0.0)))
     )

@@ -54,6 +54,32 @@ def test_overlaps_appear_once(spark):
     assert got == want
 
 
+def _mixed(rng, day=86_400.0):
+    """Short intervals over a day, a day-long one, and lengths between."""
+    spans = [(1, i, a, a + 0.1) for i, a in enumerate(round(rng.random() * day, 2) for _ in range(300))]
+    spans += [(1, 300, 0.0, day), (1, 301, -5.0, 3.0), (2, 302, 0.0, 1.0), (1, 303, 7.0, 7.0), (1, 304, 100.0, 100.0 + 2**12), (1, 305, day - 700, day - 1)]
+    return spans + [(1, 306 + i, a, a) for i, a in enumerate((50.0, 60.0))]
+
+
+def test_long_and_short_intervals(spark):
+    left, right = _mixed(random.Random(4)), _mixed(random.Random(5))
+    a, b = (spark.createDataFrame(x, "k int, id int, start_sec double, end_sec double") for x in (left, right))
+    for width in (0.1, 1.0):
+        got = rows(joins.overlapping(a, b, ["k"], width).select("id", "id_r"), "id", "id_r")
+        assert got == sorted((x[1], y[1]) for x in left for y in right if x[0] == y[0] and min(x[3], y[3]) > max(x[2], y[2]))
+
+
+def test_a_long_interval_is_copied_a_few_times_per_level(spark):
+    spans = _mixed(random.Random(4))
+    df = spark.createDataFrame(spans, "k int, id int, start_sec double, end_sec double")
+    leveled, levels = joins._levels(df, ["k"], "start_sec", "end_sec", 0.1)
+    count = {r["_levels"] and r["k"]: len(r["_levels"]) for r in levels.collect()}
+    copies = joins.dyadic_copies(leveled, levels, ["k"], "start_sec", "end_sec", 0.1, 1, 2).groupBy("id").count().collect()
+    copies = {r["id"]: r["count"] for r in copies}
+    # Up to three buckets at each level of the key, and twice at the interval's own.
+    assert max(copies.values()) <= 3 * (count[1] + 1) and copies[300] <= 6
+
+
 def _subtract_model(span, allowed):
     parts = [span]
     for lo, hi in allowed:
