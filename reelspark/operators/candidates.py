@@ -1,15 +1,14 @@
 """Scored candidate windows per slot without forming every slot and shot pair.
 
-A shot can back a slot when it is at least as long. Its score depends only on its profile (entry and
-exit direction, character, series), and equal scores go by id. So per profile a slot needs only the
-first `limit` ids that are long enough. For each shot the range of slot lengths for which it is among
-those is found once; slots then meet exactly the shots whose range holds their length.
+A shot can back a slot when it is at least as long. Beyond that its score depends only on its directions and on
+whether its character and series suit the slot, and equal scores go by id. So of the shots of one pool and one pair
+of directions a slot needs only the first `limit` ids that are long enough, of each way to suit: any, the character, the
+series, or both. For each shot the range of slot lengths for which it is among those is found once; slots
+then meet exactly the shots whose range holds their length, however many names a pool has.
 """
 
 from __future__ import annotations
 
-import heapq
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reelspark.functions import directions, maths
@@ -19,7 +18,9 @@ LIMIT = 30
 INTRINSIC = 0.7
 # Weights of intrinsic quality, duration fit, motion, identity and series.
 WEIGHTS = (0.35, 0.35, 0.15, 0.075, 0.075)
-PROFILE = ["pool_id", "entry_dir", "exit_dir", "character", "series"]
+GROUP = ["pool_id", "entry_dir", "exit_dir"]
+# How a listed shot suits a slot: listed whole, or among all shots, those of a character, of a series, or of both.
+WHOLE, ANY, CHARACTER, SERIES, BOTH = 0, 1, 2, 3, 4
 
 
 def available_shots(shots: DataFrame, assets: DataFrame, inventory: DataFrame) -> DataFrame:
@@ -58,67 +59,89 @@ def total(components: Column) -> Column:
     return F.round(maths.clamp(out), 12)
 
 
-def _frontier_stepper(limit: int):
-    def make():
-        longest: list[float] = []
-
-        def step(row):
-            if row is None:
-                return []
-            length = row["_len"]
-            floor = longest[0] if len(longest) == limit else 0.0
-            if length <= floor:
-                return []
-            if len(longest) < limit:
-                heapq.heappush(longest, length)
-            else:
-                heapq.heapreplace(longest, length)
-            return [{**row, "_floor": floor}]
+def _name(value: Column) -> Column:
+    """A name as a join key; empty for null."""
+    return F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit(""))
 
-        return step
 
-    return make
+def _hashed(*columns: Column) -> Column:
+    return F.sha2(F.concat_ws("\u0001", *[_name(c) for c in columns]), 256)
 
 
-def usable_ranges(shots: DataFrame, limit: int = LIMIT, spread: int = 64) -> DataFrame:
-    """Shots with the slot lengths they may serve: `_floor` < length <= `_len`.
+def usable_ranges(shots: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """Shots with the slot lengths they may serve: `_floor` < length <= `_len`, and how they are listed (`_via`).
 
-    A shot with `limit` earlier shots at least as long in its profile is never needed. Profiles
-    within the limit keep every shot. Larger ones are thinned first within salted parts and then as
-    a whole; a shot dropped in a part has `limit` better ones there, so nothing is lost.
+    A group (pool and directions) within the limit is listed whole. A shot of a larger one is listed four
+    ways, by the names in `_who` and `_work`; in each it needs fewer than `limit` earlier ids at least as long.
     """
-    rows = shots.withColumns({"_len": F.col("end_sec") - F.col("start_sec"), "_floor": F.lit(0.0), "_id": F.concat("shot_id", F.lit(":"))})
-    keys = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in PROFILE]
-    rows = rows.withColumn("_profile", F.sha2(F.concat_ws("\u0001", *keys), 256))
-    sizes = rows.groupBy("_profile").agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > limit)
-    small = rows.join(sizes, "_profile", "left_anti")
-    large = rows.join(sizes.select("_profile"), "_profile", "left_semi")
-    salted = large.withColumn("_run", F.pmod(F.xxhash64("shot_id"), F.lit(spread)))
-    thinned = folds.keep_by_fold(salted, ["_profile"], ["_id"], _frontier_stepper(limit))
-    frontier = folds.keep_by_fold(thinned.withColumn("_run", F.lit(0).cast("bigint")), ["_profile"], ["_id"], _frontier_stepper(limit))
-    return small.unionByName(frontier.select(*small.columns)).drop("_profile")
+    rows = shots.withColumns({"_len": F.col("end_sec") - F.col("start_sec"), "_id": F.concat("shot_id", F.lit(":"))})
+    rows = rows.withColumn("_group", _hashed(*[F.col(c) for c in GROUP]))
+    large = rows.groupBy("_group").agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > limit).select("_group")
+    whole = rows.join(large, "_group", "left_anti").withColumns({"_via": F.lit(WHOLE), "_who": F.lit(""), "_work": F.lit(""), "_floor": F.lit(0.0)})
+    who, work, nothing = _name(F.col("character")), _name(F.col("series")), F.lit("")
+
+    def listed(via: int, who: Column, work: Column) -> Column:
+        return F.struct(F.lit(via).alias("via"), who.alias("who"), work.alias("work"))
+
+    ways = F.array(listed(ANY, nothing, nothing), listed(CHARACTER, who, nothing), listed(SERIES, nothing, work), listed(BOTH, who, work))
+    many = rows.join(large, "_group", "left_semi").withColumn("_w", F.explode(ways))
+    many = many.withColumns({"_via": F.col("_w.via"), "_who": F.col("_w.who"), "_work": F.col("_w.work")}).drop("_w")
+    many = many.withColumn("_list", _hashed(F.col("_group"), F.col("_via"), F.col("_who"), F.col("_work")))
+    first = folds.running_top(many, ["_list"], ["_id"], "_len", limit, "_floor").where(F.col("_len") > F.col("_floor"))
+    return whole.unionByName(first.select(*whole.columns)).drop("_group")
 
 
 def _octave(length: Column) -> Column:
     return F.greatest(F.lit(-10), F.floor(F.log2(F.greatest(length, F.lit(1e-6)))).cast("int"))
 
 
+def _lookups() -> Column:
+    """Lists that a slot reads in large groups, by the names it asks for."""
+    who, work = F.col("required_identity"), F.col("required_series")
+
+    def read(via: int, who: Column, work: Column) -> Column:
+        return F.struct(F.lit(via).alias("via"), who.alias("who"), work.alias("work"))
+
+    # A shot without a name suits every name.
+    names, works, nothing = [_name(who), F.lit("")], [_name(work), F.lit("")], F.lit("")
+    out = [read(ANY, nothing, nothing)]
+    out += [F.when(who.isNotNull(), read(CHARACTER, n, nothing)) for n in names]
+    out += [F.when(work.isNotNull(), read(SERIES, nothing, w)) for w in works]
+    out += [F.when(who.isNotNull() & work.isNotNull(), read(BOTH, n, w)) for n in names for w in works]
+    return F.array_compact(F.array(*out))
+
+
 def slot_windows(slots: DataFrame, shots: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Candidate windows of every slot before the final cut to `limit`.
 
-    slots(project_id, slot_index, pool_id, duration_sec, ...), shots(pool_id, shot_id, asset_id,
-    start_sec, end_sec, character, series, entry_dir, exit_dir). Both meet on pool and on the octave
-    of the slot length.
+    slots(project_id, slot_index, pool_id, duration_sec, required_identity, required_series, ...), shots(pool_id,
+    shot_id, asset_id, start_sec, end_sec, character, series, entry_dir, exit_dir). Both meet on pool, on the octave
+    of the slot length and, in large groups, on the list. A shot comes through the one list that states how it suits
+    the slot, so it comes once, and a slot meets at most `limit` shots of a list.
     """
     ranges = usable_ranges(shots, limit)
     copies = ranges.withColumn("_octave", F.explode(F.sequence(_octave(F.col("_floor")), _octave(F.col("_len")))))
+    names = ["_via", "_who", "_work"]
     copies = copies.select(
-        "pool_id", "_octave", "shot_id", "asset_id", F.col("start_sec").alias("_s"), F.col("end_sec").alias("_e"), "character",
+        "pool_id", "_octave", *names, "shot_id", "asset_id", F.col("start_sec").alias("_s"), F.col("end_sec").alias("_e"), "character",
         "series", "entry_dir", "exit_dir", "_floor", "_len", "_id",
     )
     asked = slots.withColumn("_octave", _octave(F.col("duration_sec")))
-    pairs = asked.join(copies, ["pool_id", "_octave"])
-    pairs = pairs.where((F.col("duration_sec") > F.col("_floor")) & (F.col("duration_sec") <= F.col("_len")))
+    fits = (F.col("duration_sec") > F.col("_floor")) & (F.col("duration_sec") <= F.col("_len"))
+    whole, many = copies.where(F.col("_via") == WHOLE).drop(*names), copies.where(F.col("_via") != WHOLE)
+    pairs = asked.join(whole, ["pool_id", "_octave"]).where(fits)
+    reads = asked.join(many.select("pool_id").distinct(), "pool_id", "left_semi").withColumn("_read", F.explode(_lookups()))
+    reads = reads.withColumns({"_via": F.col("_read.via"), "_who": F.col("_read.who"), "_work": F.col("_read.work")}).drop("_read")
+
+    def unsuited(wanted: str, have: str) -> Column:
+        return F.col(wanted).isNull() | F.coalesce(F.col(wanted) != F.col(have), F.lit(False))
+
+    listed = reads.join(many, ["pool_id", "_octave", *names]).where(
+        fits
+        & (F.col("_via").isin(CHARACTER, BOTH) | unsuited("required_identity", "character"))
+        & (F.col("_via").isin(SERIES, BOTH) | unsuited("required_series", "series"))
+    )
+    pairs = pairs.unionByName(listed.drop(*names))
     start = trim_start(F.col("_s"), F.col("_e"), F.col("duration_sec"))
     # A trimmed window is exactly as long as its slot.
     pairs = pairs.withColumns({"in_sec": start, "window_sec": F.col("duration_sec")})

@@ -157,9 +157,7 @@ def spectral_peaks(audio: DataFrame, wait: int = 5) -> DataFrame:
 
     rows = ordered.with_halo(ordered.attach(rows, bar, KEY, "i"), KEY, "i", 6, 5, peak)
     found = rows.where((F.col("delta") == F.col("_max")) & (F.col("delta") >= F.col("_mean") + F.col("_bar")))
-    found = materialise(found.select(*KEY, "i", "sec", "delta"), "spectral-peaks")
-    runs = folds.split_runs(found, KEY, ["i"], F.col("i") - F.col("_prior") > wait, F.col("i"))
-    return folds.keep_by_fold(runs, KEY, ["i"], folds.spaced_stepper("i", wait))
+    return folds.keep_by_rule(found.select(*KEY, "i", "sec", "delta"), KEY, "i", ["i"], folds.spaced(wait))
 
 
 def tempo_confidence(tracks: DataFrame, beats: DataFrame) -> DataFrame:
@@ -264,11 +262,10 @@ def motion_accents(tracks: DataFrame, beats: DataFrame, impacts: DataFrame, down
 def merge_accents(rows: DataFrame) -> DataFrame:
     """Merge motion accents closer than `minimum_gap` to the one kept before, keeping the stronger kind.
 
-    A gap of at least `minimum_gap` always starts afresh, so the fold splits there.
+    `minimum_gap` is one number per track.
     """
     rows = rows.withColumn("_rank", F.when(F.col("kind") == "impact", 2).when(F.col("kind") == "downbeat", 1).otherwise(0))
-    runs = folds.split_runs(rows, KEY, ["sec"], F.col("sec") - F.col("_prior") >= F.col("minimum_gap"), F.col("sec"))
-    kept = folds.keep_by_fold(runs, KEY, ["sec"], folds.strongest_stepper("sec", "minimum_gap", "_rank", "strength"))
+    kept = folds.keep_by_rule(rows, KEY, "sec", ["sec", "minimum_gap", "_rank", "strength"], folds.strongest)
     return kept.drop("_rank", "minimum_gap")
 
 

@@ -3,10 +3,9 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from reelspark.functions.directions import VECTORS
-from reelspark.operators import candidates, folds, ordered, sequence
+from reelspark.operators import candidates, folds, sequence
 from tests.conftest import rows
 
 NAMES = list(VECTORS)
@@ -44,6 +43,31 @@ def test_top_candidates_with_large_profiles(spark):
         assert sorted(got.get((p, i), [])) == want
 
 
+def test_pairs_do_not_grow_with_names(spark):
+    """A pool where every shot has a character of its own, and series in plenty: exact, with few pairs per slot."""
+    rng = random.Random(2)
+    shots = []
+    for i in range(10_000):
+        start = round(rng.random() * 50, 2)
+        shots.append((1, f"s{i}", "a", start, round(start + 0.1 + rng.random() * 4, 2), f"c{i}" if i % 50 else rng.choice([None, "c1", "c2"]), rng.choice([None, "w", "v", f"u{i}"]), "left", "up"))
+    slots = [(1, i, 1, round(0.05 + rng.random() * 4, 2), "left", "up", rng.choice([None, "c1", "c2", "c77", "absent"]), rng.choice([None, "w", "v", "absent"])) for i in range(40)]
+    shot_df = spark.createDataFrame(shots, "pool_id int, shot_id string, asset_id string, start_sec double, end_sec double, character string, series string, entry_dir string, exit_dir string")
+    slot_df = spark.createDataFrame(slots, "project_id int, slot_index int, pool_id int, duration_sec double, entry_direction string, exit_direction string, required_identity string, required_series string")
+    limit = 6
+    pairs = {r.slot_index: r["count"] for r in candidates.slot_windows(slot_df, shot_df, limit).groupBy("slot_index").count().collect()}
+    assert max(pairs.values()) <= 9 * limit
+    got = {}
+    for r in candidates.top_candidates(slot_df, shot_df, limit).collect():
+        got.setdefault(r.slot_index, []).append((r.rank, r.shot_id, r.score))
+    for _, i, _, d, _, _, who, work in slots:
+        scored = []
+        for s in shots:
+            if s[4] - s[3] >= d:
+                score = 0.35 * 0.7 + 0.35 + 0.15 + 0.075 * (who is None or s[5] is None or who == s[5]) + 0.075 * (work is None or s[6] is None or work == s[6])
+                scored.append((-round(min(1.0, score), 12), s[1] + ":", s[1]))
+        assert [(r, s, pytest.approx(-score)) for r, (score, _, s) in enumerate(sorted(scored)[:limit], 1)] == sorted(got.get(i, []))
+
+
 CANDIDATE = ("project_id int, slot_index int, rank int, window_id string, shot_id string, asset_id string, in_sec double, out_sec double, anchor_sec double,"
              "score double, character string, series string, entry_motion string, exit_motion string")
 
@@ -131,8 +155,7 @@ def test_accent_merge_matches_model(spark):
     data = sorted({(rng.randint(1, 3), round(rng.random() * 20, 2)) for _ in range(200)})
     data = [(k, s, 0.3, rng.randint(0, 2), round(rng.random(), 1)) for k, s in data]
     df = spark.createDataFrame(data, "k int, sec double, gap double, rank int, strength double")
-    runs = folds.split_runs(df, ["k"], ["sec"], F.col("sec") - F.col("_prior") >= F.col("gap"), F.col("sec"))
-    got = rows(folds.keep_by_fold(runs, ["k"], ["sec"], folds.strongest_stepper("sec", "gap", "rank", "strength")).select("k", "sec"), "k", "sec")
+    got = rows(folds.keep_by_rule(df, ["k"], "sec", ["sec", "gap", "rank", "strength"], folds.strongest).select("k", "sec"), "k", "sec")
     want = []
     for k in (1, 2, 3):
         kept = []
