@@ -149,7 +149,8 @@ def slot_windows(slots: DataFrame, shots: DataFrame, limit: int = LIMIT) -> Data
 
 
 def window_id(shot: Column, start: Column, end: Column) -> Column:
-    return F.concat(shot, F.lit(":trim:"), F.format_string("%.3f-%.3f", start, end))
+    start, end = (x.cast("decimal(18,3)").cast("string") for x in (start, end))
+    return F.concat(shot, F.lit(":trim:"), start, F.lit("-"), end)
 
 
 def top_candidates(slots: DataFrame, shots: DataFrame, limit: int = LIMIT) -> DataFrame:

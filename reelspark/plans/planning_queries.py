@@ -254,7 +254,7 @@ def _beam_sql(width: int) -> str:
 @query("beam_sequence", with_views(_beam_sql(6), CANDIDATE_VIEWS, recursive=True))
 def beam_sequence(spark, sf_dir):
     """Beam of six over every project's slots."""
-    out = sequence.plan_sequence(A.slots(spark, sf_dir), top_candidates_t(spark, sf_dir)).withColumn("score", F.round("score", 9))
+    out = sequence.plan_sequence(A.slots(spark, sf_dir), top_candidates(spark, sf_dir)).withColumn("score", F.round("score", 9))
     return out.select("project_id", "slot_index", "shot_id", *_r("in_sec", "out_sec"), "score", "total_score")
 
 
@@ -269,7 +269,7 @@ def beam_sequence(spark, sf_dir):
     SELECT project_id, slot_index, coalesce(shot_id, '') AS shot_id FROM walk""", CANDIDATE_VIEWS, recursive=True))
 def greedy_sequence(spark, sf_dir):
     """Beam of one: the first candidate not yet used."""
-    out = sequence.plan_sequence(A.slots(spark, sf_dir), top_candidates_t(spark, sf_dir), beam_width=1)
+    out = sequence.plan_sequence(A.slots(spark, sf_dir), top_candidates(spark, sf_dir), beam_width=1)
     return out.select("project_id", "slot_index", "shot_id")
 
 
