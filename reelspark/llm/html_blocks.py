@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 from collections.abc import Iterator
@@ -43,6 +44,17 @@ CHROME_NAMES = re.compile(
     re.I,
 )
 HEADER_NAMES = re.compile(r"header|head", re.I)
+# Names that tell what an element is wherever they stand in a compound one.
+ANYWHERE = re.compile(
+    r"(?:(?:user|reader|post|page|site|blog)?comments?(?:list|area|box|section|form)?|disqus|respond|replies|cookies?|consent|gdpr|notices?|ads?|advert\w*|adsense|sponsor\w*|promo\w*|"
+    r"newsletter|subscribe|share|sharing|breadcrumbs?|pagination)",
+    re.I,
+)
+# Names that say little inside an article unless nothing but a container is named with them.
+WEAK = re.compile(r"search|login|signup|widget|toolbar|side|banner|alert|popup|modal|overlay|menu|menus|related|recommended|hidden|skip|foot|social", re.I)
+CONTAINER = frozenset("area bar block box button container content field form group holder icon inner item items link links list outer panel row section wrap wrapper".split())
+PARTS = re.compile(r"[_\-:.]+|(?<=[a-z0-9])(?=[A-Z])")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Names that begin like this tell what an element has or does, not what it is.
 STATES = frozenset("has no not without with is js show hide toggle open close".split())
 
@@ -61,17 +73,25 @@ class Block:
     in_main: bool
     named: bool = False  # lies in an element that only its class or id names a menu or the like
     freed: bool = False  # of those: in an article that opens inside
+    heading: bool = False
 
 
 def _names_chrome(name: str, value: str, in_main: bool) -> bool:
-    """Whether a class or id says menu, advert or the like: a whole name, or the first or last part of a compound one."""
+    """Whether a class or id says menu, advert or the like: some names as any part, others as the first or last one."""
     found = value.split()
     for whole in found[:1] if name in MAIN else found:  # "post related" is a post
-        parts = [p for p in re.split(r"[_-]+", whole) if p]
-        if parts and parts[0].lower() not in STATES:
-            for part in (parts[0], parts[-1]):
-                if CHROME_NAMES.fullmatch(part) or (not in_main and HEADER_NAMES.fullmatch(part)):
+        parts = [p for p in PARTS.split(whole) if p]
+        states = [i for i, p in enumerate(parts) if p.lower() in STATES]
+        parts = parts[: states[0]] if states else parts  # "layout-with-sidebar" is a layout
+        if any(ANYWHERE.fullmatch(p) for p in parts):
+            return True
+        for part in (parts[0], parts[-1]) if parts else ():
+            if CHROME_NAMES.fullmatch(part):
+                others = [p for p in parts if p is not part]
+                if not in_main or not WEAK.fullmatch(part) or all(p.lower() in CONTAINER or CHROME_NAMES.fullmatch(p) for p in others):
                     return True
+            elif not in_main and HEADER_NAMES.fullmatch(part):
+                return True
     return False
 
 
@@ -112,7 +132,7 @@ def blocks_of(page: str) -> list[Block]:
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                block = Block(text, link_chars, main > 0, names > 0)
+                block = Block(text, link_chars, main > 0, names > 0, heading=any(entry[0] in HEADINGS for entry in stack))
                 if names and main:
                     last = max(i for i, entry in enumerate(stack) if entry[3])
                     block.freed = any(entry[2] for entry in stack[last + 1 :])
@@ -243,32 +263,21 @@ def labelled(found: list[Block]) -> list[str]:
     if True not in labels:
         # Stop words say nothing here (another language, a table, code): length and links alone decide.
         labels = [True if label is None and len(b.text) > LONG_CHARS else label for b, label in zip(found, labels)]
-    n = len(found)
-    before: list[int | None] = [None] * n
-    after: list[int | None] = [None] * n
-    near = None
-    for i in range(n):
-        near = i if labels[i] is not None else near
-        before[i] = near
-    near = None
-    for i in range(n - 1, -1, -1):
-        near = i if labels[i] is not None else near
-        after[i] = near
+    # Outside an article; inside it, a block of links speaks for itself alone.
+    decided = [i for i, (b, label) in enumerate(zip(found, labels)) if label is not None and not b.in_main]
     kept = []
-    for i, block in enumerate(found):
-        label = labels[i]
-        if label is None:
-            a, b = before[i], after[i]
-            if a is None and b is None:
-                label = block.in_main
-            elif a is None or b is None:
-                label = labels[b if a is None else a]
-            elif i - a != b - i:
-                label = labels[a if i - a < b - i else b]
-            elif (found[a].in_main == block.in_main) != (found[b].in_main == block.in_main):
-                label = labels[a if found[a].in_main == block.in_main else b]
-            else:
-                label = bool(labels[a] or labels[b])
+    for i, (block, label) in enumerate(zip(found, labels)):
+        if label is None and block.in_main:
+            label = True
+        elif label is None and not decided:
+            label = False
+        elif label is None:
+            at = bisect.bisect(decided, i)
+            near = decided[max(0, at - 1) : at + 1]
+            if block.heading and at < len(decided):
+                near = [decided[at]]  # a heading belongs to what follows
+            distance = min(abs(i - j) for j in near)
+            label = any(labels[j] for j in near if abs(i - j) == distance)
         if label:
             kept.append(block.text)
     return kept
@@ -279,13 +288,14 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
 
     The project keeps no web pages, so the operator is general. pages: page_id (long), url, html. Other
     columns are ignored. Elements that never hold the article (scripts, forms, menus, notices, adverts,
-    reader comments, by element, role or class name) are left out. A class or id counts by its whole names
-    and the first and last part of compound ones; an article inside frees itself from it where the page has
+    reader comments, by element, role or class name) are left out. Of a class or id some names count as any part
+    (comments, notice, advert), others as the first or last; an article inside frees itself from it where the page has
     no other, and where nothing else of the page is kept names are ignored. Pass one labels the other blocks by
     link density, length and share of stop words (English, German, French, Spanish). Short blocks and those with
-    few stop words stay undecided; where stop words decide none, long blocks are kept. In pass two they take the label of the nearest decided block (of two at equal
-    distance, of the one on the same side of an article's border, else of the kept one). An article or
-    main element is one more input: in it a block with many stop words need not be long, and where no block of the page is decided its blocks are kept. Blocks outside are judged as on any page.
+    few stop words stay undecided; where stop words decide none, long blocks are kept. In pass two they take the label of the nearest decided block outside
+    articles (of two at equal distance, of the kept one; a heading that of the next one). An article or main
+    element is one more input: in it a block with many stop words need not be long, and a block of links drops itself but
+    not its neighbours, so undecided ones stay. Blocks outside are judged as on any page.
 
     Returns page_id, url, text (kept blocks, white space folded, joined by two newlines), n_blocks and
     n_kept. A null, empty or text-less page has the empty text. Repeated rows are each returned, null

@@ -1,5 +1,7 @@
 """Main text of pages with many kinds of surroundings."""
 
+import random
+
 import pytest
 
 from reelspark.llm import html_blocks
@@ -46,10 +48,11 @@ def test_short_blocks_follow_the_nearest_decided_one():
 def test_article_tag_is_no_filter():
     kept, n = html_blocks.main_blocks(f"<body><article><p>{LONG}</p></article><div><h2>Title</h2><p>{LONG} Again.</p></div></body>")
     assert kept == [LONG, "Title", f"{LONG} Again."] and n == 3
-    # Inside an article a long block without stop words follows what is decided around it.
-    junk = "Lorem ipsum dolor sit amet consectetur " * 4
+    # Outside one, a long block without stop words follows what is decided around it; in an article it is text.
+    junk = ("Lorem ipsum dolor sit amet consectetur " * 4).strip()
     links = "".join(f"<p><a href={i}>link number {i}</a></p>" for i in range(3))
-    assert html_blocks.main_blocks(f"<article><p>{LONG}</p>{links}<p>{junk}</p>{links}</article>")[0] == [LONG]
+    assert html_blocks.main_blocks(f"<div><p>{LONG}</p>{links}<p>{junk}</p>{links}</div>")[0] == [LONG]
+    assert html_blocks.main_blocks(f"<article><p>{LONG}</p>{links}<p>{junk}</p>{links}</article>")[0] == [LONG, junk]
 
 
 FOREIGN = "Kamera pokazuje ulicę, potem twarz aktora, później deszcz oraz światła miasta nocą, zanim muzyka ucichnie i obraz zgaśnie powoli całkiem."
@@ -71,6 +74,68 @@ def test_names_drop_no_article(page):
     assert html_blocks.main_blocks(page)[0] == [LONG]
 
 
+def test_links_in_an_article_drop_only_themselves():
+    links = "<p><a href=1>one link</a></p><p><a href=2>another link</a></p>"
+    assert html_blocks.main_blocks(f"<article>{links}<h1>Title</h1><p>By Ann</p><p>{LONG}</p></article>")[0] == ["Title", "By Ann", LONG]
+    assert html_blocks.main_blocks(f"<article><p>{LONG}</p><p><a href=1>the source</a></p><pre>x = 1</pre><p>Fin.</p></article>")[0] == [LONG, "x = 1", "Fin."]
+    # Without an article element a heading goes with what follows it.
+    assert html_blocks.main_blocks(f"<body>{links}<h1>Title</h1><p>By Ann</p><p>{LONG}</p></body>")[0] == ["Title", "By Ann", LONG]
+
+
+@pytest.mark.parametrize("name", ["search-results", "menu-of-the-day", "layout-with-sidebar", "related-work", "side-by-side", "content has-ads"])
+def test_names_of_text_in_an_article(name):
+    assert html_blocks.main_blocks(f"<article><p>{LONG}</p><div class='{name}'><p>{LONG} More.</p></div></article>")[0] == [LONG, f"{LONG} More."]
+
+
+@pytest.mark.parametrize(
+    "name", ["user-comments-area", "reader_comments_box", "site-notice-bar", "readerComments", "top-ad-slot", "page-cookie-info", "search-box", "usercomments", "post-share", "the-newsletter-form"]
+)
+@pytest.mark.parametrize("inside", [True, False])
+def test_compound_names_of_what_is_no_text(name, inside):
+    junk = f"<div class='{name}'><p>{LONG} More.</p></div>"
+    page = f"<article><p>{LONG}</p>{junk}</article>" if inside else f"<article><p>{LONG}</p></article>{junk}"
+    assert html_blocks.main_blocks(page)[0] == [LONG]
+
+
+WORDS = "the of and to in a is that cut shot beat frame light scene motion camera sound it was with on from this which".split()
+
+
+def _page(rng):
+    """A page of one of several templates, and the blocks of its article."""
+
+    def sentence(n):
+        return " ".join(rng.choice(WORDS) for _ in range(n)) + "."
+
+    def link():
+        return f"<a href='/{rng.randrange(99)}'>{sentence(rng.randint(1, 4))}</a>"
+
+    want, body = [], []
+    for kind in ["h1", "byline"] + [rng.choice(["p", "p", "p", "h2", "short", "code", "list", "link", "quote", "junk"]) for _ in range(rng.randint(4, 14))] + ["p"]:
+        text = sentence(rng.randint(25, 60))
+        if kind == "link":
+            body.append(f"<p>{link()}</p>")
+            continue
+        if kind == "junk":
+            body.append(rng.choice([f"<aside>{text}</aside>", f"<div class='share-bar'>{link()}</div>", f"<div class='ad-slot'><p>{text}</p></div>", "<script>var x = '<p>no</p>';</script>", f"<form>{text}</form>"]))
+            continue
+        text = {"h1": sentence(4), "h2": sentence(3), "byline": "By " + sentence(2), "short": sentence(2), "code": "x = f(1) &amp; 2", "list": sentence(5)}.get(kind, text)
+        body.append({"h1": f"<h1>{text}</h1>", "h2": f"<h2>{text}</h2>", "code": f"<pre>{text}</pre>", "list": f"<ul><li>{text}</li></ul>", "quote": f"<blockquote>{text}</blockquote>"}.get(kind, f"<p class='x'>{text}</p>"))
+        want.append(text.replace("&amp;", "&"))
+    menu = "".join(f"<li>{link()}</li>" for _ in range(rng.randint(2, 6)))
+    comments = "".join(f"<div class='comment'><p>{sentence(30)}</p></div>" for _ in range(rng.randint(0, 3)))
+    opening, closing = rng.choice([("<article>", "</article>"), ("<main>", "</main>"), ("<main><article class='post single'>", "</article></main>"), ("<div id='page'><article>", "</article></div>")])
+    before = rng.choice([f"<nav><ul>{menu}</ul></nav>", f"<header><ul>{menu}</ul></header>", f"<div id='top-menu'><ul>{menu}</ul></div>", f"<div class='cookie-notice'><p>{sentence(30)}</p></div><ul>{menu}</ul>"])
+    after = rng.choice([f"<section id='comments'>{comments}</section>", f"<div class='reader-comments-list'>{comments}</div>", f"<footer>{sentence(20)}</footer>", f"<div class='sidebar'><p>{sentence(30)}</p></div>", f"<ul>{menu}</ul>"])
+    return f"<html><head><title>{sentence(3)}</title></head><body>{before}{opening}{''.join(body)}{closing}{after}</body></html>", want
+
+
+def test_generated_pages_of_several_templates():
+    rng = random.Random(5)
+    for _ in range(400):
+        page, want = _page(rng)
+        assert html_blocks.main_blocks(page)[0] == want, page
+
+
 def test_few_stop_words_stay_undecided():
     table = "Lens 35 mm, aperture f/2, shutter 1/50, gain 3 dB, take 4, reel 7"
     links = "".join(f"<p><a href={i}>link number {i}</a></p>" for i in range(3))
