@@ -75,32 +75,35 @@ def set_leaf(sums: np.ndarray, leaf: int, value: int) -> None:
         at //= 2
 
 
-def edited_counts(enc: tiktoken.Encoding, data: bytes, ends: np.ndarray, sums: np.ndarray, edits: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, int]:
-    """Tree after the edits, and the bytes encoded for it.
+def edited_tree(enc: tiktoken.Encoding, data: bytes, ends: np.ndarray, sums: np.ndarray, edits: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Leaf ends and sums of the edited text, and the bytes encoded for them.
 
     An edit replaces bytes start to stop. Its region is the leaves within two bytes of it: the places
     where a region begins and ends keep their neighbours, so the rest of the text is split as before.
-    Regions that share a leaf are one. A region's count goes to its first leaf, zero to the others.
+    Regions that share a leaf are one. A region's new text is dealt to its leaves; those left over are empty. The
+    result takes further edits as a fresh tree does.
     """
     sums = sums.copy()
     edits = sorted(edits)
     if not len(ends):
         whole = b"".join(text for *_, text in edits)
         set_leaf(sums, 0, count(enc, whole))
-        return sums, len(whole)
+        return np.array([len(whole)], np.int32) if whole else ends, sums, len(whole)
     regions: list[list] = []
     for edit in edits:
-        first = int(np.searchsorted(ends, max(0, edit[0] - 2), "right"))
-        last = int(np.searchsorted(ends, min(len(data), edit[1] + 2), "left"))
-        first, last = min(first, len(ends) - 1), min(last, len(ends) - 1)
+        last = min(int(np.searchsorted(ends, min(len(data), edit[1] + 2), "left")), len(ends) - 1)
+        first = min(int(np.searchsorted(ends, max(0, edit[0] - 2), "right")), last)
         if regions and first <= regions[-1][1]:
             regions[-1][1] = max(last, regions[-1][1])
             regions[-1][2].append(edit)
         else:
             regions.append([first, last, [edit]])
-    encoded = 0
+    encoded, after, grown = 0, ends.copy(), 0
+    done = 0
     for first, last, inside in regions:
         at, stop = int(ends[first - 1]) if first else 0, int(ends[last])
+        after[done:first] += grown
+        begin = at + grown
         pieces = []
         for start, end, text in inside:
             pieces += [data[at:start], text]
@@ -108,10 +111,20 @@ def edited_counts(enc: tiktoken.Encoding, data: bytes, ends: np.ndarray, sums: n
         pieces.append(data[at:stop])
         fresh = b"".join(pieces)
         encoded += len(fresh)
-        set_leaf(sums, first, count(enc, fresh))
-        for leaf in range(first + 1, last + 1):
-            set_leaf(sums, leaf, 0)
-    return sums, encoded
+        leaves = last - first + 1
+        parts = leaf_ends(fresh, max(LEAF_BYTES, -(-len(fresh) // leaves)))
+        cuts = [0, *parts.tolist(), *[len(fresh)] * (leaves - len(parts))]
+        for i in range(leaves):
+            set_leaf(sums, first + i, count(enc, fresh[cuts[i] : cuts[i + 1]]) if cuts[i + 1] > cuts[i] else 0)
+        after[first : last + 1] = [begin + c for c in cuts[1:]]
+        grown, done = begin + len(fresh) - stop, last + 1
+    after[done:] += grown
+    return after, sums, encoded
+
+
+def edited_counts(enc: tiktoken.Encoding, data: bytes, ends: np.ndarray, sums: np.ndarray, edits: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, int]:
+    """Sums after the edits, and the bytes encoded for them. See `edited_tree`."""
+    return edited_tree(enc, data, ends, sums, edits)[1:]
 
 
 def apply_edits(data: bytes, edits: list[tuple[int, int, bytes]]) -> bytes:
@@ -123,11 +136,12 @@ def apply_edits(data: bytes, edits: list[tuple[int, int, bytes]]) -> bytes:
 
 
 def with_trees(documents: DataFrame, ranks: bytes) -> DataFrame:
-    """Documents with the tree of their token counts; all columns stay.
+    """Documents with the tree of their token counts; all columns stay but for earlier ones of the same names.
 
     Adds leaf_ends (byte ends of the leaves) and sums (complete binary tree, root at index 1).
     """
     told = documents.sparkSession.sparkContext.broadcast(ranks)
+    documents = documents.drop("leaf_ends", "sums")
     names = [f.name for f in documents.schema.fields]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
 
@@ -153,27 +167,26 @@ def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, kind))
 
 
-def edited_token_counts(trees: DataFrame, ranks: bytes) -> DataFrame:
+def edited_token_counts(trees: DataFrame, ranks: bytes, keep_text: bool = False) -> DataFrame:
     """Token counts of documents before and after their edits, from their trees.
 
     trees: project_id, document, leaf_ends and sums (`with_trees`), and edits, an array of (start, stop,
-    text): bytes start to stop of the document are replaced by the text. Edits must not overlap; equal
+    text): bytes start to stop of the document are replaced by the text. Edits lie between characters and do not overlap; equal
     starts apply in order of stop. Only leaves near an edit are encoded again, and the sums above them
     corrected. The count equals that of the whole edited text.
 
     Returns project_id, n_tokens, n_tokens_edited, n_edits, n_leaves, n_bytes, n_bytes_encoded (for the
-    edits) and the new tree (leaf_ends in bytes of the text before the edits, sums). Null documents are
-    empty; null or empty edits change nothing; ends beyond the text are cut to it. Null ids and repeated
+    edits) and the tree of the edited text (leaf_ends, sums); with keep_text also that text as document, ready for the
+    next edits. Null documents are empty; null or empty edits change nothing; ends beyond the text are cut to it. Null ids and repeated
     rows are each counted. An empty table gives an empty result.
     """
     told = trees.sparkSession.sparkContext.broadcast(ranks)
-    names = [f.split()[0] for f in COUNT_SCHEMA.split(", ")]
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(told.value)
         for batch in batches:
             out: dict[str, list] = {c: [] for c in names}
-            ends_of, sums_of = [], []
+            ends_of, sums_of, texts = [], [], []
             for i in range(len(batch)):
                 data = (batch.column("document")[i].as_py() or "").encode()
                 ends, sums = (np.asarray(batch.column(c)[i].values) for c in ("leaf_ends", "sums"))
@@ -181,16 +194,21 @@ def edited_token_counts(trees: DataFrame, ranks: bytes) -> DataFrame:
                 edits = [(min(max(0, e["start"]), len(data)), min(max(0, e["stop"]), len(data)), (e["text"] or "").encode()) for e in batch.column("edits")[i].as_py() or []]
                 encoded = 0
                 if edits:
-                    sums, encoded = edited_counts(enc, data, ends, sums, edits)
+                    ends, sums, encoded = edited_tree(enc, data, ends, sums, edits)
+                if keep_text:
+                    texts.append(apply_edits(data, edits).decode())
                 ends_of.append(ends)
                 sums_of.append(sums)
                 for name, value in zip(names, (batch.column("project_id")[i].as_py(), before, int(sums[1]), len(edits), len(ends), len(data), encoded)):
                     out[name].append(value)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
             columns = [pa.array(out[c], k) for c, k in zip(names, kinds)]
-            yield pa.RecordBatch.from_arrays([*columns, _lists(ends_of, pa.int32()), _lists(sums_of, pa.int64())], names)
+            columns += [_lists(ends_of, pa.int32()), _lists(sums_of, pa.int64()), *([pa.array(texts, pa.string())] if keep_text else [])]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return trees.select("project_id", "document", "leaf_ends", "sums", "edits").mapInArrow(step, COUNT_SCHEMA)
+    schema = COUNT_SCHEMA + (", document string" if keep_text else "")
+    names = [f.split()[0] for f in schema.split(", ")]
+    return trees.select("project_id", "document", "leaf_ends", "sums", "edits").mapInArrow(step, schema)
 
 
 # What is redacted, in this order, and what stands in its place.

@@ -73,3 +73,43 @@ def test_given_edits(spark, ranks):
     got = {r.project_id: r.n_tokens_edited for r in trees.edited_token_counts(trees.with_trees(df, ranks), ranks).collect()}
     enc = trees.encoder(ranks)
     assert got == {i: len(enc.encode_ordinary(t)) for i, t in {1: " 2 three", 2: "abc", 3: "abc", 4: "abd", 5: "new text"}.items()}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_trees_take_further_edits(ranks, seed):
+    rng = random.Random(seed)
+    enc = trees.encoder(ranks)
+    for _ in range(10):
+        data = text(rng, rng.choice([0, 1, 50, 900])).encode()
+        ends = trees.leaf_ends(data, rng.choice([8, 64, 256]))
+        sums = trees.tree_of(np.array([trees.count(enc, data[a:b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())], np.int64))
+        for _ in range(6):
+            places = sorted(rng.sample(range(len(data) + 1), min(len(data) + 1, 2 * rng.randrange(1, 4))))
+            places = [p for p in places if p == len(data) or data[p] & 0xC0 != 0x80]
+            edits = [(a, b, rng.choice(["", " ", "x", " new words here", "\n\n", "é", "much longer text " * 60]).encode()) for a, b in zip(places[::2], places[1::2])]
+            if rng.random() < 0.1:
+                edits = [(0, len(data), b"")]
+            if edits:
+                ends, sums, _ = trees.edited_tree(enc, data, ends, sums, edits)
+                data = trees.apply_edits(data, edits)
+            assert sums[1] == trees.count(enc, data)
+            assert (int(ends[-1]) if len(ends) else 0) == len(data) and (np.diff(ends) >= 0).all()
+
+
+def test_three_rounds_over_a_table(spark, ranks):
+    from pyspark.sql import functions as F
+
+    enc = trees.encoder(ranks)
+    kind = "array<struct<start:int,stop:int,text:string>>"
+    texts = {1: "cut the shot on the beat " * 300, 2: "", 3: "one two, three. " * 40}
+    # Columns named like the tree's are replaced.
+    df = spark.createDataFrame([(i, t, "mine", [1]) for i, t in texts.items()], "project_id long, document string, sums string, leaf_ends array<int>")
+    kept = trees.with_trees(df, ranks)
+    for n in range(3):
+        edits = {i: [(5 * n, 5 * n + 2, f"round {n} "), (len(t.encode()) // 2 // 5 * 5, len(t.encode()) // 2 // 5 * 5, " again ")] for i, t in texts.items() if len(t) > 40}
+        rows = spark.createDataFrame([(i, e) for i, e in edits.items()], f"project_id long, edits {kind}")
+        out = trees.edited_token_counts(kept.select("project_id", "document", "leaf_ends", "sums").join(rows, "project_id", "left"), ranks, keep_text=True)
+        out = out.withColumn("n", F.lit(n)).checkpoint()
+        texts = {r.project_id: r.document for r in out.collect()}
+        assert all(r.n_tokens_edited == len(enc.encode_ordinary(r.document)) for r in out.collect())
+        kept = out
