@@ -56,6 +56,23 @@ def _by_key(table: pa.Table, keys: Sequence[str]) -> list[tuple[int, int]]:
     return list(zip(edges[:-1], edges[1:])) if n else []
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
+    """One table per run of equal keys of a task's sorted rows."""
+    held: list[pa.Table] = []
+    now = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        for a, b in _by_key(table, keys):
+            key = tuple(table[c][a].as_py() for c in keys)
+            if held and key != now:
+                yield pa.concat_tables(held).combine_chunks()
+                held = []
+            now = key
+            held.append(table.slice(a, b - a))
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
+
+
 def _sorted(table: pa.Table, keys: Sequence[str], order: Sequence[str]) -> pa.Table:
     return table.sort_by([(c, "ascending") for c in (*keys, *order)]).combine_chunks()
 

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Iterator, Mapping
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from reelspark.functions import maths
-from reelspark.operators import joins, ordered
+from reelspark.operators import folds, joins, ordered
 from reelspark.session import materialise
 
 KEY = ["track_id"]
 MAX_OVERLAP = 0.65
+SLICE_WINDOWS = 16
 
 
 def anchor_points(downbeats: DataFrame, bars: DataFrame, beats: DataFrame | None = None) -> DataFrame:
@@ -21,6 +27,122 @@ def anchor_points(downbeats: DataFrame, bars: DataFrame, beats: DataFrame | None
     return out.distinct()
 
 
+class MovingGaps:
+    """Gaps in a moving window: their median, and how far they lie from it on average.
+
+    Counts and sums of the gaps by rank, in a binary indexed tree, so that a gap comes, goes or is looked up in
+    as many steps as the number of ranks has bits.
+    """
+
+    def __init__(self, gaps: np.ndarray):
+        order = np.argsort(gaps, kind="stable")
+        self.rank = np.empty(len(gaps), np.int64)
+        self.rank[order] = np.arange(1, len(gaps) + 1)
+        self.rank, self.gaps, self.by_rank = self.rank.tolist(), gaps.tolist(), gaps[order].tolist()
+        self.counts, self.sums = [0] * (len(gaps) + 1), [0.0] * (len(gaps) + 1)
+        self.n, self.top = 0, 1 << max(0, len(gaps).bit_length() - 1)
+
+    def change(self, i: int, by: int) -> None:
+        """Gap i comes (1) or goes (-1)."""
+        at, amount = self.rank[i], by * self.gaps[i]
+        self.n += by
+        while at < len(self.counts):
+            self.counts[at] += by
+            self.sums[at] += amount
+            at += at & -at
+
+    def smallest(self, k: int) -> tuple[float, float]:
+        """The k-th smallest gap (from zero), and the sum of those below it."""
+        at, step, below = 0, self.top, 0.0
+        while step:
+            if at + step < len(self.counts) and self.counts[at + step] <= k:
+                at += step
+                k -= self.counts[at]
+                below += self.sums[at]
+            step >>= 1
+        return self.by_rank[at], below
+
+    def facts(self) -> tuple[float | None, float | None]:
+        """Median, and mean distance to it; none without gaps."""
+        if not self.n:
+            return None, None
+        k = (self.n - 1) // 2
+        low, below = self.smallest(k)
+        high = low if self.n % 2 else self.smallest(k + 1)[0]
+        center = low + (high - low) * 0.5
+        lower = below + low
+        total, at = 0.0, len(self.counts) - 1
+        while at:
+            total += self.sums[at]
+            at -= at & -at
+        return center, (center * (k + 1) - lower + (total - lower) - center * (self.n - k - 1)) / self.n
+
+
+def _slice_facts(at: np.ndarray, kind: np.ndarray, duration_sec: float, series: int) -> tuple[list, ...]:
+    """Facts of the windows of one slice (kind 0, by their start) over its beats (1) and the series (2 and on)."""
+    starts, beats = np.sort(at[kind == 0]), np.sort(at[kind == 1])
+    ends = starts + duration_sec
+    low, high = np.searchsorted(beats, starts), np.searchsorted(beats, ends)
+    gaps = np.diff(beats, prepend=np.nan)
+    moving = MovingGaps(np.where(gaps > 0, gaps, 0.0))
+    counted = (gaps > 0).tolist()
+    first, last, center, error = 1, 1, [], []
+    # The gap of a beat lies inside if the beat before it does.
+    for a, b in zip((low + 1).tolist(), high.tolist()):
+        for i in range(last, b):
+            if counted[i]:
+                moving.change(i, 1)
+        last = max(last, b)
+        for i in range(first, min(a, last)):
+            if counted[i]:
+                moving.change(i, -1)
+        first = max(first, a)
+        if first > last:
+            last = first
+        c, e = moving.facts()
+        center.append(c)
+        error.append(e)
+    final = [float(beats[b - 1]) if b > a else None for a, b in zip(low.tolist(), high.tolist())]
+    counts = []
+    for which in range(series):
+        points = np.sort(at[kind == 2 + which])
+        counts.append(np.searchsorted(points, ends) - np.searchsorted(points, starts))
+    return starts, high - low, final, center, error, *counts
+
+
+def moving_facts(windows: DataFrame, beats: DataFrame, series: Mapping[str, DataFrame], duration_sec: float) -> DataFrame:
+    """Facts of windows of one length: beat_count, _last_beat, _center and _error of the beat gaps, and counts of series.
+
+    A track is cut into slices of SLICE_WINDOWS window lengths. A beat or point is copied to its slice and, near its
+    start, to the one before, where windows reach over; no pair of window and beat is written. `_center` is the median of the gaps
+    between beats inside the window and `_error` the mean distance to it; null without gaps.
+    """
+    size = duration_sec * SLICE_WINDOWS
+    slice_of = lambda x: F.floor(x / F.lit(size)).cast("long")
+    rows = windows.select(*KEY, slice_of(F.col("start_sec")).alias("_slice"), F.lit(0).alias("_kind"), F.col("start_sec").alias("_at"))
+    for kind, points in enumerate((beats, *series.values()), 1):
+        near = F.sequence(slice_of(F.col("sec") - duration_sec), slice_of(F.col("sec")))
+        rows = rows.unionByName(points.where("sec is not null").select(*KEY, F.explode(near).alias("_slice"), F.lit(kind).alias("_kind"), F.col("sec").alias("_at")))
+    n_series = len(series)
+    fields = {f.name: f.dataType.simpleString() for f in windows.schema.fields}
+    keys = ", ".join(f"{c} {fields[c]}" for c in KEY)
+    names = ["start_sec", "beat_count", "_last_beat", "_center", "_error", *series]
+    kinds = [pa.float64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), *[pa.int64()] * len(series)]
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in folds.whole_groups(batches, [*KEY, "_slice"]):
+            at, kind = (table[c].to_numpy() for c in ("_at", "_kind"))
+            if not (kind == 0).any():
+                continue
+            columns = _slice_facts(at, kind, duration_sec, n_series)
+            named = [table[c].take(pa.array([0] * len(columns[0]))).combine_chunks() for c in KEY]
+            yield pa.record_batch([*named, *(pa.array(v, k) for v, k in zip(columns, kinds))], [*KEY, *names])
+
+    schema = f"{keys}, start_sec double, beat_count long, _last_beat double, _center double, _error double" + "".join(f", {c} long" for c in series)
+    facts = rows.repartition(*KEY, "_slice").sortWithinPartitions(*KEY, "_slice").mapInArrow(step, schema)
+    return facts.withColumn("end_sec", F.col("start_sec") + F.lit(duration_sec))
+
+
 def score_windows(
     tracks: DataFrame, beats: DataFrame, downbeats: DataFrame, bars: DataFrame, onsets: DataFrame, impacts: DataFrame,
     sections: DataFrame, silences: DataFrame, duration_sec: float,
@@ -36,23 +158,13 @@ def score_windows(
     starts = starts.union(fits.select(*KEY, F.lit(0.0))).distinct()
     windows = materialise(starts.select(*KEY, F.col("sec").alias("start_sec"), (F.col("sec") + d).alias("end_sec")))
 
-    gaps = ordered.annotate(beats.select(*KEY, "sec"), KEY, ["sec"], {"_prior": ordered.lag(F.col("sec"))})
     by = [*KEY, "start_sec"]
-    inside = joins.within_windows(windows, gaps, KEY, float(duration_sec))
-    gap = F.col("point_sec") - F.col("_prior")
-    whole = (F.col("_prior") >= F.col("start_sec")) & (gap > 0)
-    # Read three times: for the counts, the median gap and the error around it.
-    inside = materialise(inside.select(*by, "point_sec", F.when(whole, gap).alias("_gap")), "window-beats")
-    center = ordered.order_statistics(inside, by, "_gap", {"_center": 0.5})
-    counts = inside.groupBy(*by).agg(F.count(F.lit(1)).alias("beat_count"), F.max("point_sec").alias("_last_beat"))
-    error = inside.join(center, by).groupBy(*by).agg(F.max("_center").alias("_center"), F.avg(F.abs(F.col("_gap") - F.col("_center"))).alias("_error"))
-    per_window = counts.join(error, by, "left")
+    rows = moving_facts(windows, beats, {"onset_count": onsets, "impact_count": impacts}, float(duration_sec))
 
     named = anchor_points(downbeats, bars)
     ends = joins.nearest(windows.withColumnRenamed("end_sec", "sec"), named, KEY)
     ends = ends.select(*KEY, "start_sec", F.abs("offset_sec").alias("_end_gap"))
 
-    rows = joins.count_in_windows(windows, {"onset_count": onsets, "impact_count": impacts}, KEY)
     shared = joins.overlapping(windows, sections.select(*KEY, "start_sec", "end_sec", "energy"), KEY, float(duration_sec))
     energy = shared.groupBy(*by).agg(
         maths.weighted_mean(F.col("overlap_sec"), F.col("energy_r")).alias("energy"),
@@ -61,9 +173,9 @@ def score_windows(
     quiet = joins.overlapping(windows, silences.select(*KEY, "start_sec", "end_sec"), KEY, float(duration_sec))
     quiet = quiet.groupBy(*by).agg(F.sum("overlap_sec").alias("_silent"))
 
-    for side in (per_window, ends, energy, quiet):
+    for side in (ends, energy, quiet):
         rows = rows.join(side, by, "left")
-    rows = rows.na.fill(0, ["beat_count"]).na.fill(0.0, ["energy", "dynamic_arc", "_silent"])
+    rows = rows.na.fill(0.0, ["energy", "dynamic_arc", "_silent"])
     center = F.col("_center")
     period = F.coalesce(center, F.lit(0.5))
     nearest_end = F.coalesce(F.col("_end_gap"), F.col("end_sec") - F.col("_last_beat"), d)
@@ -90,35 +202,70 @@ def score_windows(
     )
 
 
+UNDECIDED, KEPT = 0, 1
+
+
+def _resolve(starts: list[float], scores: list[float], states: list[int], inner: list[bool], duration_sec: float) -> list[int | None]:
+    """States of one slice's rows after all that can be decided here: KEPT, UNDECIDED, or None for suppressed.
+
+    Best rows first: a row goes if it overlaps a kept one too much, stays if all better ones it overlaps are gone,
+    and waits if one of those waits or its surroundings lie outside the slice.
+    """
+
+    def clashes(some: list[float], at: float) -> bool:
+        first = bisect.bisect_left(some, at - duration_sec)
+        last = bisect.bisect_right(some, at + duration_sec)
+        return any(max(0.0, min(at, s) + duration_sec - max(at, s)) > duration_sec * MAX_OVERLAP for s in some[first:last])
+
+    kept = sorted(s for s, state in zip(starts, states) if state == KEPT)
+    waiting: list[float] = []
+    out: list[int | None] = list(states)
+    for i in sorted((i for i, state in enumerate(states) if state == UNDECIDED), key=lambda i: (-scores[i], starts[i])):
+        if clashes(kept, starts[i]):
+            out[i] = None
+        elif not inner[i] or clashes(waiting, starts[i]):
+            bisect.insort(waiting, starts[i])
+        else:
+            out[i] = KEPT
+            bisect.insort(kept, starts[i])
+    return out
+
+
 def suppressed_top(
-    rows: DataFrame, keys: list[str], duration_sec: float, limit: int, score: str = "score", start: str = "start_sec", spread: int = 32
+    rows: DataFrame, keys: list[str], duration_sec: float, limit: int, score: str = "score", start: str = "start_sec"
 ) -> DataFrame:
     """Greedy best rows per key: highest score first, skipping one that overlaps a kept one too much.
 
-    One pass per pick finds the best row still allowed with a partial aggregate, so no key's
-    candidates are gathered; the picks so far (at most `limit`) travel as an array per key.
+    What is kept does not depend on the limit, so it is decided for all rows, in rounds over slices of time that see
+    a window length beyond their borders. A round settles every row whose better neighbours are settled; only chains of
+    ever better rows across borders wait for the next one. Rows without a score take no part.
     """
     if not 1 <= limit <= 20:
         raise ValueError("limit must be within 1..20")
-    base = materialise(rows.select(*keys, score, start).withColumn("_salt", F.pmod(F.xxhash64(start), F.lit(spread))))
-    pick = F.struct((-F.col(score)).alias("minus_score"), F.col(start).alias("start"))
-    picks = None
-    for _ in range(limit):
-        if picks is None:
-            picks = base.groupBy(*keys).agg(F.min(pick).alias("_best")).select(*keys, F.array("_best").alias("_picks"))
-            continue
-        # Copies of the picks per salt let a hot key's candidates stay spread over many tasks.
-        copies = picks.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(spread - 1).cast("bigint"))))
-        joined = base.join(copies, [*keys, "_salt"])
-        clash = F.exists(
-            "_picks",
-            lambda p: F.greatest(F.lit(0.0), F.least(F.col(start), p["start"]) + duration_sec - F.greatest(F.col(start), p["start"]))
-            > duration_sec * MAX_OVERLAP,
-        )
-        found = joined.groupBy(*keys).agg(F.min(F.when(~clash, pick)).alias("_best"), F.any_value("_picks").alias("_picks"))
-        picks = found.select(*keys, F.when(F.col("_best").isNull(), F.col("_picks")).otherwise(F.array_append("_picks", F.col("_best"))).alias("_picks"))
-    listed = picks.select(*keys, F.posexplode("_picks").alias("rank", "_p"))
-    return listed.select(*keys, (F.col("rank") + 1).alias("rank"), F.col("_p.start").alias(start))
+    size = duration_sec * SLICE_WINDOWS
+    fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = ", ".join(f"{c} {fields[c]}" for c in keys) + ", _score double, _start double, _state int"
+    at, own = F.col("_start"), F.floor(F.col("_start") / F.lit(size)).cast("long")
+    near = F.sequence(F.floor((at - duration_sec) / F.lit(size)).cast("long"), F.floor((at + duration_sec) / F.lit(size)).cast("long"))
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in folds.whole_groups(batches, [*keys, "_slice"]):
+            inner = table["_inner"].to_pylist()
+            states = _resolve(table["_start"].to_pylist(), table["_score"].to_pylist(), table["_state"].to_pylist(), inner, duration_sec)
+            mine = [i for i, state in enumerate(states) if state is not None and inner[i]]
+            told = table.take(pa.array(mine, pa.int64())).select([*keys, "_score", "_start"])
+            told = told.append_column("_state", pa.array([states[i] for i in mine], pa.int32())).combine_chunks()
+            yield from told.to_batches()
+
+    left = rows.select(*keys, F.col(score).cast("double").alias("_score"), F.col(start).cast("double").alias("_start"), F.lit(UNDECIDED).alias("_state"))
+    left = left.where("_score is not null and _start is not null")
+    while True:
+        placed = left.withColumn("_slice", F.explode(near)).withColumn("_inner", F.col("_slice") == own)
+        left = materialise(placed.repartition(*keys, "_slice").sortWithinPartitions(*keys, "_slice").mapInArrow(step, schema), "suppressed")
+        if left.where(F.col("_state") == UNDECIDED).isEmpty():
+            break
+    best = joins.top_rows(left, keys, limit, F.desc("_score"), F.asc("_start"))
+    return best.select(*keys, "rank", F.col("_start").cast(fields[start]).alias(start))
 
 
 def rank_segments(scored: DataFrame, duration_sec: float, limit: int = 3) -> DataFrame:
