@@ -207,14 +207,26 @@ def analysis_key(asset_hash: Column, model: Column, model_version: Column, pipel
     return F.when(complete, identity).otherwise(F.raise_error(F.lit("cache key needs asset, model, model version and pipeline version")).cast("string"))
 
 
-def expand_aliases(queries: DataFrame, aliases: DataFrame) -> DataFrame:
+# Queries with one term that one task brings together with the term's aliases.
+TERM_ROWS = 1 << 16
+
+
+def expand_aliases(queries: DataFrame, aliases: DataFrame, term_rows: int = TERM_ROWS) -> DataFrame:
     """Distinct search terms of each query, with the terms its aliases append.
 
-    queries(query_id, text), aliases(term, appended).
+    queries(query_id, text), aliases(term, appended). A term's frequency is counted first, among the terms that have aliases:
+    its queries are dealt to one group per `term_rows` of them, and its aliases copied to each group.
     """
-    own = queries.select("query_id", F.explode(F.split(F.trim("text"), "\\s+")).alias("term"))
-    added = own.join(aliases, "term").select("query_id", F.explode(F.split("appended", "\\s+")).alias("term"))
-    return own.union(added).where(F.length("term") > 0).distinct()
+    own = queries.select("query_id", F.explode(F.split(F.trim("text"), "\\s+")).alias("term")).where(F.length("term") > 0)
+    groups = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(term_rows)).cast("int"))
+    counted = own.join(aliases.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("_n")).select("term", groups.alias("_groups"))
+    # Only frequent terms are dealt out; there are at most rows / term_rows of them, so the table is bounded.
+    frequent = F.broadcast(counted.where(F.col("_groups") > 1))
+    dealt = own.join(frequent, "term", "left")
+    dealt = dealt.withColumn("_group", F.coalesce(F.pmod(F.xxhash64("query_id"), F.col("_groups")), F.lit(0).cast("long"))).drop("_groups")
+    copies = aliases.join(frequent, "term", "left").withColumn("_group", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_groups"), F.lit(1)).cast("long") - 1)))
+    added = dealt.join(copies.drop("_groups"), ["term", "_group"]).select("query_id", F.explode(F.split("appended", "\\s+")).alias("term"))
+    return own.union(added.where(F.length("term") > 0)).distinct()
 
 
 def ready_stems(files: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from reelspark.functions import timecode as tc
@@ -9,7 +11,8 @@ from reelspark.operators import catalog, conform, joins
 from reelspark.plans import adapters as A
 from reelspark.plans.check_views import with_views
 from reelspark.plans.registry import query
-from reelspark.sources import readers
+from reelspark.session import shared_folder
+from reelspark.sources import readers, writers
 
 
 # ---- frame conform ---------------------------------------------------------------------------
@@ -301,8 +304,8 @@ def document_cache_refresh(spark, sf_dir):
     return catalog.refresh_cache(cache, computed)
 
 
-@query("media_preference", _sql("""SELECT a.asset_id, coalesce(a.proxy_path, a.path) AS preview_media, coalesce(a.path, a.proxy_path) AS master_media,
-       coalesce(p.path, m.path) AS available FROM v_assets a LEFT JOIN v_media_inventory p ON p.path = a.proxy_path LEFT JOIN v_media_inventory m ON m.path = a.path"""))
+@query("media_preference", _sql("""SELECT asset_id, coalesce(proxy_path, path) AS preview_media, coalesce(path, proxy_path) AS master_media, media AS available
+       FROM v_assets LEFT JOIN v_present_media USING (asset_id)"""))
 def media_preference(spark, sf_dir):
     assets = A.assets(spark, sf_dir).select("asset_id", "path", "proxy_path")
     out = catalog.media_path(assets).withColumnRenamed("media", "preview_media")
@@ -405,3 +408,51 @@ def probe_documents(spark, sf_dir):
     imported = readers.parse_probe(rows).withColumnRenamed("duration_sec", "import_duration")
     qa = readers.parse_probe(rows, "video").select("render_id", F.col("duration_sec").alias("qa_duration"))
     return imported.join(qa, "render_id").select("render_id", "has_video", "width", "fps_num", "fps_den", "import_duration", "qa_duration", "has_audio")
+
+
+def _own_folder(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+@query("file_hashes", """
+    SELECT c_nationkey AS nation, sum(octet_length(encode(line)) + 1)::BIGINT AS length, sha256(string_agg(line || chr(10), '' ORDER BY c_custkey)) AS sha256
+    FROM (SELECT *, c_custkey || '|' || c_name AS line FROM customer) GROUP BY c_nationkey""")
+def file_hashes(spark, sf_dir):
+    """Customers written as one list per nation, and the hash of every file."""
+    line = F.concat_ws("|", "c_custkey", "c_name").alias("line")
+    rows = A.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), "c_custkey", line)
+    folder = _own_folder(spark, "lists")
+    rows = rows.repartition("nation").sortWithinPartitions("nation", "c_custkey")
+    rows.select("nation", "line").write.partitionBy("nation").text(folder)
+    nation = F.regexp_extract("path", r"nation=(-?\d+)", 1).cast("int")
+    return readers.hash_files(spark, folder).select(nation.alias("nation"), "length", "sha256")
+
+
+@query("document_rewrite", """
+    SELECT o_orderkey AS project_id, '{"project_id":' || o_orderkey || ',"state":"' || CASE WHEN o_orderpriority = '1-URGENT' THEN 'revised' ELSE o_orderstatus END || '"}' AS document FROM orders""")
+def document_rewrite(spark, sf_dir):
+    """Documents of all projects, those of urgent ones written again."""
+    orders = A.table(spark, sf_dir, "orders")
+    folder = _own_folder(spark, "project-documents")
+    project = F.col("o_orderkey").alias("project_id")
+    writers.write_documents(orders.select(project, F.col("o_orderstatus").alias("state")), folder, buckets=8)
+    writers.write_documents(orders.where("o_orderpriority = '1-URGENT'").select(project, F.lit("revised").alias("state")), folder, buckets=8)
+    return spark.read.parquet(folder).select("project_id", "document")
+
+
+@query("result_tables", """
+    SELECT 'appended' AS sink, o_orderkey AS project_id, o_orderstatus AS state FROM orders
+    UNION ALL SELECT 'appended', o_orderkey, 'again' FROM orders WHERE o_orderpriority = '1-URGENT'
+    UNION ALL SELECT 'replaced', o_orderkey, 'again' FROM orders WHERE o_orderpriority = '1-URGENT'""")
+def result_tables(spark, sf_dir):
+    """Result rows appended to one table, and written over another."""
+    orders = A.table(spark, sf_dir, "orders")
+    first = orders.select(F.col("o_orderkey").alias("project_id"), F.col("o_orderstatus").alias("state"))
+    again = orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("project_id"), F.lit("again").alias("state"))
+    appended, replaced = _own_folder(spark, "appended"), _own_folder(spark, "replaced")
+    for rows in (first, again):
+        writers.append_rows(rows, appended)
+        writers.replace_table(rows, replaced)
+    both = {"appended": appended, "replaced": replaced}
+    parts = [spark.read.parquet(path).select(F.lit(name).alias("sink"), "project_id", "state") for name, path in both.items()]
+    return parts[0].unionByName(parts[1])

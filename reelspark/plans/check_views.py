@@ -84,6 +84,10 @@ VIEWS: dict[str, str] = {
         UNION ALL SELECT proxy_path FROM v_assets WHERE proxy_path IS NOT NULL AND series <> '5-LOW'
         UNION ALL SELECT '/archive/' || shot_id || '.mkv' FROM v_pool_shots
                   WHERE series IN ('1-URGENT','2-HIGH','3-MEDIUM')""",
+    "v_present_media": """
+        SELECT asset_id, min_by(path, place) AS media
+        FROM (SELECT asset_id, 0 AS place, proxy_path AS path FROM v_assets WHERE proxy_path IS NOT NULL UNION ALL SELECT asset_id, 1, path FROM v_assets WHERE path IS NOT NULL)
+        WHERE path IN (SELECT path FROM v_media_inventory) GROUP BY asset_id""",
     "v_tags": """
         SELECT l_orderkey || '-' || l_linenumber AS shot_id,
                CASE WHEN l_linestatus = 'F' THEN 'character' ELSE 'scene' END AS category,

@@ -169,8 +169,7 @@ def candidate_counts(spark, sf_dir):
     return rows.groupBy("project_id", "slot_index").agg(F.count(F.lit(1)).alias("candidates"), F.max("score").alias("best_score"))
 
 
-@query("available_candidates", with_views("""SELECT s.shot_id, s.asset_id, coalesce(p.path, m.path) AS media FROM v_shots s JOIN v_assets a USING (asset_id)
-       LEFT JOIN v_media_inventory p ON p.path = a.proxy_path LEFT JOIN v_media_inventory m ON m.path = a.path WHERE coalesce(p.path, m.path) IS NOT NULL"""))
+@query("available_candidates", with_views("""SELECT shot_id, asset_id, media FROM v_shots JOIN v_present_media USING (asset_id)"""))
 def available_candidates(spark, sf_dir):
     assets = A.assets(spark, sf_dir).select("asset_id", "path", "proxy_path")
     return candidates.available_shots(A.shots(spark, sf_dir), assets, A.media_inventory(spark, sf_dir)).select("shot_id", "asset_id", "media")

@@ -104,3 +104,22 @@ def test_halo_windows_cross_slice_borders(spark):
     assert len(a) == 100
     for x, y in zip(a, b):
         assert x[:2] == y[:2] and x[3] == y[3] and x[2] == pytest.approx(y[2])
+
+
+def test_sums_of_doubles_do_not_depend_on_slices(spark):
+    """Unrounded: the same bits whether a key is sliced or not, and the closest double to the exact sum."""
+    from fractions import Fraction
+
+    rng = random.Random(12)
+    kinds = [lambda: rng.random() * 10, lambda: rng.uniform(-1e6, 1e6), lambda: None, lambda: 0.1, lambda: -1e-9, lambda: 1e12 + 0.3]
+    data = [(1 if i % 4 else 2, i, rng.choice(kinds)()) for i in range(300)]
+    df = spark.createDataFrame(data, "k int, id int, x double").repartition(3)
+    asked = {"run": ordered.running_sum(F.col("x")), "before": ordered.sum_before(F.col("x")), "total": ordered.key_total(F.col("x"))}
+    plain, *sliced = [rows(ordered.annotate(df, ["k"], ["id"], asked, size).select("k", "id", *asked), "k", "id") for size in (None, 7, 50)]
+    assert all(other == plain for other in sliced)
+    for k, i, run, before, _ in plain:
+        exact = sum(Fraction(x) for kk, j, x in data if kk == k and j <= i and x is not None)
+        assert run is None or abs(run - float(exact)) <= 2e-16 * max(1.0, abs(float(exact)))
+    special = spark.createDataFrame([(1, 0, 1.0), (1, 1, float("inf")), (1, 2, 2.0), (2, 0, float("nan")), (2, 1, 1e300), (3, 0, None), (3, 1, 4.0)], "k int, id int, x double")
+    got = rows(ordered.annotate(special, ["k"], ["id"], asked).select("k", "id", "run", "before"), "k", "id")
+    assert [str(r[2]) for r in got] == ["1.0", "inf", "inf", "nan", "nan", "None", "4.0"] and [str(r[3]) for r in got][:3] == ["0.0", "1.0", "inf"]
