@@ -84,6 +84,23 @@ def first_seen_stream(spark, sf_dir):
     return drain(jobs.first_seen(keyed, "content_key", keep="20000 days").select("content_key"), "first-seen")
 
 
+@query("sightings_stream", """
+    WITH RECURSIVE e AS (SELECT user_id || ':' || event_type AS key, epoch_us(ts) AS at_us FROM events WHERE ts <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY ALL),
+    n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY at_us) AS rn FROM e),
+    walk AS (SELECT key, rn, at_us, at_us AS last, true AS passed FROM n WHERE rn = 1
+             UNION ALL SELECT n.key, n.rn, n.at_us, CASE WHEN n.at_us - last >= 86400000000 THEN n.at_us ELSE last END, n.at_us - last >= 86400000000
+             FROM walk w JOIN n ON n.key = w.key AND n.rn = w.rn + 1)
+    SELECT key, at_us FROM walk WHERE passed""")
+def sightings_stream(spark, sf_dir):
+    """Kinds of events of every user, each let through once a day; state of older ones expires."""
+    schema = A.table(spark, sf_dir, "events").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    keyed = raw.select(F.concat_ws(":", "user_id", "event_type").alias("key"), F.col("ts").cast("timestamp").alias("entered_at"))
+    folder = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/sightings-{uuid.uuid4().hex}"
+    jobs.write_routed(jobs.sightings(keyed, "key"), folder).awaitTermination()
+    return spark.read.schema("key string, at_us long").parquet(f"{folder}/rows").select("key", "at_us")
+
+
 @query("daily_stage_stream", f"""
     SELECT epoch_us(date_trunc('day', ts)) AS day_us, stage, status, count(*) AS runs FROM ({Q._RUNS}) GROUP BY ALL
     HAVING date_trunc('day', max(ts)) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""")

@@ -125,6 +125,94 @@ def first_seen(stream: DataFrame, key: str, at: str = "entered_at", keep: str =
     return stream.withWatermark(at, keep).dropDuplicatesWithinWatermark([key])
 
 
+class Sightings(StatefulProcessor):
+    """Lets a key through, and again once `keep_us` have passed since; judges in order of event time.
+
+    A row waits until the watermark has passed it, so rows that come out of order within the watermark's delay
+    change nothing. A row behind the watermark is told as late. State is the last instant let through and the rows that
+    wait; an event-time timer drops it when it can no longer matter, so the state holds the keys of the last `keep_us`.
+    """
+
+    def __init__(self, keep_us: int):
+        self.keep_us = keep_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.passed = handle.getValueState("passed", "at_us bigint")
+        self.waiting = handle.getMapState("waiting", "at_us bigint", "rows bigint")
+
+    def _wake(self, at_us: int) -> None:
+        self.handle.registerTimer(-(-at_us // 1000))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        watermark = timerValues.getCurrentWatermarkInMs() * 1000
+        for batch in rows:
+            counts = batch["at_us"].value_counts()
+            late = [at for at, n in counts.items() if at < watermark for _ in range(n)]
+            for at, n in counts.items():
+                if at >= watermark:
+                    held = self.waiting.getValue((int(at),))
+                    if held is None:
+                        self._wake(int(at))
+                    self.waiting.updateValue((int(at),), ((held[0] if held else 0) + int(n),))
+            if late:
+                yield pd.DataFrame({"key": key[0], "at_us": sorted(late), "late": True})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        watermark = timerValues.getCurrentWatermarkInMs() * 1000
+        last = self.passed.get()[0] if self.passed.exists() else None
+        out = []
+        for at in sorted(int(k[0]) for k in self.waiting.keys()):
+            if at > watermark:
+                break
+            self.waiting.removeKey((at,))
+            if last is None or at - last >= self.keep_us:
+                out.append(at)
+                last = at
+        if last is not None and last + self.keep_us <= watermark:
+            if self.passed.exists():
+                self.passed.clear()
+        elif out:
+            self.passed.update((last,))
+            self._wake(last + self.keep_us)
+        if out:
+            yield pd.DataFrame({"key": key[0], "at_us": out, "late": False})
+
+    def close(self) -> None:
+        pass
+
+
+def sightings(stream: DataFrame, key: str, at: str = "entered_at", keep: str = "1 day", late: str = "1 hour") -> DataFrame:
+    """First rows of each content key, once per `keep` of event time: key, at_us, late.
+
+    Unlike `first_seen`, a key comes through again after `keep`, the result does not depend on how rows fall into
+    batches, and rows more than the delay `late` behind come out marked instead of vanishing (`write_routed`
+    keeps them apart). Rows newer than the watermark wait for it. Rows without key or time take no part. Needs the
+    RocksDB state store, which this sets on the session.
+    """
+    spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    rows = stream.where(F.col(key).isNotNull() & F.col(at).isNotNull()).withWatermark(at, late)
+    # Without the time column itself Spark leaves late rows to the processor.
+    rows = rows.select(F.col(key).cast("string").alias("key"), F.unix_micros(F.col(at).cast("timestamp")).alias("at_us"))
+    return rows.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=Sightings(int(pd.Timedelta(keep) // pd.Timedelta("1us"))), outputStructType="key string, at_us bigint, late boolean", outputMode="append", timeMode="eventTime"
+    )
+
+
+def write_routed(stream: DataFrame, folder: str):
+    """Start a stream that writes rows in time below `folder`/rows and late ones below `folder`/late.
+
+    A batch has folders of its own there, so one that is run again replaces what it had written.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        for name, part in (("rows", ~F.col("late")), ("late", F.col("late"))):
+            batch.where(part).drop("late").write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+
+
 def stage_counts(runs: DataFrame, at: str = "started_at", window: str = "1 day", late: str = "1 day") -> DataFrame:
     """Runs per stage and status in tumbling windows, emitted once a window is past the watermark."""
     rows = runs.withWatermark(at, late).groupBy(F.window(at, window).alias("w"), "stage", "status").agg(F.count(F.lit(1)).alias("runs"))

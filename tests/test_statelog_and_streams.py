@@ -106,3 +106,44 @@ def test_first_seen_drops_repeats_and_late_rows(spark, tmp_path):
         spark.createDataFrame(part, "key string, t string").select("key", F.col("t").cast("timestamp").alias("entered_at")).coalesce(1).write.parquet(str(tmp_path / f"in/p={i}"))
     stream = spark.readStream.schema("key string, entered_at timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
     assert sorted(r.key for r in _drain(jobs.first_seen(stream, "key").select("key"), tmp_path).collect()) == ["a", "b", "c"]
+
+
+def _sighted(spark, tmp_path, files, keep, late):
+    for i, part in enumerate(files):
+        spark.createDataFrame(part, "key string, us long").select("key", F.timestamp_micros("us").alias("entered_at")).coalesce(1).write.parquet(str(tmp_path / f"in/p={i}"))
+    stream = spark.readStream.schema("key string, entered_at timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    query = jobs.write_routed(jobs.sightings(stream, "key", keep=keep, late=late), str(tmp_path / "routed"))
+    query.awaitTermination()
+    found = {n: sorted((r.key, r.at_us) for r in spark.read.option("recursiveFileLookup", "true").schema("key string, at_us long").parquet(str(tmp_path / "routed" / n)).collect()) for n in ("rows", "late")}
+    return found, [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+
+
+def test_sightings_expire_and_late_rows_are_kept_apart(spark, tmp_path):
+    second = 1_000_000
+    # Every file brings new keys; old ones leave the state.
+    files = [[(f"k{i}-{j % 20}", (100 * i + j) * second) for j in range(40)] for i in range(6)]
+    files[2].append(("k0-0", 5 * second))  # far behind
+    files[3].append(("k2-1", 331 * second))  # seen 130 s ago
+    files.append([("end", 10_000 * second)])
+    found, sizes = _sighted(spark, tmp_path, files, "60 seconds", "30 seconds")
+    want = [(f"k{i}-{j}", (100 * i + j) * second) for i in range(6) for j in range(20)] + [("k2-1", 331 * second)]
+    assert found["rows"] == sorted(want) and found["late"] == [("k0-0", 5 * second)]
+    # A key has a state or a waiting row, and two entries of its timer. The state never holds all 121 keys, and shrinks.
+    assert max(sizes) < 4 * 60 and sizes[-1] < 10
+
+
+def test_sightings_do_not_depend_on_batches(spark, tmp_path):
+    rng = random.Random(4)
+    second = 1_000_000
+    data = sorted(((rng.choice("abc"), rng.randrange(0, 2000) * second) for _ in range(300)), key=lambda r: r[1] + rng.randrange(-20, 20) * second)
+    data.append(("end", 5000 * second))
+    want = []
+    for key in "abc":
+        last = None
+        for at in sorted({t for k, t in data if k == key}):
+            if last is None or at - last >= 100 * second:
+                want.append((key, at))
+                last = at
+    for size in (301, 60):
+        found, _ = _sighted(spark, tmp_path / str(size), [data[i : i + size] for i in range(0, len(data), size)], "100 seconds", "60 seconds")
+        assert found == {"rows": sorted(want), "late": []}
