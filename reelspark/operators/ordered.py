@@ -112,12 +112,13 @@ class ExactSum:
 _SUMS = ("sum_to", "sum_before", "total")
 
 
-# Outcome of earlier counts by plan. A stale entry costs speed only: both ways give equal rows.
+# Outcome of earlier counts by plan and size of its input, so a table that has grown is counted again.
 _COUNTED: dict[tuple, bool] = {}
 
 
 def _any_hot(df: DataFrame, hot: DataFrame, keys: Sequence[str], rows_per_slice: int) -> bool:
-    seen = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(keys), rows_per_slice)
+    size = str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    seen = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), size, tuple(keys), rows_per_slice)
     if seen not in _COUNTED:
         _COUNTED[seen] = not hot.isEmpty()
     return _COUNTED[seen]

@@ -123,3 +123,12 @@ def test_sums_of_doubles_do_not_depend_on_slices(spark):
     special = spark.createDataFrame([(1, 0, 1.0), (1, 1, float("inf")), (1, 2, 2.0), (2, 0, float("nan")), (2, 1, 1e300), (3, 0, None), (3, 1, 4.0)], "k int, id int, x double")
     got = rows(ordered.annotate(special, ["k"], ["id"], asked).select("k", "id", "run", "before"), "k", "id")
     assert [str(r[2]) for r in got] == ["1.0", "inf", "inf", "nan", "nan", "None", "4.0"] and [str(r[3]) for r in got][:3] == ["0.0", "1.0", "inf"]
+
+
+def test_a_table_that_has_grown_is_counted_again(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    write = lambda n, mode: spark.range(n).selectExpr("1 AS k", "id").write.mode(mode).parquet(path)
+    write(5, "overwrite")
+    assert ordered.Sliced(spark.read.parquet(path), ["k"], ["id"], 20).hot is None
+    write(100, "append")
+    assert ordered.Sliced(spark.read.parquet(path), ["k"], ["id"], 20).hot is not None
