@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # Broadcast rates by their three-decimal spelling.
@@ -58,23 +60,52 @@ def _side(sec: Column, half: Column, num: Column, den: Column) -> Column:
     two = _long(num) * 2
     away = sec * two / den - half
     sign = F.signum(away).cast("int")
-    shift = (F.lit(61) - F.floor(F.log2(sec))).cast("int")
-    power = _whole(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.least(shift, F.lit(62))), 19) * _whole(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.greatest(shift - 62, F.lit(0))), 19)
-    scaled = _whole(_long(sec * F.pow(F.lit(2.0), shift)), 19)
-    gap = _whole(scaled * _whole(two, 12)) - _whole(_whole(half * _long(den), 19) * _whole(power, 38))
-    exact_sign = F.signum(gap.cast("double")).cast("int")
-    top = half * _long(den)
-    common = _gcd(two, F.pmod(top, two))
-    d = _div(two, common)
-    most = F.lit(MOST_DENOMINATOR).cast("bigint")
-    ways = F.abs(gap.cast("double")) * d / (power.cast("double") * num)
-    inverse = _inverse(F.pmod(_div(top, common), d), d)
-    residue = F.when(exact_sign < 0, inverse).otherwise(F.pmod(-inverse, d))
-    neighbour = most - F.pmod(most - residue, d)
-    on_it = F.when(ways * most < 1, True).when(ways * (most - d) >= 1, False).otherwise(ways * neighbour < 1)
-    near = F.when((exact_sign == 0) | on_it, F.lit(0)).otherwise(exact_sign)
+    # The double of a half frame is on it while fractions of such denominators lie further apart than doubles do.
+    itself = (sec == (half * _long(den)).cast("double") / two.cast("double")) & (sec * two < 2.0**52 / MOST_DENOMINATOR)
+    # Away from a half frame nothing of the long exact part is evaluated.
+    exact = _let({"sec": sec, "half": half, "two": two, "den": _long(den)}, _exact_side)
     # An instant below 2**-50 is nearer to zero than to any such fraction.
-    return F.when(F.abs(away) > 1e-5, sign).when(sec < 2.0**-50, F.when(half == 0, F.lit(0)).otherwise(sign)).otherwise(near)
+    return F.when(F.abs(away) > 1e-5, sign).when(sec < 2.0**-50, F.when(half == 0, F.lit(0)).otherwise(sign)).when(itself, F.lit(0)).otherwise(exact)
+
+
+def _let(values: dict[str, Column], body: Callable[[Column], Column]) -> Column:
+    """A column over named values that are worked out once each, however often the body uses them."""
+    bound = F.struct(*[v.alias(k) for k, v in values.items()])
+    return F.element_at(F.transform(F.array(bound), body), 1)
+
+
+def _exact_side(v: Column) -> Column:
+    """`_side` near a half frame, from sec, half, two (twice the rate's numerator) and den."""
+    shift = (F.lit(61) - F.floor(F.log2(v["sec"]))).cast("int")
+    one = F.lit(1).cast("bigint")
+
+    def scaled(s: Column) -> Column:
+        power = _whole(F.call_function("shiftleft", one, F.least(s["shift"], F.lit(62))), 19) * _whole(F.call_function("shiftleft", one, F.greatest(s["shift"] - 62, F.lit(0))), 19)
+        whole = _whole(_long(v["sec"] * F.pow(F.lit(2.0), s["shift"])), 19)
+        top = v["half"] * v["den"]
+        return _let({"power": power, "whole": whole, "top": top, "common": _gcd(v["two"], F.pmod(top, v["two"]))}, apart)
+
+    def apart(s: Column) -> Column:
+        gap = _whole(s["whole"] * _whole(v["two"], 12)) - _whole(_whole(s["top"], 19) * _whole(s["power"], 38))
+        d = _div(v["two"], s["common"])
+        return _let({"gap": gap.cast("double"), "d": d, "power": s["power"].cast("double"), "top": _div(s["top"], s["common"])}, reach)
+
+    def reach(s: Column) -> Column:
+        ways = F.abs(s["gap"]) * s["d"] / (s["power"] * _div(v["two"], F.lit(2)))
+        return _let({"sign": F.signum(s["gap"]).cast("int"), "ways": ways, "d": s["d"], "top": s["top"]}, decided)
+
+    def decided(s: Column) -> Column:
+        most = F.lit(MOST_DENOMINATOR).cast("bigint")
+
+        def neighbour(w: Column) -> Column:
+            residue = F.when(s["sign"] < 0, w["inverse"]).otherwise(F.pmod(-w["inverse"], s["d"]))
+            return s["ways"] * (most - F.pmod(most - residue, s["d"])) < 1
+
+        by_neighbour = _let({"inverse": _inverse(F.pmod(s["top"], s["d"]), s["d"])}, neighbour)
+        on_it = F.when(s["ways"] * most < 1, True).when(s["ways"] * (most - s["d"]) >= 1, False).otherwise(by_neighbour)
+        return F.when((s["sign"] == 0) | on_it, F.lit(0)).otherwise(s["sign"])
+
+    return _let({"shift": shift}, scaled)
 
 
 def to_frames(sec: Column, num: Column, den: Column, mode: str = "round") -> Column:

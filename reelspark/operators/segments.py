@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import bisect
+import math
 from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from reelspark.functions import maths
 from reelspark.operators import folds, joins, ordered
@@ -78,8 +79,27 @@ class MovingGaps:
         return center, (center * (k + 1) - lower + (total - lower) - center * (self.n - k - 1)) / self.n
 
 
-def _slice_facts(at: np.ndarray, kind: np.ndarray, duration_sec: float, series: int) -> tuple[list, ...]:
-    """Facts of the windows of one slice (kind 0, by their start) over its beats (1) and the series (2 and on)."""
+def _shared(starts: np.ndarray, duration_sec: float, begins: np.ndarray, stops: np.ndarray, values: np.ndarray) -> list[list]:
+    """Per window: seconds shared with intervals, those times their value, and the smallest and largest value."""
+    order = np.argsort(begins, kind="stable")
+    ahead = list(zip(begins[order].tolist(), stops[order].tolist(), values[order].tolist()))[::-1]
+    open_: list[tuple[float, float, float]] = []
+    out: list[list] = [[], [], [], []]
+    for a in starts.tolist():
+        b = a + duration_sec
+        while ahead and ahead[-1][0] < b:
+            open_.append(ahead.pop())
+        open_ = [i for i in open_ if i[1] > a]
+        parts = [(min(e, b) - max(s, a), v) for s, e, v in open_ if min(e, b) > max(s, a)]
+        out[0].append(math.fsum(x for x, _ in parts) if parts else None)
+        out[1].append(math.fsum(x * v for x, v in parts) if parts else None)
+        out[2].append(min((v for _, v in parts), default=None))
+        out[3].append(max((v for _, v in parts), default=None))
+    return out
+
+
+def _slice_facts(at: np.ndarray, stop: np.ndarray, value: np.ndarray, kind: np.ndarray, duration_sec: float, series: int, spans: int) -> tuple[list, ...]:
+    """Facts of the windows of one slice (kind 0, by their start) over its beats (1), the series and the spans (2 and on)."""
     starts, beats = np.sort(at[kind == 0]), np.sort(at[kind == 1])
     ends = starts + duration_sec
     low, high = np.searchsorted(beats, starts), np.searchsorted(beats, ends)
@@ -107,39 +127,57 @@ def _slice_facts(at: np.ndarray, kind: np.ndarray, duration_sec: float, series:
     for which in range(series):
         points = np.sort(at[kind == 2 + which])
         counts.append(np.searchsorted(points, ends) - np.searchsorted(points, starts))
-    return starts, high - low, final, center, error, *counts
+    shared = []
+    for which in range(series, series + spans):
+        mine = kind == 2 + which
+        shared += _shared(starts, duration_sec, at[mine], stop[mine], value[mine])
+    return starts, high - low, final, center, error, *counts, *shared
 
 
-def moving_facts(windows: DataFrame, beats: DataFrame, series: Mapping[str, DataFrame], duration_sec: float) -> DataFrame:
-    """Facts of windows of one length: beat_count, _last_beat, _center and _error of the beat gaps, and counts of series.
+def moving_facts(
+    windows: DataFrame, beats: DataFrame, series: Mapping[str, DataFrame], duration_sec: float, spans: Mapping[str, DataFrame] | None = None
+) -> DataFrame:
+    """Facts of windows of one length: beat_count, _last_beat, _center and _error of the beat gaps, counts of series, and
+    what they share with spans (start_sec, end_sec, value): <name>_sec, <name>_weighted, <name>_low and <name>_high.
 
     A track is cut into slices of SLICE_WINDOWS window lengths. A beat or point is copied to its slice and, near its
-    start, to the one before, where windows reach over; no pair of window and beat is written. `_center` is the median of the gaps
-    between beats inside the window and `_error` the mean distance to it; null without gaps.
+    start, to the one before, where windows reach over, a span to those it touches; no pair of window and beat is
+    written. `_center` is the median of the gaps between beats inside the window and `_error` the mean distance to it; null
+    without gaps, as are the facts of spans without any.
     """
+    spans = spans or {}
     size = duration_sec * SLICE_WINDOWS
     slice_of = lambda x: F.floor(x / F.lit(size)).cast("long")
-    rows = windows.select(*KEY, slice_of(F.col("start_sec")).alias("_slice"), F.lit(0).alias("_kind"), F.col("start_sec").alias("_at"))
+    nothing = F.lit(None).cast("double")
+
+    def placed(rows: DataFrame, kind: int, start: str, slices: Column, stop: Column = nothing, value: Column = nothing) -> DataFrame:
+        return rows.select(*KEY, slices.alias("_slice"), F.lit(kind).alias("_kind"), F.col(start).cast("double").alias("_at"), stop.cast("double").alias("_stop"), value.cast("double").alias("_value"))
+
+    rows = placed(windows, 0, "start_sec", slice_of(F.col("start_sec")))
     for kind, points in enumerate((beats, *series.values()), 1):
         near = F.sequence(slice_of(F.col("sec") - duration_sec), slice_of(F.col("sec")))
-        rows = rows.unionByName(points.where("sec is not null").select(*KEY, F.explode(near).alias("_slice"), F.lit(kind).alias("_kind"), F.col("sec").alias("_at")))
-    n_series = len(series)
+        rows = rows.unionByName(placed(points.where("sec is not null"), kind, "sec", F.explode(near)))
+    for kind, ranges in enumerate(spans.values(), 2 + len(series)):
+        near = F.sequence(slice_of(F.col("start_sec") - duration_sec), slice_of(F.col("end_sec")))
+        rows = rows.unionByName(placed(ranges.where("end_sec > start_sec"), kind, "start_sec", F.explode(near), F.col("end_sec"), F.col("value")))
     fields = {f.name: f.dataType.simpleString() for f in windows.schema.fields}
+    n_series, n_spans = len(series), len(spans)
     keys = ", ".join(f"{c} {fields[c]}" for c in KEY)
-    names = ["start_sec", "beat_count", "_last_beat", "_center", "_error", *series]
-    kinds = [pa.float64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), *[pa.int64()] * len(series)]
+    told = ["start_sec double", "beat_count long", "_last_beat double", "_center double", "_error double", *(f"{c} long" for c in series)]
+    told += [f"{c}_{part} double" for c in spans for part in ("sec", "weighted", "low", "high")]
+    names = [t.split()[0] for t in told]
+    kinds = [pa.int64() if t.endswith("long") else pa.float64() for t in told]
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in folds.whole_groups(batches, [*KEY, "_slice"]):
-            at, kind = (table[c].to_numpy() for c in ("_at", "_kind"))
+            at, stop, value, kind = (table[c].to_numpy() for c in ("_at", "_stop", "_value", "_kind"))
             if not (kind == 0).any():
                 continue
-            columns = _slice_facts(at, kind, duration_sec, n_series)
+            columns = _slice_facts(at, stop, value, kind, duration_sec, n_series, n_spans)
             named = [table[c].take(pa.array([0] * len(columns[0]))).combine_chunks() for c in KEY]
             yield pa.record_batch([*named, *(pa.array(v, k) for v, k in zip(columns, kinds))], [*KEY, *names])
 
-    schema = f"{keys}, start_sec double, beat_count long, _last_beat double, _center double, _error double" + "".join(f", {c} long" for c in series)
-    facts = rows.repartition(*KEY, "_slice").sortWithinPartitions(*KEY, "_slice").mapInArrow(step, schema)
+    facts = rows.repartition(*KEY, "_slice").sortWithinPartitions(*KEY, "_slice").mapInArrow(step, ", ".join([keys, *told]))
     return facts.withColumn("end_sec", F.col("start_sec") + F.lit(duration_sec))
 
 
@@ -159,23 +197,23 @@ def score_windows(
     windows = materialise(starts.select(*KEY, F.col("sec").alias("start_sec"), (F.col("sec") + d).alias("end_sec")))
 
     by = [*KEY, "start_sec"]
-    rows = moving_facts(windows, beats, {"onset_count": onsets, "impact_count": impacts}, float(duration_sec))
+    spans = {
+        "loud": sections.select(*KEY, "start_sec", "end_sec", F.col("energy").alias("value")),
+        "quiet": silences.select(*KEY, "start_sec", "end_sec", F.lit(0.0).alias("value")),
+    }
+    rows = moving_facts(windows, beats, {"onset_count": onsets, "impact_count": impacts}, float(duration_sec), spans)
 
     named = anchor_points(downbeats, bars)
     ends = joins.nearest(windows.withColumnRenamed("end_sec", "sec"), named, KEY)
     ends = ends.select(*KEY, "start_sec", F.abs("offset_sec").alias("_end_gap"))
 
-    shared = joins.overlapping(windows, sections.select(*KEY, "start_sec", "end_sec", "energy"), KEY, float(duration_sec))
-    energy = shared.groupBy(*by).agg(
-        maths.weighted_mean(F.col("overlap_sec"), F.col("energy_r")).alias("energy"),
-        F.least(F.lit(1.0), F.max("energy_r") - F.min("energy_r") + 0.35).alias("dynamic_arc"),
+    rows = rows.join(ends, by, "left").withColumns(
+        {
+            "energy": F.coalesce(F.col("loud_weighted") / F.nullif(F.col("loud_sec"), F.lit(0.0)), F.lit(0.0)),
+            "dynamic_arc": F.coalesce(F.least(F.lit(1.0), F.col("loud_high") - F.col("loud_low") + 0.35), F.lit(0.0)),
+            "_silent": F.coalesce("quiet_sec", F.lit(0.0)),
+        }
     )
-    quiet = joins.overlapping(windows, silences.select(*KEY, "start_sec", "end_sec"), KEY, float(duration_sec))
-    quiet = quiet.groupBy(*by).agg(F.sum("overlap_sec").alias("_silent"))
-
-    for side in (ends, energy, quiet):
-        rows = rows.join(side, by, "left")
-    rows = rows.na.fill(0.0, ["energy", "dynamic_arc", "_silent"])
     center = F.col("_center")
     period = F.coalesce(center, F.lit(0.5))
     nearest_end = F.coalesce(F.col("_end_gap"), F.col("end_sec") - F.col("_last_beat"), d)

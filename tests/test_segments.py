@@ -32,6 +32,23 @@ def test_moving_facts(spark, dense):
             assert r._center is None and r._error is None
 
 
+def test_shared_spans(spark):
+    rng = random.Random(9)
+    d = 3.0
+    spans = [(t, a, a + rng.choice([0.2, 1.0, 7.0]), round(rng.random(), 2)) for t in (1, 2) for a in (round(rng.random() * 100, 1) for _ in range(40))] + [(1, -5.0, 300.0, 0.5), (1, 4.0, 4.0, 9.0)]
+    windows = sorted({(t, round(rng.random() * 110, 1)) for t in (1, 2, 3) for _ in range(50)})
+    df = spark.createDataFrame([(t, s, s + d) for t, s in windows], "track_id int, start_sec double, end_sec double")
+    none = spark.createDataFrame([], "track_id int, sec double")
+    rows = spark.createDataFrame(spans, "track_id int, start_sec double, end_sec double, value double")
+    for r in segments.moving_facts(df, none, {}, d, {"loud": rows}).collect():
+        parts = [(min(e, r.end_sec) - max(s, r.start_sec), v) for t, s, e, v in spans if t == r.track_id and min(e, r.end_sec) > max(s, r.start_sec)]
+        if parts:
+            assert r.loud_sec == pytest.approx(sum(x for x, _ in parts)) and r.loud_weighted == pytest.approx(sum(x * v for x, v in parts))
+            assert (r.loud_low, r.loud_high) == (min(v for _, v in parts), max(v for _, v in parts))
+        else:
+            assert r.loud_sec is None and r.loud_low is None
+
+
 def test_rows_written_are_linear_in_beats(spark):
     """Every beat is copied twice at most, however many windows hold it."""
     beats = spark.range(20_000).selectExpr("1 AS track_id", "id * 0.01D AS sec")
